@@ -105,37 +105,36 @@ def diff(c, n: int = 1) -> Column:
 
 # ── state carried from chunk to chunk ──────────────────────────────────────────
 
-STATE_SCHEMA = "symbol string, timeframe string, chunk long, {}"
-
-
-def chunk_states(chunked: DataFrame, effects, folds: dict) -> DataFrame:
+def chunk_states(chunked: DataFrame, effects, folds: dict, key=tuple(KEY), key_types: str = "symbol string, timeframe string") -> DataFrame:
     """State of each named machine at the start of every chunk, exactly.
 
     `effects(pdf)` reduces one chunk to a short list of numbers per machine; `folds`
     maps a machine to (initial state, step(state, effect)). Only the reductions, one
-    row per chunk, are walked in time order per series.
+    row per chunk, are walked in time order per key.
     """
-    schema = STATE_SCHEMA.format(", ".join(f"`{n}` array<double>" for n in folds))
+    key = list(key)
+    schema = f"{key_types}, chunk long, " + ", ".join(f"`{n}` array<double>" for n in folds)
+    head = [*key, "chunk"]
 
     def reduce_chunk(pdf):
         pdf = pdf.sort_values("bar_idx", ignore_index=True)
-        if pdf["in_halo"].all():
-            return pd.DataFrame(columns=[*CHUNK_KEY, *folds])
+        if "in_halo" in pdf and pdf["in_halo"].all():
+            return pd.DataFrame(columns=[*head, *folds])
         found = effects(pdf)
-        return pd.DataFrame([[*pdf.loc[0, CHUNK_KEY], *[found[n] for n in folds]]], columns=[*CHUNK_KEY, *folds])
+        return pd.DataFrame([[*pdf.loc[0, head], *[found[n] for n in folds]]], columns=[*head, *folds])
 
     def walk(pdf):
         pdf = pdf.sort_values("chunk", ignore_index=True)
         for name, (state, step) in folds.items():
             starts = []
-            for effect in pdf[name]:
+            for chunk, effect in zip(pdf["chunk"], pdf[name]):
                 starts.append(list(state))
                 state = step(state, list(effect))
             pdf[name] = starts
         return pdf
 
-    per_chunk = chunked.groupBy(*CHUNK_KEY).applyInPandas(reduce_chunk, schema)
-    return per_chunk.groupBy(*KEY).applyInPandas(walk, schema)
+    per_chunk = chunked.groupBy(*head).applyInPandas(reduce_chunk, schema)
+    return per_chunk.groupBy(*key).applyInPandas(walk, schema)
 
 
 # ── linear recurrences ───────────────────────────────────────────────────────
