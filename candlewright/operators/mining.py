@@ -133,17 +133,30 @@ def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return out
 
 
+# Decimals kept per statistic in a predictor record.
+DECIMALS = {
+    "mean_before": 6, "std_before": 6, "mean_all": 6, "std_all": 6, "t_statistic": 4,
+    "cohens_d": 4, "lift_factor": 4, "predictive_pct": 1, "threshold": 6,
+}
+
+
 def rank_predictors(stats: DataFrame, top: int | None = None) -> DataFrame:
-    """Rank by |t| (rounded to 4 places), names breaking ties.
+    """Rounded records ranked by |t|, names breaking ties.
 
     The group is one (series, type): at most one row per catalogue column.
     """
-    strength = F.abs(F.round("t_statistic", 4))
-    w = Window.partitionBy(*TYPE_KEY).orderBy(F.desc(strength), "feature")
-    df = stats.withColumn("rank", F.row_number().over(w))
+    rec = stats.select(*[F.round(c, DECIMALS[c]).alias(c) if c in DECIMALS else F.col(c) for c in stats.columns])
+    w = Window.partitionBy(*TYPE_KEY).orderBy(F.desc(F.abs("t_statistic")), "feature")
+    df = rec.where("t_statistic is not null").withColumn("rank", F.row_number().over(w))
     return df.where(F.col("rank") <= top) if top else df
 
 
+def rerank(ranked: DataFrame) -> DataFrame:
+    """Consecutive ranks again after rows were dropped."""
+    w = Window.partitionBy(*TYPE_KEY).orderBy("rank")
+    return ranked.withColumn("rank", F.row_number().over(w))
+
+
 def enough_events(events: DataFrame, at_least: int = 3) -> DataFrame:
     counts = events.groupBy(*TYPE_KEY).agg(F.count("*").alias("n_events"))
     return counts.where(F.col("n_events") >= at_least).withColumn("low_count_warning", F.col("n_events") < MIN_EVENTS)
