@@ -111,8 +111,9 @@ def drawdown_episodes(trades: DataFrame, keys=tuple(RUN_KEY)) -> DataFrame:
 
 def drawdown_summary(episodes: DataFrame, keys=tuple(RUN_KEY)) -> DataFrame:
     keys = list(keys)
-    lengths = F.sort_array(F.collect_list("length"))
+    by_length = Window.partitionBy(*keys).orderBy("length", "start_pos")
+    mid = episodes.withColumn("_r", F.row_number().over(by_length)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    mid = mid.where(c("_r") == F.floor(c("_n") / 2) + 1).select(*keys, c("length").alias("median_length"))
     return episodes.groupBy(*keys).agg(
-        F.count("*").alias("n_episodes"), F.max("length").alias("longest"),
-        F.get(lengths, F.floor(F.count("*") / 2).cast("int")).alias("median_length"),
-        F.round(F.max("depth_pct"), 1).alias("deepest_pct"), F.max_by("length", F.struct("depth_pct", -c("start_pos"))).alias("deepest_length"))
+        F.count("*").alias("n_episodes"), F.max("length").alias("longest"), F.round(F.max("depth_pct"), 1).alias("deepest_pct"),
+        F.max_by("length", F.struct("depth_pct", -c("start_pos"))).alias("deepest_length")).join(mid, keys)

@@ -219,9 +219,7 @@ def _walk(starts: np.ndarray, exits: np.ndarray, free: int) -> list[int]:
     taken, at = [], int(np.searchsorted(starts, free))
     while at < len(starts):
         taken.append(at)
-        at = int(np.searchsorted(starts, exits[at], side="left"))
-        if at < len(starts) and at <= taken[-1]:
-            at = taken[-1] + 1
+        at = max(at + 1, int(np.searchsorted(starts, exits[at], side="left")))
     return taken
 
 
@@ -239,13 +237,12 @@ def select_non_overlapping(outcomes: DataFrame, hold: int, chunk: int = chunks.C
         base = int(pdf["chunk"].iloc[0]) * chunk
         starts, exits = pdf["bar_idx"].to_numpy(), pdf["exit_idx"].to_numpy()
         # after[j]: first free bar once the signals from j on have been worked through
-        after = np.empty(len(starts) + 1)
+        after = np.empty(len(starts))
         nxt = np.maximum(np.searchsorted(starts, exits, side="left"), np.arange(len(starts)) + 1)
         for j in range(len(starts) - 1, -1, -1):
             after[j] = exits[j] if nxt[j] >= len(starts) else after[nxt[j]]
-        free = [-1.0, *map(float, starts)]
-        out = [float(after[j]) for j in range(len(starts))]
-        return {"free": [float(len(starts)), *map(float, starts), *out], "_unused": free[:0]}
+        reach = min(len(starts), int(np.searchsorted(starts, base + hold, side="right")) + 1)
+        return {"free": [float(reach), *map(float, starts[:reach]), *map(float, after[:reach])]}
 
     def step(state, effect):
         n = int(effect[0])
@@ -254,7 +251,7 @@ def select_non_overlapping(outcomes: DataFrame, hold: int, chunk: int = chunks.C
         return [after[j]] if j < n else state
 
     lean = df.select(*RUN_KEY, "chunk", "bar_idx", "exit_idx")
-    states = chunks.chunk_states(lean, lambda p: {"free": effects(p)["free"]}, {"free": ([-1.0], step)}, RUN_KEY, RUN_TYPES)
+    states = chunks.chunk_states(lean, effects, {"free": ([-1.0], step)}, RUN_KEY, RUN_TYPES)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx", ignore_index=True)
