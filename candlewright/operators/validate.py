@@ -109,9 +109,9 @@ def reliability(recall_pct: Column, degradation: Column, precision_pct: Column)
     )
 
 
-def validate(features: DataFrame, events: DataFrame, ranked: DataFrame, names, lookback: int = 3, window: int = 2) -> DataFrame:
+def validate(features: DataFrame, events: DataFrame, ranked: DataFrame, names, lookback: int = 3, window: int = 2, leading: dict | None = None) -> DataFrame:
     """One row per (series, type). `features` and `events` carry is_train."""
-    cond = leading_conditions(ranked)
+    cond = leading_conditions(ranked, **(leading or {}))
     test = events.where(~c("is_train"))
     rec = recall(condition_hits(features, test, cond, names, lookback))
     prec = precision(features.where(~c("is_train")), test, cond, names, window)
@@ -146,13 +146,13 @@ def tradeable(validation: DataFrame) -> DataFrame:
         *TYPE_KEY, F.when(c("move_type").contains("UP"), "LONG").otherwise("SHORT").alias("direction"), "n_train", "n_test")
 
 
-def entry_conditions(ranked: DataFrame) -> DataFrame:
+def entry_conditions(ranked: DataFrame, strong_t: float = 2.5, must=(5.0, 40.0), should=(3.0, 30.0)) -> DataFrame:
     """Predictors in three tiers with their entry thresholds."""
     w = Window.partitionBy(*TYPE_KEY).orderBy("rank")
-    strong = ranked.where(F.abs("t_statistic") >= 2.5).withColumn("_s", F.row_number().over(w)).where(c("_s") <= 50)
+    strong = ranked.where(F.abs("t_statistic") >= strong_t).withColumn("_s", F.row_number().over(w)).where(c("_s") <= 50)
     tier = (
-        F.when((F.abs("t_statistic") >= 5) & (c("predictive_pct") >= 40), "must_have")
-        .when((F.abs("t_statistic") >= 3) & (c("predictive_pct") >= 30), "should_have").otherwise("supporting"))
+        F.when((F.abs("t_statistic") >= must[0]) & (c("predictive_pct") >= must[1]), "must_have")
+        .when((F.abs("t_statistic") >= should[0]) & (c("predictive_pct") >= should[1]), "should_have").otherwise("supporting"))
     in_tier = Window.partitionBy(*TYPE_KEY, "tier").orderBy("_s")
     size = F.when(c("tier") == "must_have", 8).otherwise(10)
     return (
