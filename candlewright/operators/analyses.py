@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from candlewright.core import KEY
 from candlewright.operators import joins, ledger
@@ -214,18 +217,13 @@ def significance(trades: DataFrame, min_trades: int = 10, alpha: float = 0.05, k
     return g.withColumn("p_value", binomial_tail(c("wins"), c("n"))).withColumn("significant", c("p_value") < alpha)
 
 
-@F.pandas_udf("double")
-def _binomial_tail(wins, n):
+@F.pandas_udf(T.DoubleType())
+def _binomial_tail(wins: pd.Series, n: pd.Series) -> pd.Series:
     """P(X >= wins) for X ~ Binomial(n, 1/2), summed in logs from the tail inwards."""
-    import numpy as np
-    import pandas as pd
-    from math import lgamma
-
     out = []
     for k, m in zip(wins, n):
-        i = np.arange(int(k), int(m) + 1)
-        lg = np.array([lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) for j in i]) - m * np.log(2.0)
-        out.append(min(1.0, float(np.exp(lg[::-1]).sum())))
+        i = range(int(m), int(k) - 1, -1)
+        out.append(min(1.0, sum(math.exp(math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1) - m * math.log(2.0)) for j in i)))
     return pd.Series(out)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from candlewright.core import KEY, ratio
 from candlewright.operators import chunks, joins
@@ -124,7 +124,7 @@ def student_tail(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - part, part)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     out = pd.Series(np.nan, index=t.index)
     ok = t.notna() & dof.notna() & (dof > 0)
@@ -222,7 +222,7 @@ def drop_correlated(ranked: DataFrame, event_vectors: DataFrame, names, top: int
     return ranked.join(dropped, [*TYPE_KEY, "feature"], "left_anti")
 
 
-@F.pandas_udf("struct<lo double, hi double>")
+@F.pandas_udf(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
 def _hit_interval(n: pd.Series, pct: pd.Series, key: pd.Series) -> pd.DataFrame:
     rows = []
     for k, p, seed in zip(n, pct, key):

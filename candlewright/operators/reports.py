@@ -117,4 +117,5 @@ def parse_level(source) -> Column:
 
 
 def format_threshold(v: Column) -> Column:
-    return F.when(F.abs(v) >= 1000, F.format_string("%.0f", v)).when(F.abs(v) >= 10, F.format_string("%.2f", v)).otherwise(F.format_string("%.4f", v))
+    text = lambda d: F.format_string(f"%.{d}f", F.bround(v, d))
+    return F.when(F.abs(v) >= 1000, text(0)).when(F.abs(v) >= 10, text(2)).otherwise(text(4))

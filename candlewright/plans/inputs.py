@@ -9,6 +9,7 @@ from candlewright.functions.features import compute_features
 from candlewright.operators import mining, outcomes
 from candlewright.operators.detect import DetectorSettings, detect_movements
 from candlewright.operators.validate import entry_conditions, split_time
+from candlewright.sources.tables import scratch_path
 from candlewright.sources.ticks import bars_from_ticks
 
 # Daily bars with one-hour periods: the multiplier undoes the scaling to one day.
@@ -18,15 +19,23 @@ LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 STUDY = ["rsi_14", "bb_position", "donchian_pos", "volume_ratio", "roc_5", "body_ratio", "range_compression_10", "stoch_k"]
 STUDY_SETTINGS = DetectorSettings(atr_impulse=2.5, breakout_bars=20, reversal_min_run=3, gap_pct=4.0)
 
-_CACHE: dict[tuple, DataFrame] = {}
+_TABLES: dict[tuple, tuple] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Keeps a shared intermediate in executor memory and disk; lineage stays intact."""
+    """A shared intermediate as a written table: later plans start from it.
+
+    The forensics run is a chain of materialised tables (bars, features, events, vectors,
+    statistics, conditions, trades). Writing each cuts lineage, survives lost executors
+    and keeps plans small; the folder is the session's shared checkpoint folder.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _CACHE:
-        _CACHE[key] = build().persist()
-    return _CACHE[key]
+    if key not in _TABLES:
+        df, path = build(), scratch_path(spark, name)
+        df.write.parquet(path)
+        _TABLES[key] = (path, df.schema)
+    path, schema = _TABLES[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
