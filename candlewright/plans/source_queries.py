@@ -151,9 +151,9 @@ def _(spark, sf):
     return inputs.table(spark, sf, "events").groupBy(analyses.session_of(c("ts")).alias("session")).agg(F.count("*").alias("n"))
 
 
-@query("r12_format_threshold", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN v >= 1000 THEN printf('%.0f', v) WHEN v >= 10 THEN printf('%.2f', v) ELSE printf('%.4f', v) END AS text FROM (SELECT *, l_extendedprice / l_quantity / 37.0 AS v FROM lineitem)")
+@query("r12_format_threshold", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN v >= 1000 THEN printf('%.0f', v) WHEN v >= 10 THEN printf('%.2f', v) ELSE printf('%.4f', v) END AS text FROM (SELECT *, l_extendedprice / l_quantity / 3.14159 AS v FROM lineitem)")
 def _(spark, sf):
-    v = c("l_extendedprice") / c("l_quantity") / 37.0
+    v = c("l_extendedprice") / c("l_quantity") / 3.14159
     return inputs.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", reports.format_threshold(v).alias("text"))
 
 
