@@ -254,7 +254,7 @@ def weekly_correlation(trades: DataFrame) -> DataFrame:
     pairs = ma.join(mb, c("a") < c("b")).join(xy, ["a", "b"], "left")
     cov = c("n") * F.coalesce("_xy", F.lit(0.0)) - c("_sa") * c("_sb")
     var = (c("n") * c("_ssa") - c("_sa") * c("_sa")) * (c("n") * c("_ssb") - c("_sb") * c("_sb"))
-    return pairs.select(c("a").alias("config_a"), c("b").alias("config_b"), c("n").alias("n_weeks"), F.round(F.when(var > 0, cov / F.sqrt(var)), 6).alias("r"))
+    return pairs.select(c("a").alias("config_a"), c("b").alias("config_b"), c("n").alias("n_weeks"), F.when(var > 0, cov / F.sqrt(var)).alias("r"))
 
 
 def monte_carlo(trades: DataFrame, n_sims: int = 1000, keys=tuple(RUN_KEY)) -> DataFrame:

@@ -231,7 +231,9 @@ def select_non_overlapping(outcomes: DataFrame, hold: int, chunk: int = chunks.C
     hold + 1 entries; those tables are chained per run, and then every chunk picks its
     trades on its own.
     """
+    # The exit bar may open the next trade, except where the series itself ended.
     df = outcomes.where(c("bar_idx") - c("_first") >= WARM_UP_BARS).withColumn("chunk", F.floor(c("bar_idx") / chunk))
+    df = df.withColumn("exit_idx", c("exit_idx") + F.when(c("close_reason") == "END", 1).otherwise(0))
 
     def effects(pdf: pd.DataFrame) -> dict:
         base = int(pdf["chunk"].iloc[0]) * chunk
@@ -241,7 +243,7 @@ def select_non_overlapping(outcomes: DataFrame, hold: int, chunk: int = chunks.C
         nxt = np.maximum(np.searchsorted(starts, exits, side="left"), np.arange(len(starts)) + 1)
         for j in range(len(starts) - 1, -1, -1):
             after[j] = exits[j] if nxt[j] >= len(starts) else after[nxt[j]]
-        reach = min(len(starts), int(np.searchsorted(starts, base + hold, side="right")) + 1)
+        reach = min(len(starts), int(np.searchsorted(starts, base + hold + 1, side="right")) + 1)
         return {"free": [float(reach), *map(float, starts[:reach]), *map(float, after[:reach])]}
 
     def step(state, effect):

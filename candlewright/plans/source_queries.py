@@ -120,7 +120,7 @@ def _(spark, sf):
 
 
 @query("fp09_custom_range", """
-SELECT symbol, timeframe, count(*) AS n_bars, count(*) FILTER (WHERE i < floor(n * 0.7)) AS n_before_split, round(count(*) FILTER (WHERE i < floor(n * 0.7)) * 100.0 / count(*), 1) AS pct_before_split
+SELECT symbol, timeframe, count(*) AS n_bars, count(*) FILTER (WHERE i < floor(n * 0.7::DOUBLE)) AS n_before_split, round(count(*) FILTER (WHERE i < floor(n * 0.7::DOUBLE)) * 100.0 / count(*), 1) AS pct_before_split
 FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM b0) WHERE ts >= TIMESTAMP '1999-01-01' AND ts < TIMESTAMP '2001-01-01' + INTERVAL 1 DAY GROUP BY ALL""")
 def _(spark, sf):
     b = validate.split_time(inputs.bars(spark, sf))

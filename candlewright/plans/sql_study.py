@@ -13,7 +13,7 @@ CTE["sf"] = f"""
 SELECT symbol, timeframe, ts, i, open, high, low, close, volume, pc, rng, rsi_14, (close - bb_lower) / (bb_upper - bb_lower + 1e-10) AS bb_position,
  (close - ll20) / (hh20 - ll20 + 1e-10) AS donchian_pos, volume_ratio, (close / {prev('close', 5)} - 1) * 100 AS roc_5, body / (rng + 1e-10) AS body_ratio,
  rng / (({roll('avg', 'rng', 10)}) + 1e-10) AS range_compression_10, stoch_k, count(*) OVER (PARTITION BY symbol) AS n,
- i < floor(count(*) OVER (PARTITION BY symbol) * 0.7) AS is_train, coalesce({roll('avg', 'rng', 14)}, 0.001) AS atr0
+ i < floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE) AS is_train, coalesce({roll('avg', 'rng', 14)}, 0.001) AS atr0
 FROM l3"""
 CTE["run0"] = f"SELECT symbol, i, i - max(CASE WHEN sign(close - open) = 1 THEN -1 ELSE i END) OVER ({P}) AS cb, i - max(CASE WHEN sign(close - open) = -1 THEN -1 ELSE i END) OVER ({P}) AS cr FROM b"
 CTE["run1"] = f"SELECT symbol, i, lag(cb) OVER ({P}) AS bull, lag(cr) OVER ({P}) AS bear FROM run0"
@@ -122,7 +122,7 @@ SELECT l.*, coalesce(ox.xi, l.mx) AS exit_idx, coalesce(b.close, z.close) AS clo
  CASE WHEN ox.xi IS NULL THEN 'END' WHEN (CASE WHEN lg THEN b.low <= stop ELSE b.high >= stop END) THEN (CASE WHEN is_liq THEN 'LIQ' ELSE 'SL' END) WHEN (CASE WHEN lg THEN b.high >= tp ELSE b.low <= tp END) THEN 'TP' ELSE 'TIMEOUT' END AS close_reason
 FROM lvl l LEFT JOIN ox USING (param_id, symbol, i) LEFT JOIN tsrc b ON b.symbol = l.symbol AND b.i = ox.xi JOIN tsrc z ON z.symbol = l.symbol AND z.i = l.mx"""
 CTE["oc1"] = """
-SELECT *, greatest(exit_idx, i + 1) AS free, (CASE close_reason WHEN 'LIQ' THEN -margin WHEN 'SL' THEN -risk WHEN 'TP' THEN risk * tp_rr ELSE (CASE WHEN lg THEN 1 ELSE -1 END) * (close_price - e) / sd * risk END) - fee AS raw_pnl
+SELECT *, CASE WHEN close_reason = 'END' THEN mx + 1 ELSE greatest(exit_idx, i + 1) END AS free, (CASE close_reason WHEN 'LIQ' THEN -margin WHEN 'SL' THEN -risk WHEN 'TP' THEN risk * tp_rr ELSE (CASE WHEN lg THEN 1 ELSE -1 END) * (close_price - e) / sd * risk END) - fee AS raw_pnl
 FROM oc WHERE i - mi >= 10"""
 CTE["nx"] = "SELECT a.*, b.i AS nxt FROM oc1 a ASOF LEFT JOIN (SELECT param_id, symbol, i FROM oc1) b ON a.param_id = b.param_id AND a.symbol = b.symbol AND a.free <= b.i"
 CTE["chain"] = """

@@ -368,7 +368,7 @@ def _(spark, sf):
     return reports.regime_spans(regime_frame(spark, sf)).select("symbol", "span", "regime", F.unix_seconds("start_ts").alias("start_s"), F.unix_seconds("end_ts").alias("end_s"), "n_bars")
 
 
-@query("va01_split", "SELECT symbol, n AS n_bars, CAST(floor(n * 0.7) AS BIGINT) AS split_idx, count(*) FILTER (WHERE is_train) AS n_train, epoch(min(ts) FILTER (WHERE NOT is_train))::BIGINT AS split_s FROM sf GROUP BY ALL")
+@query("va01_split", "SELECT symbol, n AS n_bars, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS split_idx, count(*) FILTER (WHERE is_train) AS n_train, epoch(min(ts) FILTER (WHERE NOT is_train))::BIGINT AS split_s FROM sf GROUP BY ALL")
 def _(spark, sf):
     s = inputs.study(spark, sf)
     return s.groupBy("symbol", "n_bars", "split_idx").agg(F.count_if("is_train").alias("n_train"), F.unix_seconds(F.min(F.when(~c("is_train"), c("ts")))).alias("split_s"))

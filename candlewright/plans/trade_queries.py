@@ -301,13 +301,13 @@ CORR_ROWS = [{**BASE_PARAMS, "param_id": i, "sl_pct": s} for i, s in enumerate((
 
 
 @query("an11_weekly_correlation", """
-SELECT a.cfg AS config_a, b.cfg AS config_b, count(*) AS n_weeks, round(corr(a.p, b.p), 5) AS r FROM wd a JOIN wd b ON a.w = b.w AND a.cfg < b.cfg GROUP BY ALL""", {
+SELECT a.cfg AS config_a, b.cfg AS config_b, count(*) AS n_weeks, round(corr(a.p, b.p), 4) AS r FROM wd a JOIN wd b ON a.w = b.w AND a.cfg < b.cfg GROUP BY ALL""", {
     **grid_ex(CORR_ROWS), "wb": "SELECT date_trunc('day', min(entry_ts)) AS t0, max(entry_ts) AS t1 FROM tr",
     "wk": "SELECT symbol || ' 1d ' || param_id AS cfg, floor((epoch(entry_ts) - epoch(t0)) / 604800) AS w, sum(pnl) AS p FROM tr, wb GROUP BY ALL",
     "wd": "SELECT c.cfg, k.w, coalesce(wk.p, 0) AS p FROM (SELECT DISTINCT cfg FROM wk) c CROSS JOIN (SELECT unnest(range(0, CAST(ceil((epoch(t1) - epoch(t0)) / 604800) AS BIGINT))) AS w FROM wb) k LEFT JOIN wk ON wk.cfg = c.cfg AND wk.w = k.w"})
 def _(spark, sf):
     r = an.weekly_correlation(inputs.run_grid(spark, sf, "corr", CORR_ROWS))
-    return r.select("config_a", "config_b", "n_weeks", F.round("r", 5).alias("r"))
+    return r.select("config_a", "config_b", "n_weeks", F.round("r", 4).alias("r"))
 
 
 @query("an12_kelly", "SELECT symbol, round(least(greatest((win_rate / 100 - (1 - win_rate / 100) / tp_rr) * 100, 0) / 2, 10), 4) AS kelly_pct, pnl_pct FROM summ JOIN g USING (param_id) WHERE n_trades >= 5")

@@ -45,11 +45,11 @@ DD = {
     "dsc": "SELECT d.symbol, d.i AS event_idx, d.direction, x.i, " + " + ".join([
         UPC("rd > 1", "rd < -1"), UPC("mh > 0", "mh < 0"), UPC("al >= 1", "al <= -1"), FL("adx > 25"), FL("vr > 2"), UPC("wpi > 0", "wpi < 0"),
         UPC("false", "be"), UPC("bu", "false"), UPC("false", "bd"), UPC("bo", "false"), UPC("ah", "false"), UPC("false", "al_")]) + " AS score FROM foc d JOIN sx x ON x.symbol = d.symbol AND x.i BETWEEN d.i - 19 AND d.i",
-    "den": "SELECT symbol, event_idx, direction, CASE WHEN max(score) > 0 THEN first(i ORDER BY score DESC, i DESC) ELSE event_idx END AS entry_idx, least(max(score), 10) AS entry_confidence FROM dsc GROUP BY ALL",
+    "den": "SELECT symbol, event_idx, direction, CASE WHEN max(score) > 0 THEN first(i ORDER BY score DESC, i DESC) ELSE event_idx END AS entry_idx, least(max(score), 10) AS entry_confidence FROM dsc GROUP BY symbol, event_idx, direction",
     "dw": "SELECT e.symbol, e.event_idx, e.direction, e.entry_idx, x.i, x.high, x.low, x.close FROM den e JOIN sx x ON x.symbol = e.symbol AND x.i BETWEEN e.entry_idx - 50 AND e.entry_idx",
     "dp": """SELECT *, i >= entry_idx - 48 AND i <= entry_idx - 2 AND i >= (min(i) OVER (PARTITION BY symbol, event_idx)) + 2 AND low = min(low) OVER q AS pl, i >= (min(i) OVER (PARTITION BY symbol, event_idx)) + 2 AND i <= entry_idx - 2 AND high = max(high) OVER q AS ph
  FROM dw WINDOW q AS (PARTITION BY symbol, event_idx ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
-    "dq": "SELECT symbol, event_idx, direction, entry_idx, CASE WHEN direction = 'UP' THEN max(low) FILTER (WHERE pl) ELSE min(high) FILTER (WHERE ph) END AS sw, max(high) AS hi, min(low) AS lo, last(close ORDER BY i) AS e FROM dp GROUP BY ALL",
+    "dq": "SELECT symbol, event_idx, direction, entry_idx, CASE WHEN direction = 'UP' THEN max(low) FILTER (WHERE pl) ELSE min(high) FILTER (WHERE ph) END AS sw, max(high) AS hi, min(low) AS lo, last(close ORDER BY i) AS e FROM dp GROUP BY symbol, event_idx, direction, entry_idx",
     "ds": "SELECT q.*, x.a14, CASE WHEN direction = 'UP' THEN 1 ELSE -1 END AS s, e - (CASE WHEN direction = 'UP' THEN 1 ELSE -1 END) * x.a14 * 1.5 AS sa FROM dq q JOIN sx x ON x.symbol = q.symbol AND x.i = q.entry_idx",
     "dt_": "SELECT *, CASE WHEN direction = 'UP' THEN greatest(sa, sw) ELSE least(sa, sw) END AS sl FROM ds",
 }
