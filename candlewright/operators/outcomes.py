@@ -16,6 +16,7 @@ from candlewright.operators import chunks
 from candlewright.operators.chunks import order
 from candlewright.operators.mining import TYPE_KEY
 from candlewright.operators.validate import feature_position, pack_values
+from candlewright.sources.tables import scratch_path
 
 c = F.col
 
@@ -182,7 +183,9 @@ def label_outcomes(signals: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
     A signal the series ends on is closed at its last bar.
     """
     ends = bars.groupBy(*KEY).agg(F.max("bar_idx").alias("_n"), F.max_by("close", "bar_idx").alias("_last"), F.max("ts").alias("_last_ts"), F.min("bar_idx").alias("_first"))
-    df = signals.join(forward_paths(bars, hold), [*KEY, "bar_idx"]).join(ends, KEY)
+    # `simulate` attaches the paths before the grid multiplies the bars
+    df = signals if "path" in signals.columns else signals.join(forward_paths(bars, hold), [*KEY, "bar_idx"])
+    df = df.join(ends, KEY)
     long = c("direction") == "LONG"
 
     def stop(b):
@@ -272,8 +275,17 @@ TRADE_COLUMNS = [
 
 def simulate(features: DataFrame, conditions: DataFrame, names, params: DataFrame, hold: int, start_capital: float = 100.0) -> DataFrame:
     """Trades of every series under every parameter set. `hold`: longest max_hold_bars."""
-    signals = add_levels(best_signals(signal_ladders(features, conditions, names), params), start_capital)
-    trades = select_non_overlapping(label_outcomes(signals, features, hold), hold)
+    # One row per bar meets its path once; the grid then multiplies rows inside their
+    # task and the path is dropped there, so it is never shuffled per parameter set.
+    spread = features.repartition(chunks.chunk_tasks(features), *KEY, "bar_idx")
+    ladders = signal_ladders(spread, conditions, names).join(forward_paths(features, hold), [*KEY, "bar_idx"])
+    signals = add_levels(best_signals(ladders, params), start_capital)
+    labelled = label_outcomes(signals, features, hold).drop("high", "low", "close", "effective_stop", "margin_required", "notional", "sl_dist", "v_idx")
+    # The selection reads the outcomes several times; as a table they are labelled once.
+    spark = features.sparkSession
+    path = scratch_path(spark, "outcomes")
+    labelled.write.parquet(path)
+    trades = select_non_overlapping(spark.read.schema(labelled.schema).parquet(path), hold)
     r = lambda name, d: F.round(name, d).alias(name)
     return trades.select(
         *RUN_KEY, c("ts").alias("entry_ts"), "close_ts", "move_type", "direction", r("entry_price", 4), r("close_price", 4), r("sl", 4), r("tp", 4),
