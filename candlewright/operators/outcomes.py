@@ -194,10 +194,16 @@ def label_outcomes(signals: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
     def target(b):
         return F.when(long, b.h >= c("tp")).otherwise(b.l <= c("tp"))
 
-    def late(b):
-        return b.i - c("bar_idx") >= c("max_hold_bars")
-
-    out = df.withColumn("_x", F.get(F.filter("path", lambda b: stop(b) | target(b) | late(b)), F.lit(0)))
+    # The time-out bar is one of the first max_hold_bars tradable bars: the last of them
+    # unless untradable bars were skipped on the way.
+    near = F.slice("path", 1, c("max_hold_bars"))
+    last = F.try_element_at("path", c("max_hold_bars"))
+    stop_at, tp_at = c("effective_stop"), c("tp")
+    hit = F.when(long, F.get(F.filter(near, lambda b: (b.l <= stop_at) | (b.h >= tp_at)), F.lit(0))).otherwise(
+        F.get(F.filter(near, lambda b: (b.h >= stop_at) | (b.l <= tp_at)), F.lit(0)))
+    out = df.withColumn("_hit", hit).withColumn(
+        "_late", F.when(last.i - c("bar_idx") == c("max_hold_bars"), last).otherwise(F.get(F.filter(near, lambda b: b.i - c("bar_idx") >= c("max_hold_bars")), F.lit(0))))
+    out = out.withColumn("_x", F.when(c("_hit").isNull() | (c("_late.i") < c("_hit.i")), c("_late")).otherwise(c("_hit"))).drop("_hit", "_late", "path")
     out = out.withColumn(
         "close_reason",
         F.when(c("_x").isNull(), "END").when(stop(c("_x")), F.when(c("is_liquidation"), "LIQ").otherwise("SL")).when(target(c("_x")), "TP").otherwise("TIMEOUT"))
@@ -208,7 +214,7 @@ def label_outcomes(signals: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
     gross = (
         F.when(c("close_reason") == "LIQ", -c("margin_required")).when(c("close_reason") == "SL", -c("risk_amount"))
         .when(c("close_reason") == "TP", c("risk_amount") * c("tp_rr")).otherwise(drift))
-    return out.withColumn("pnl", gross - c("fee_cost")).withColumn("bars_held", c("exit_idx") - c("bar_idx")).drop("path", "_x", "_n", "_last", "_last_ts")
+    return out.withColumn("pnl", gross - c("fee_cost")).withColumn("bars_held", c("exit_idx") - c("bar_idx")).drop("_x", "_n", "_last", "_last_ts")
 
 
 # ── non-overlapping selection ────────────────────────────────────────────────
