@@ -12,7 +12,9 @@ from candlewright.operators import joins, ledger
 from candlewright.operators.outcomes import DEFAULTS, RUN_KEY
 
 c = F.col
-WIN = c("pnl") > 0
+def won() -> Column:
+    return c("pnl") > 0
+
 
 # Levels each study visits.
 FEE_LEVELS = (0.0, 0.02, 0.04, 0.06, 0.08, 0.10, 0.15, 0.20)
@@ -25,7 +27,7 @@ SESSIONS = (("Asien", 0, 8), ("Europa", 8, 16), ("US", 16, 24))
 
 
 def win_rate() -> Column:
-    return F.round(F.avg(F.when(WIN, 100.0).otherwise(0.0)), 1).alias("win_rate")
+    return F.round(F.avg(F.when(won(), 100.0).otherwise(0.0)), 1).alias("win_rate")
 
 
 def total_pnl() -> Column:
@@ -213,7 +215,7 @@ def confluence(trades: DataFrame, hours: float = 2.0) -> DataFrame:
 
 def significance(trades: DataFrame, min_trades: int = 10, alpha: float = 0.05, keys=tuple(RUN_KEY)) -> DataFrame:
     """Exact one-sided binomial test of the win rate against one half, per type."""
-    g = trades.groupBy(*keys, "move_type").agg(F.count("*").alias("n"), F.count_if(WIN).alias("wins")).where(c("n") >= min_trades)
+    g = trades.groupBy(*keys, "move_type").agg(F.count("*").alias("n"), F.count_if(won()).alias("wins")).where(c("n") >= min_trades)
     return g.withColumn("p_value", binomial_tail(c("wins"), c("n"))).withColumn("significant", c("p_value") < alpha)
 
 
