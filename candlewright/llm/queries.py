@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import grading, sharding, toxicity
+from candlewright.llm import grading, packing, pages, sharding, toxicity
 from candlewright.llm.common import table
 
 
@@ -13,6 +13,22 @@ def held_out(fold: int = 1) -> F.Column:
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == fold
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed collection of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
@@ -31,6 +47,8 @@ def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_page_differencing": op3_page_differencing,
+    "op4_best_two_fit": op4_best_two_fit,
     "op5_stratified_interleaving": op5_stratified_interleaving,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
