@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import grading, packing, pages, sharding, toxicity
+from candlewright.llm import grading, multiprobe, near_vectors, packing, pages, sharding, toxicity
 from candlewright.llm.common import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pstable_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,10 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.grade(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "expected_grade", "tail_probability", "keep")
 
 
+def op8_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~held_out()))
@@ -47,10 +55,12 @@ def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pstable_near_vectors": op2_pstable_near_vectors,
     "op3_page_differencing": op3_page_differencing,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_stratified_interleaving": op5_stratified_interleaving,
     "op7_ordinal_quality": op7_ordinal_quality,
+    "op8_multiprobe_search": op8_multiprobe_search,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
 }
 
