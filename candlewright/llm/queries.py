@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import grading, multiprobe, near_vectors, packing, pages, sharding, toxicity
+from candlewright.llm import grading, multiprobe, near_vectors, packing, pages, repeats, sharding, toxicity
 from candlewright.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op8_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiprobe.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op9_anchored_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+
+
 def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~held_out()))
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_stratified_interleaving": op5_stratified_interleaving,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_multiprobe_search": op8_multiprobe_search,
+    "op9_anchored_repeats": op9_anchored_repeats,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
 }
 
