@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import grading, multiprobe, near_vectors, packing, pages, repeats, sharding, toxicity
+from candlewright.llm import grading, multiprobe, near_vectors, packing, pages, repeats, sharding, shingle_join, toxicity
 from candlewright.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join_documents(table(spark, sf_dir, "documents"), k=4, threshold=(85, 100))
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = grading.train(docs, labels.where(~held_out()))
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_page_differencing": op3_page_differencing,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_stratified_interleaving": op5_stratified_interleaving,
+    "op6_shingle_join": op6_shingle_join,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_multiprobe_search": op8_multiprobe_search,
     "op9_anchored_repeats": op9_anchored_repeats,
