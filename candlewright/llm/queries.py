@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import grading, multiprobe, near_vectors, packing, pages, repeats, sharding, shingle_join, toxicity
+from candlewright.llm import grading, multiprobe, near_vectors, packing, pages, repeats, segment, sharding, shingle_join, toxicity
 from candlewright.llm.common import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.encode_top_k(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2)
+
+
 def op2_pstable_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.link(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_gumbel_segmentations": op1_gumbel_segmentations,
     "op2_pstable_near_vectors": op2_pstable_near_vectors,
     "op3_page_differencing": op3_page_differencing,
     "op4_best_two_fit": op4_best_two_fit,
