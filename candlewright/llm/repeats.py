@@ -69,7 +69,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", id_col
     groups, buckets = X.group_count(size), X.bucket_count(size)
     bits = X.hash_bits(size)
     near, exact = X.bounds(buckets, bits), X.bounds(buckets, WINDOW_BITS)
-    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "__grp")
     dealt = X.grouped(docs, id_col, groups)
     others = [c for c in docs.columns if c != text or keep_text]
     schema = docs.select(others).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")

@@ -109,11 +109,12 @@ def fit_ftrl(
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, per_class: int = 3000, bits: int = 20, alpha: float = 1.0, beta: float = 1.0,
-    l1: float = 3.0, l2: float = 0.0, epochs: int = 6,
+    docs: DataFrame, labels: DataFrame, per_class: int = 3000, bits: int = 20, alpha: float = 2.0, beta: float = 1.0,
+    l1: float = 6.0, l2: float = 0.0, epochs: int = 6, most_repeats: int = 8,
 ) -> ToxicityModel:
     """Fits on at most per_class labelled documents of each class (the bound of all that reaches the driver),
-    drawn by a hash of their id. The score is thus a probability under evenly weighted classes."""
+    drawn by a hash of their id; the rarer class is shown up to most_repeats times as often. The score is thus a
+    probability under evenly weighted classes."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     parts = [
         labels.where((F.col("y") > 0) == F.lit(bool(y))).select("doc_id", F.lit(y).alias("__y"), F.xxhash64("doc_id", F.lit(7)).alias("__order"))
@@ -137,7 +138,11 @@ def train(
 
     got = rows.select("__order", "doc_id", "__y", coordinates("text").alias("x")).toArrow().sort_by([("__order", "ascending"), ("doc_id", "ascending")])
     examples = [(np.frombuffer(x, "<u4"), y) for x, y in zip(got["x"].to_pylist(), got["__y"].to_pylist(), strict=True)]
-    return fit_ftrl(examples, bits, alpha, beta, l1, l2, epochs)
+    by_class = [[e for e in examples if e[1] == y] for y in (0, 1)]
+    most = max(map(len, by_class))
+    shown = [e for own in by_class if own for e in own * min(most_repeats, max(1, round(most / len(own))))]
+    order = np.random.Generator(np.random.PCG64(1)).permutation(len(shown))
+    return fit_ftrl([shown[i] for i in order], bits, alpha, beta, l1, l2, epochs)
 
 
 def score_column(text: Column | str, model: ToxicityModel) -> Column:
