@@ -231,9 +231,11 @@ def join_documents(
     across = across.select("a", "blk", F.transform(here, lambda x: x["other"]).alias("others"), F.transform(here, lambda x: x["label"]).alias("labels"))
     links = stars.unionByName(checked(across))
 
-    linked = components(links).withColumnRenamed("id", "fp")
-    known = nodes.select("fp", "id").join(linked, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
-    known = known.join(known.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
+    linked = components(links).withColumnRenamed("id", "fp").withColumnRenamed("component", "root")
+    named = nodes.select("fp", "id").join(linked, "fp", "left")
+    # Written, so that the join below has plain inputs: a component of very many nodes is a skewed side that can be split.
+    lowest = written(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("low")))
+    known = named.join(lowest, "root", "left").select("fp", F.coalesce("low", "id").alias("component_id"))
     out = sets.join(known, "fp", "left")
     real = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, real("component_id")).otherwise(real("id")).alias("component_id"))
