@@ -49,13 +49,12 @@ def chunk_rows(halo: int, chunk: int | None = None) -> tuple[int, int]:
 
 
 def chunk_tasks(df: DataFrame) -> int:
-    """Tasks for chunk work: the session's shuffle width, at most eight per core.
+    """Tasks for chunk work: the session's shuffle width, which is to grow with the data.
 
     Stated outright because the work is heavy for its bytes, which adaptive coalescing
     would otherwise squeeze into a few tasks.
     """
-    spark = df.sparkSession
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_halo(indexed: DataFrame, halo: int, chunk: int | None = None, ahead: int = 0) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from candlewright.core import KEY
+from candlewright.sources.tables import scratch_path
 
 c = F.col
 
@@ -14,11 +13,11 @@ c = F.col
 def robust_scaled(df: DataFrame, names, group=()) -> DataFrame:
     """(x - median) / (q75 - q25) per group; NULL counts as 0, a zero spread as 1.
 
-    Exact percentiles combine value counts on the map side.
+    Quantiles are off by at most 1e-4 of the ranks and take bounded memory per group.
     """
     names, group = list(names), list(group)
     filled = df.select(*[x for x in df.columns if x not in names], *[F.coalesce(F.when(~F.isnan(n), c(n)), F.lit(0.0)).alias(n) for n in names])
-    q = filled.groupBy(*group).agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{n}") for n in names])
+    q = filled.groupBy(*group).agg(*[F.percentile_approx(n, [0.25, 0.5, 0.75], 10_000).alias(f"_q_{n}") for n in names])
     j = filled.join(q, group) if group else filled.crossJoin(F.broadcast(q))
 
     def scaled(n):
@@ -28,38 +27,67 @@ def robust_scaled(df: DataFrame, names, group=()) -> DataFrame:
     return j.select(*filled.columns, *[scaled(n) for n in names])
 
 
-def cluster_events(vectors: DataFrame, names, k: int = 4, seed: int = 42, min_t: float = 1.5, top: int = 12) -> DataFrame:
-    """k-means over robust-scaled event vectors, each cluster described against the rest.
+def _nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """points (key, _x) with the cluster of the nearest of their series' centres; ties go to the first."""
+    gap = lambda m: F.aggregate(F.zip_with("_x", m.x, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, d: t + d)
+    best = F.array_min(F.transform("_centres", lambda m: F.struct(gap(m).alias("d"), m.cluster.alias("cluster"))))
+    return points.join(centres, KEY).withColumn("cluster", best.cluster).drop("_centres")
+
+
+def k_means(points: DataFrame, size: int, k: int = 4, rounds: int = 10) -> DataFrame:
+    """Lloyd steps for every series at once: points (key, _x of length size) with their cluster.
+
+    A series with fewer than k points gets half as many clusters as points. Seeds are the
+    different points with the smallest hashes, so a run can be repeated. Each step is one
+    sum per cluster, combined on the map side; only the centres, k per series, are written.
+    """
+    number = points.groupBy(*KEY).agg(F.count("*").alias("_n")).select(*KEY, F.when(c("_n") < k, F.greatest(F.lit(1), F.floor(c("_n") / 2))).otherwise(k).alias("_k"))
+    w = Window.partitionBy(*KEY).orderBy(F.xxhash64("_x"), "_x")
+    seeds = points.select(*KEY, "_x").distinct().withColumn("_r", F.row_number().over(w)).where(c("_r") <= k).join(number, KEY).where("_r <= _k")
+    own = seeds.select(*KEY, (c("_r") - 1).cast("int").alias("cluster"), c("_x").alias("x"))
+    spark = points.sparkSession
+    for step in range(rounds + 1):
+        centres = own.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("cluster", "x"))).alias("_centres"))
+        path = scratch_path(spark, "centres")
+        centres.write.parquet(path)
+        assigned = _nearest(points, spark.read.schema(centres.schema).parquet(path))
+        if step < rounds:
+            own = assigned.groupBy(*KEY, "cluster").agg(F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(size)]).alias("x"))
+    return assigned
+
+
+def cluster_events(vectors: DataFrame, names, k: int = 4, min_t: float = 1.5, top: int = 12) -> DataFrame:
+    """k-means per series over robust-scaled event vectors, each cluster described against the rest of its series.
 
     Sums for "the rest" are the totals minus the cluster's own, so nothing is scanned
     twice per cluster.
     """
     names = list(names)
-    s = robust_scaled(vectors.drop("cluster"), names)
-    x = VectorAssembler(inputCols=[f"_s_{n}" for n in names], outputCol="_x").transform(s)
-    labelled = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(x).transform(x)
-    long = labelled.select("cluster", *names).unpivot(["cluster"], names, "feature", "value")
-    per = long.groupBy("cluster", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("var"))
-    tot = per.groupBy("feature").agg(F.sum("n").alias("n_all"), (F.sum(c("n") * c("mean")) / F.sum("n")).alias("mean_all"))
-    per = per.join(tot, "feature").withColumn("_d", c("mean") - c("mean_all"))
+    s = robust_scaled(vectors.drop("cluster"), names, KEY)
+    labelled = k_means(s.withColumn("_x", F.array(*[c(f"_s_{n}") for n in names])), len(names), k)
+    one = [*KEY, "cluster"]
+    long = labelled.select(*one, *names).unpivot(one, names, "feature", "value")
+    per = long.groupBy(*one, "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("var"))
+    tot = per.groupBy(*KEY, "feature").agg(F.sum("n").alias("n_all"), (F.sum(c("n") * c("mean")) / F.sum("n")).alias("mean_all"))
+    per = per.join(tot, [*KEY, "feature"]).withColumn("_d", c("mean") - c("mean_all"))
     own_ss = c("n") * (c("var") + c("_d") * c("_d"))
-    per = per.join(per.groupBy("feature").agg(F.sum(own_ss).alias("ss_all")), "feature")
+    per = per.join(per.groupBy(*KEY, "feature").agg(F.sum(own_ss).alias("ss_all")), [*KEY, "feature"])
     p = per.withColumn("n_rest", c("n_all") - c("n")).where((c("n_rest") >= 2) & (c("n") >= 2) & (F.sqrt("var") >= 1e-10))
     p = p.withColumn("mean_rest", (c("n_all") * c("mean_all") - c("n") * c("mean")) / c("n_rest"))
     shift = c("mean_rest") - c("mean_all")
     p = p.withColumn("var_rest", F.greatest(c("ss_all") - own_ss - c("n_rest") * shift * shift, F.lit(0.0)) / (c("n_rest") - 1))
     se = F.sqrt(c("var") / (c("n") - 1) + c("var_rest") / c("n_rest"))
     p = p.withColumn("t_stat", F.try_divide(c("mean") - c("mean_rest"), se)).where(F.abs("t_stat") > min_t)
-    w = Window.partitionBy("cluster").orderBy(F.desc(F.abs("t_stat")), "feature")
+    w = Window.partitionBy(*one).orderBy(F.desc(F.abs("t_stat")), "feature")
     p = p.withColumn("_r", F.row_number().over(w)).where(c("_r") <= top)
-    feats = p.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct(
+    feats = p.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct(
         c("_r").alias("rank"), "feature", F.round("t_stat", 3).alias("t_stat"), F.round("mean", 4).alias("cluster_mean"), F.round("mean_rest", 4).alias("global_mean"), F.round(c("mean") - c("mean_rest"), 4).alias("diff")))).alias("key_features"))
     up = F.count_if(c("direction") == "UP")
-    head = labelled.groupBy("cluster").agg(
+    head = labelled.groupBy(*one).agg(
         F.count("*").alias("n_events"), F.when(up > F.count_if(c("direction") == "DOWN"), "UP").otherwise("DOWN").alias("dominant_direction"),
         F.round(F.avg("magnitude_pct"), 3).alias("avg_magnitude_pct"))
-    types = labelled.groupBy("cluster", "move_type").agg(F.count("*").alias("_k")).groupBy("cluster").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("move_type", "_k"))))).alias("move_types"))
-    return head.join(types, "cluster").join(feats, "cluster", "left")
+    types = labelled.groupBy(*one, "move_type").agg(F.count("*").alias("_k")).groupBy(*one).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("move_type", "_k"))))).alias("move_types"))
+    return head.join(types, one).join(feats, one, "left")
 
 
 def similar_events(targets: DataFrame, history: DataFrame, names, k: int = 5, min_common: int = 5) -> DataFrame:

@@ -21,12 +21,13 @@ MOVE_LADDER = (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0
 MOVE_MULTIPLES = (0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 EVENTS_PER_YEAR_1H = 300
 
+# Columns kept beside a movement.
 CONTEXT_FIELDS = (
     "regime", "trend_score", "momentum_score", "move_readiness", "adx", "rsi_14",
     "entropy_20", "hurst_60", "atr_pct", "volume_ratio", "ema_alignment", "supertrend_dir",
 )
 
-# Rank of each type when several rules claim one bar; lower wins.
+# Rank of each type when several rules claim one bar; lower wins.
 SPECIFICITY = {
     "SQUEEZE_RELEASE_DOWN": 0, "SQUEEZE_RELEASE_UP": 0, "BREAKDOWN": 1, "BREAKOUT_UP": 1,
     "REVERSAL_DOWN": 2, "REVERSAL_UP": 2, "IMPULSE_DOWN": 3, "IMPULSE_UP": 3,

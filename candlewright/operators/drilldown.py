@@ -11,11 +11,14 @@ c = F.col
 
 # Coarse-to-fine order, and which side each entry signal speaks for.
 CHAIN = ("1d", "4h", "1h", "15m", "5m", "1m")
-BOTH = ("rsi_divergence", "macd_hist", "ema_alignment", "supertrend_dir", "volume_surge", "entropy_squeeze", "kc_squeeze",
-        "move_readiness", "struct_score", "obv_slope", "cvd_divergence", "wpi", "hurst_60", "adx")
-DOWN_ONLY = ("bear_engulf", "pin_bar_bear", "breakout_down_20", "at_donchian_low")
-UP_ONLY = ("bull_engulf", "pin_bar_bull", "breakout_up_20", "at_donchian_high")
-ENTRY_SIGNALS = (*BOTH, *DOWN_ONLY, *UP_ONLY)
+SIDE_OF_SIGNAL = {
+    "rsi_divergence": "BOTH", "macd_hist": "BOTH", "ema_alignment": "BOTH", "supertrend_dir": "BOTH", "volume_surge": "BOTH", "entropy_squeeze": "BOTH",
+    "kc_squeeze": "BOTH", "move_readiness": "BOTH", "struct_score": "BOTH", "obv_slope": "BOTH", "cvd_divergence": "BOTH", "wpi": "BOTH", "hurst_60": "BOTH",
+    "adx": "BOTH", "bear_engulf": "DOWN", "pin_bar_bear": "DOWN", "breakout_down_20": "DOWN", "at_donchian_low": "DOWN", "bull_engulf": "UP",
+    "pin_bar_bull": "UP", "breakout_up_20": "UP", "at_donchian_high": "UP",
+}
+BOTH, DOWN_ONLY, UP_ONLY = (tuple(k for k, v in SIDE_OF_SIGNAL.items() if v == side) for side in ("BOTH", "DOWN", "UP"))
+ENTRY_SIGNALS = tuple(SIDE_OF_SIGNAL)
 FIBONACCI = (0.618, 1.0, 1.272, 1.618, 2.618)
 REWARDS = (1.5, 2.5, 4.0)
 

@@ -43,7 +43,8 @@ def summarize(trades: DataFrame, keys=tuple(RUN_KEY)) -> DataFrame:
     loss = F.abs(F.coalesce("_loss", F.lit(0.0)))
     wins = F.coalesce("_win", F.lit(0.0))
     return g.select(
-        *keys, "n_trades", F.round(c("n_wins") / c("n_trades") * 100, 1).alias("win_rate"), F.round(c("_total") / c("_start") * 100, 2).alias("pnl_pct"),
+        *keys, "n_trades", F.round(c("n_wins") / c("n_trades") * 100, 1).alias("win_rate"), # Sums of different order must not split a rounding tie; decimals round ties away from zero.
+        F.round(F.round(c("_total") / c("_start") * 100, 8).cast("decimal(20,8)"), 2).cast("double").alias("pnl_pct"),
         F.round(F.greatest("_dd", F.lit(0.0)), 2).alias("max_drawdown"),
         F.round(F.when((c("n_trades") <= 1) | calm, 0.0).otherwise(F.try_divide(c("_mean"), c("_sd")) * F.sqrt("n_trades")), 3).alias("sharpe"),
         F.round(F.when(loss > 0, F.try_divide(wins, loss)).otherwise(999.0), 2).alias("profit_factor"),

@@ -50,11 +50,17 @@ def mine(features: DataFrame, events: DataFrame, names, lookback: int = 10) -> D
     return events.join(pre, [*KEY, "bar_idx"]).join(now, [*KEY, "bar_idx"])
 
 
-def background(features: DataFrame, events: DataFrame, names, lookback: int = 5, lengths: DataFrame | None = None) -> DataFrame:
-    """About 600 evenly spaced bars per series for each type, away from its events."""
-    n = lengths if lengths is not None else features.groupBy(*KEY).agg((F.max("bar_idx") + 1).alias("n_bars"))
-    step = F.greatest(F.lit(1), F.floor(F.col("n_bars") / 600))
-    sample = features.join(n, KEY).where((F.col("bar_idx") >= 50) & ((F.col("bar_idx") - 50) % step == 0))
+def background(features: DataFrame, events: DataFrame, names, lookback: int = 5, per_series: int | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """The bars of each series for each of its types, away from its events.
+
+    All bars count. With `per_series`, a sampling parameter (600 to match older reports),
+    about so many evenly spaced ones do.
+    """
+    sample = features.where(F.col("bar_idx") >= 50)
+    if per_series is not None:
+        n = lengths if lengths is not None else features.groupBy(*KEY).agg((F.max("bar_idx") + 1).alias("n_bars"))
+        step = F.greatest(F.lit(1), F.floor(F.col("n_bars") / per_series))
+        sample = sample.join(n, KEY).where((F.col("bar_idx") - 50) % step == 0)
     types = events.select(*TYPE_KEY).distinct()
     near = joins.near_positions(events, lookback + 2, ("move_type",))
     return (
@@ -191,12 +197,13 @@ def correlations(event_vectors: DataFrame, names) -> DataFrame:
     return s.select(*TYPE_KEY, "fa", "fb", c("n").cast("long").alias("n"), F.when(var > 0, cov / F.sqrt(var)).alias("r"))
 
 
-def drop_correlated(ranked: DataFrame, event_vectors: DataFrame, names, top: int = 40, limit: float = DEDUP_CORRELATION) -> DataFrame:
-    """Of two strongly correlated leading predictors the weaker one goes.
+def drop_correlated(ranked: DataFrame, event_vectors: DataFrame, names, top: int | None = None, limit: float = DEDUP_CORRELATION) -> DataFrame:
+    """Of two strongly correlated predictors the weaker one goes.
 
-    The greedy pass sees at most `top` rows per (series, type).
+    The greedy pass sees one row per pair of columns of a (series, type), whose number the
+    catalogue bounds; `top` narrows it to the leading ranks.
     """
-    lead = ranked.where(F.col("rank") <= top).select(*TYPE_KEY, "feature", "rank", "t_statistic")
+    lead = (ranked if top is None else ranked.where(F.col("rank") <= top)).select(*TYPE_KEY, "feature", "rank", "t_statistic")
     a = lead.select(*TYPE_KEY, F.col("feature").alias("fa"), F.col("rank").alias("ra"), F.col("t_statistic").alias("ta"))
     b = lead.select(*TYPE_KEY, F.col("feature").alias("fb"), F.col("rank").alias("rb"), F.col("t_statistic").alias("tb"))
     strong = (
@@ -231,14 +238,15 @@ def _hit_interval(n: pd.Series, pct: pd.Series, key: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["lo", "hi"])
 
 
-def bootstrap_hit_rate(ranked: DataFrame, top: int = 20) -> DataFrame:
+def bootstrap_hit_rate(ranked: DataFrame, top: int | None = None) -> DataFrame:
     """90 % interval of the hit rate from 200 resamples.
 
     Resampling n events with replacement and counting hits is a binomial draw, so the
     group's values never have to be brought together. Seeds come from the row's key.
     """
-    w = Window.partitionBy(*TYPE_KEY).orderBy("rank")
-    r = ranked.withColumn("_pos", F.row_number().over(w)).where((F.col("_pos") <= top) & (F.col("n_events") >= 5))
+    r = ranked.where("n_events >= 5")
+    if top is not None:
+        r = r.withColumn("_pos", F.row_number().over(Window.partitionBy(*TYPE_KEY).orderBy("rank"))).where(F.col("_pos") <= top)
     ci = _hit_interval("n_events", "predictive_pct", F.xxhash64(*TYPE_KEY, "feature"))
     return r.withColumn("_ci", ci).select(*ranked.columns, F.col("_ci.lo").alias("hit_rate_ci_low"), F.col("_ci.hi").alias("hit_rate_ci_high"))
 
@@ -251,7 +259,7 @@ def regime_split(events: DataFrame, features: DataFrame) -> DataFrame:
     return counts.withColumn("pct_total", F.round(F.col("n_events") / total * 100, 1)).where(F.col("n_events") >= 4)
 
 
-def composite_score(ranked: DataFrame, event_vectors: DataFrame, bg: DataFrame, names, top: int = 5, bg_rows: int = 300) -> DataFrame:
+def composite_score(ranked: DataFrame, event_vectors: DataFrame, bg: DataFrame, names, top: int = 5) -> DataFrame:
     """How many of the leading conditions events meet against background bars."""
     w = Window.partitionBy(*TYPE_KEY).orderBy("rank")
     conds = ranked.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= top).select(*TYPE_KEY, "feature", "t_statistic", "threshold")
@@ -264,8 +272,6 @@ def composite_score(ranked: DataFrame, event_vectors: DataFrame, bg: DataFrame,
         hit = unpivot(df, ids, names).join(conds, [*TYPE_KEY, "feature"]).groupBy(*ids).agg(F.count_if(met).alias("score"))
         return df.select(*ids).join(hit, ids, "left").select(*ids, F.coalesce("score", F.lit(0)).alias("score"))
 
-    first = Window.partitionBy(*TYPE_KEY).orderBy("bar_idx")
-    bg_first = bg.withColumn("_r", F.row_number().over(first)).where(c("_r") <= bg_rows).drop("_r")
     levels = n_conds.select(
         *TYPE_KEY, "n_conditions",
         F.posexplode(F.array(c("n_conditions"), c("n_conditions") - 1, c("n_conditions") - 2, F.lit(2).cast("long"), F.lit(1).cast("long"))).alias("step", "min_score"))
@@ -277,7 +283,7 @@ def composite_score(ranked: DataFrame, event_vectors: DataFrame, bg: DataFrame,
         return levels.join(dist, TYPE_KEY).groupBy(*TYPE_KEY, "step").agg(
             (F.sum(F.when(c("score") >= c("min_score"), c("n")).otherwise(0)) / F.sum("n") * 100).alias(tag))
 
-    both = levels.join(rate(event_vectors, "ev"), [*TYPE_KEY, "step"]).join(rate(bg_first, "bg"), [*TYPE_KEY, "step"])
+    both = levels.join(rate(event_vectors, "ev"), [*TYPE_KEY, "step"]).join(rate(bg, "bg"), [*TYPE_KEY, "step"])
     both = both.withColumn("lift", c("ev") / (c("bg") + 1e-3)).where((c("ev") >= 30) | (c("lift") >= 1.5))
     return both.groupBy(*TYPE_KEY, "n_conditions").agg(F.min_by(F.struct("min_score", "ev", "bg", "lift"), "step").alias("_b")).select(
         *TYPE_KEY, "n_conditions", "_b.min_score", F.round("_b.ev", 1).alias("event_hit_rate"),

@@ -20,9 +20,11 @@ from candlewright.sources.tables import scratch_path
 
 c = F.col
 
-MAINTENANCE_MARGIN_PCT = 0.5
-MAX_MARGIN_FRACTION = 0.9
+# Distance kept from liquidation in percent, and the share of capital a position may bind.
+LIQUIDATION_BUFFER_PCT = 0.5
+BINDABLE_SHARE = 0.9
 WARM_UP_BARS = 10
+MOST_SETS = 100_000
 
 # Parameter defaults and the ranges a search draws from.
 DEFAULTS = {
@@ -118,9 +120,9 @@ def signal_ladders(features: DataFrame, conditions: DataFrame, names, carry=())
 def best_signals(ladders: DataFrame, params: DataFrame) -> DataFrame:
     """The strongest qualifying type per bar and parameter set.
 
-    `params` comes from `grid`, a list the caller wrote out, so its size is known.
+    `params` is broadcast up to MOST_SETS rows; beyond, the optimizer places it.
     """
-    df = ladders.where(c("close") > 0).crossJoin(F.broadcast(params))
+    df = ladders.where(c("close") > 0).crossJoin(F.broadcast(params) if params.count() <= MOST_SETS else params)
 
     def judged(t, i):
         k = F.size(F.filter(t.t, lambda x: x >= c("t_threshold")))
@@ -146,14 +148,14 @@ def add_levels(signals: DataFrame, start_capital: float = 100.0) -> DataFrame:
     long = c("direction") == "LONG"
     side = F.when(long, 1.0).otherwise(-1.0)
     e = c("close")
-    liq_pct = F.greatest(100.0 / c("leverage") - MAINTENANCE_MARGIN_PCT, F.lit(0.05))
+    liq_pct = F.greatest(100.0 / c("leverage") - LIQUIDATION_BUFFER_PCT, F.lit(0.05))
     df = signals.withColumn("entry_price", e).withColumn("sl_dist", e * c("sl_pct") / 100)
     df = df.withColumn("sl", e - side * c("sl_dist")).withColumn("tp", e + side * c("sl_dist") * c("tp_rr")).withColumn("liq_price", e - side * (e * liq_pct / 100))
     df = df.withColumn("is_liquidation", F.when(long, c("liq_price") > c("sl")).otherwise(c("liq_price") < c("sl")))
     df = df.withColumn("effective_stop", F.when(c("is_liquidation"), c("liq_price")).otherwise(c("sl")))
     risk = F.lit(float(start_capital)) * c("risk_per_trade_pct") / 100
     notional = risk / (c("sl_pct") / 100)
-    cap = float(start_capital) * MAX_MARGIN_FRACTION
+    cap = float(start_capital) * BINDABLE_SHARE
     shrink = F.when(notional / c("leverage") > cap, cap / (notional / c("leverage"))).otherwise(1.0)
     df = df.withColumn("risk_amount", risk * shrink).withColumn("notional", notional * shrink)
     df = df.withColumn("margin_required", F.least(notional / c("leverage"), F.lit(cap)))
@@ -177,15 +179,19 @@ def forward_paths(bars: DataFrame, hold: int) -> DataFrame:
         *KEY, c("orig_idx").alias("bar_idx"), c("bar_idx").alias("v_idx"), "path")
 
 
+def series_ends(bars: DataFrame) -> DataFrame:
+    """First and last bar of each series."""
+    return bars.groupBy(*KEY).agg(F.max("bar_idx").alias("_n"), F.max_by("close", "bar_idx").alias("_last"), F.max("ts").alias("_last_ts"), F.min("bar_idx").alias("_first"))
+
+
 def label_outcomes(signals: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
     """First later bar that touches the stop (checked first) or the target, or times out.
 
     A signal the series ends on is closed at its last bar.
     """
-    ends = bars.groupBy(*KEY).agg(F.max("bar_idx").alias("_n"), F.max_by("close", "bar_idx").alias("_last"), F.max("ts").alias("_last_ts"), F.min("bar_idx").alias("_first"))
-    # `simulate` attaches the paths before the grid multiplies the bars
+    # `simulate` attaches the paths and ends before the grid multiplies the bars
     df = signals if "path" in signals.columns else signals.join(forward_paths(bars, hold), [*KEY, "bar_idx"])
-    df = df.join(ends, KEY)
+    df = df if "_n" in df.columns else df.join(series_ends(bars), KEY)
     long = c("direction") == "LONG"
 
     def stop(b):
@@ -284,7 +290,11 @@ def simulate(features: DataFrame, conditions: DataFrame, names, params: DataFram
     # One row per bar meets its path once; the grid then multiplies rows inside their
     # task and the path is dropped there, so it is never shuffled per parameter set.
     spread = features.repartition(chunks.chunk_tasks(features), *KEY, "bar_idx")
-    ladders = signal_ladders(spread, conditions, names).join(forward_paths(features, hold), [*KEY, "bar_idx"])
+    ladders = signal_ladders(spread, conditions, names)
+    # A rung's score is at most the last one's, so bars below the loosest row never signal.
+    loosest = F.broadcast(params.agg(F.min("min_score").alias("_least")))
+    ladders = ladders.crossJoin(loosest).where(F.exists("_types", lambda t: F.try_element_at(t.r.s, F.lit(-1)) >= c("_least"))).drop("_least")
+    ladders = ladders.join(series_ends(features), KEY).join(forward_paths(features, hold), [*KEY, "bar_idx"])
     signals = add_levels(best_signals(ladders, params), start_capital)
     labelled = label_outcomes(signals, features, hold).drop("high", "low", "close", "effective_stop", "margin_required", "notional", "sl_dist", "v_idx")
     # The selection reads the outcomes several times; as a table they are labelled once.

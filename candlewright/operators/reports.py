@@ -48,17 +48,17 @@ def direction_bias(events: DataFrame) -> DataFrame:
         "volatility", F.when(c("avg_magnitude") > 5, "HOCH").when(c("avg_magnitude") > 2.5, "MITTEL").otherwise("NIEDRIG"))
 
 
-def best_signals(ranked: DataFrame, top: int = 8) -> DataFrame:
+def best_signals(ranked: DataFrame, top: int = 8, min_t: float = 5.0, min_hit: float = 45.0) -> DataFrame:
     """The strongest (feature, type) pairs of a series by hit rate times |t|."""
-    s = ranked.where((F.abs("t_statistic") >= 5) & (c("predictive_pct") >= 45)).withColumn("strength", F.round(F.round("predictive_pct", 1) * F.abs(F.round("t_statistic", 2)), 4))
+    s = ranked.where((F.abs("t_statistic") >= min_t) & (c("predictive_pct") >= min_hit)).withColumn("strength", F.round(F.round("predictive_pct", 1) * F.abs(F.round("t_statistic", 2)), 4))
     w = Window.partitionBy(*KEY).orderBy(F.desc("strength"), "move_type", "feature")
     return s.withColumn("position", F.row_number().over(w)).where(c("position") <= top).select(*TYPE_KEY, "feature", "strength", "position")
 
 
-def type_summary(ranked: DataFrame, events: DataFrame, top: int = 3) -> DataFrame:
+def type_summary(ranked: DataFrame, events: DataFrame, top: int = 3, min_t: float = 4.0, min_hit: float = 40.0) -> DataFrame:
     n = events.groupBy(*TYPE_KEY).agg(F.count("*").alias("n_events"), F.round(F.avg(F.abs("magnitude_pct")), 2).alias("avg_magnitude")).where(c("n_events") >= 3)
     w = Window.partitionBy(*TYPE_KEY).orderBy("rank")
-    s = ranked.where((F.abs("t_statistic") >= 4) & (c("predictive_pct") >= 40)).withColumn("_p", F.row_number().over(w)).where(c("_p") <= top)
+    s = ranked.where((F.abs("t_statistic") >= min_t) & (c("predictive_pct") >= min_hit)).withColumn("_p", F.row_number().over(w)).where(c("_p") <= top)
     g = s.groupBy(*TYPE_KEY).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("_p", "feature"))), lambda x: x.feature)).alias("signals"))
     side = F.when(c("move_type").contains("UP") | c("move_type").contains("BREAKOUT"), "LONG").otherwise("SHORT")
     return g.join(n, TYPE_KEY).withColumn("direction", side)
@@ -76,9 +76,9 @@ def dominance(strategies: DataFrame) -> DataFrame:
         "confidence", F.least(F.lit(100), F.floor("best_score").cast("int")))
 
 
-def fingerprints(ranked: DataFrame, top: int = 8) -> DataFrame:
+def fingerprints(ranked: DataFrame, top: int = 8, min_t: float = 1.5) -> DataFrame:
     """Lift of the leading predictors, squeezed to 0..1."""
-    s = ranked.where(F.abs("t_statistic") >= 1.5)
+    s = ranked.where(F.abs("t_statistic") >= min_t)
     enough = s.groupBy(*TYPE_KEY).agg(F.count("*").alias("_n")).where("_n >= 3").drop("_n")
     w = Window.partitionBy(*TYPE_KEY).orderBy("rank")
     return s.join(enough, TYPE_KEY, "left_semi").withColumn("position", F.row_number().over(w)).where(c("position") <= top).select(

@@ -13,18 +13,23 @@ c = F.col
 # Feature families used to pick a strategy.
 FAMILIES = {
     "MOMENTUM": (
-        "momentum_score rsi_14 rsi_7 rsi_21 stoch_k stoch_d willr_14 cci_20 roc_10 roc_5 roc_20 macd_hist kalman_vel "
-        "velocity dist_ema_9 dist_ema_21").split(),
+        "momentum_score", "rsi_14", "rsi_7", "rsi_21", "stoch_k", "stoch_d", "willr_14", "cci_20", "roc_10", "roc_5",
+        "roc_20", "macd_hist", "kalman_vel", "velocity", "dist_ema_9", "dist_ema_21",
+    ),
     "ORDERFLOW": (
-        "cvd cvd_slope obv_z obv_slope buy_pressure sell_pressure vol_confirm volume_z volume_ratio mfi_14 "
-        "cum_pressure_slope mfi_divergence").split(),
+        "cvd", "cvd_slope", "obv_z", "obv_slope", "buy_pressure", "sell_pressure", "vol_confirm", "volume_z",
+        "volume_ratio", "mfi_14", "cum_pressure_slope", "mfi_divergence",
+    ),
     "BREAKOUT": (
-        "struct_hh struct_hl struct_lh struct_ll breakout_up_10 breakout_up_20 breakout_down_10 breakout_down_20 "
-        "donchian_pos bb_position range_position_50 at_donchian_high at_donchian_low fvg_bull fvg_bear bull_ob bear_ob "
-        "ichi_above_cloud").split(),
+        "struct_hh", "struct_hl", "struct_lh", "struct_ll", "breakout_up_10", "breakout_up_20", "breakout_down_10",
+        "breakout_down_20", "donchian_pos", "bb_position", "range_position_50", "at_donchian_high",
+        "at_donchian_low", "fvg_bull", "fvg_bear", "bull_ob", "bear_ob", "ichi_above_cloud",
+    ),
     "COMPLEXITY": (
-        "entropy_10 entropy_20 entropy_40 hurst_30 hurst_60 hurst_100 higuchi_fd dfa_alpha variance_ratio wpi "
-        "memory_pressure cct lyapunov ear_entropy autocorr_1 realized_vol_20 atr_pct entropy_squeeze").split(),
+        "entropy_10", "entropy_20", "entropy_40", "hurst_30", "hurst_60", "hurst_100", "higuchi_fd", "dfa_alpha",
+        "variance_ratio", "wpi", "memory_pressure", "cct", "lyapunov", "ear_entropy", "autocorr_1",
+        "realized_vol_20", "atr_pct", "entropy_squeeze",
+    ),
 }
 MEAN_REVERSION_FEATURES = ("hurst_30", "hurst_60", "variance_ratio", "autocorr_1")
 
@@ -32,7 +37,7 @@ MEAN_REVERSION_FEATURES = ("hurst_30", "hurst_60", "variance_ratio", "autocorr_1
 def feature_family(feature: Column) -> Column:
     out = F.lit(None).cast("string")
     for family, names in FAMILIES.items():
-        out = F.when(feature.isin(names), family).otherwise(out)
+        out = F.when(feature.isin(*names), family).otherwise(out)
     return out
 
 
@@ -141,15 +146,16 @@ def usable(validation: DataFrame) -> DataFrame:
         F.when(c("n_train") < 20, "n_train < 20").when(c("n_test") < 20, "n_test < 20").when(c("precision_pct") < 10, "precision < 10%"))
 
 
-def tradeable(validation: DataFrame) -> DataFrame:
-    return validation.where(c("label").isin("ROBUST", "STABIL") & (c("n_train") >= 20) & (c("n_test") >= 20)).select(
+def tradeable(validation: DataFrame, labels=("ROBUST", "STABIL"), least: int = 20) -> DataFrame:
+    """Types with one of the labels and at least so many events on either side of the split."""
+    return validation.where(c("label").isin(*labels) & (c("n_train") >= least) & (c("n_test") >= least)).select(
         *TYPE_KEY, F.when(c("move_type").contains("UP"), "LONG").otherwise("SHORT").alias("direction"), "n_train", "n_test")
 
 
 def entry_conditions(ranked: DataFrame, strong_t: float = 2.5, must=(5.0, 40.0), should=(3.0, 30.0)) -> DataFrame:
     """Predictors in three tiers with their entry thresholds."""
     w = Window.partitionBy(*TYPE_KEY).orderBy("rank")
-    strong = ranked.where(F.abs("t_statistic") >= strong_t).withColumn("_s", F.row_number().over(w)).where(c("_s") <= 50)
+    strong = ranked.where(F.abs("t_statistic") >= strong_t).withColumn("_s", F.row_number().over(w))
     tier = (
         F.when((F.abs("t_statistic") >= must[0]) & (c("predictive_pct") >= must[1]), "must_have")
         .when((F.abs("t_statistic") >= should[0]) & (c("predictive_pct") >= should[1]), "should_have").otherwise("supporting"))
@@ -166,7 +172,7 @@ def entry_conditions(ranked: DataFrame, strong_t: float = 2.5, must=(5.0, 40.0),
     )
 
 
-def strategy_scores(events: DataFrame, ranked: DataFrame) -> DataFrame:
+def strategy_scores(events: DataFrame, ranked: DataFrame, min_t: float = 4.0, min_hit: float = 35.0) -> DataFrame:
     """Score of each strategy per series: event shares plus evidence by family."""
     has = lambda *t: F.count_if(c("move_type").isin(*t))
     n = events.groupBy(*KEY).agg(
@@ -180,15 +186,15 @@ def strategy_scores(events: DataFrame, ranked: DataFrame) -> DataFrame:
             F.struct(F.lit("SQUEEZE").alias("strategy"), F.when(c("SQUEEZE") / c("n") > 0.10, c("SQUEEZE") * 2.0).otherwise(0.0).alias("score")),
         )).alias("_s")).select(*KEY, "_s.*")
     t = F.abs("t_statistic")
-    family = ranked.where((t >= 4) & (c("predictive_pct") >= 35)).select(
+    family = ranked.where((t >= min_t) & (c("predictive_pct") >= min_hit)).select(
         *KEY, feature_family(c("feature")).alias("strategy"), (t * c("predictive_pct") / 100).alias("score")).where("strategy is not null")
     revert = ranked.where((c("rank") <= 15) & c("feature").isin(*MEAN_REVERSION_FEATURES)).select(
         *KEY, F.lit("MEAN_REV").alias("strategy"), (t * 0.5).alias("score"))
     return share.unionByName(family).unionByName(revert).groupBy(*KEY, "strategy").agg(F.sum("score").alias("score"))
 
 
-def select_strategy(events: DataFrame, ranked: DataFrame) -> DataFrame:
-    scores = strategy_scores(events, ranked)
+def select_strategy(events: DataFrame, ranked: DataFrame, min_t: float = 4.0, min_hit: float = 35.0) -> DataFrame:
+    scores = strategy_scores(events, ranked, min_t, min_hit)
     # order in which equal scores win
     order = F.array_position(F.array(*[F.lit(s) for s in ("MOMENTUM", "BREAKOUT", "MEAN_REV", "SQUEEZE", "ORDERFLOW", "COMPLEXITY")]), c("strategy"))
     top = scores.groupBy(*KEY).agg(
@@ -198,9 +204,9 @@ def select_strategy(events: DataFrame, ranked: DataFrame) -> DataFrame:
     return top.withColumn("strategy", F.when(hybrid, "HYBRID").otherwise(c("leader")))
 
 
-def signal_template(ranked: DataFrame) -> DataFrame:
+def signal_template(ranked: DataFrame, min_t: float = 4.0) -> DataFrame:
     w = Window.partitionBy(*TYPE_KEY).orderBy("rank")
-    top = ranked.where(F.abs("t_statistic") >= 4).withColumn("_p", F.row_number().over(w)).where(c("_p") <= 5)
+    top = ranked.where(F.abs("t_statistic") >= min_t).withColumn("_p", F.row_number().over(w)).where(c("_p") <= 5)
     up = c("move_type").contains("UP") | c("move_type").contains("BREAKOUT")
     return top.groupBy(*TYPE_KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_p", "feature"))), lambda x: x.feature).alias("key_features"),

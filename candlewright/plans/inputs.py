@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from candlewright.core import KEY
-from candlewright.functions.features import compute_features
+from candlewright.functions.features import ALL_FEATURES, candidate_features, compute_features
 from candlewright.operators import mining, outcomes
 from candlewright.operators.detect import DetectorSettings, detect_movements
 from candlewright.operators.validate import entry_conditions, split_time
@@ -94,8 +94,7 @@ def event_vectors(spark, sf_dir) -> DataFrame:
 def background(spark, sf_dir) -> DataFrame:
     def build():
         f, ev = train(spark, sf_dir)
-        n = f.groupBy(*KEY).agg((F.max("bar_idx") + 1).alias("n_bars"))
-        return mining.background(f.drop("n_bars"), ev, STUDY, 5, n)
+        return mining.background(f, ev, STUDY, 5)
 
     return once(spark, sf_dir, "background", build)
 
@@ -108,6 +107,23 @@ def predictors(spark, sf_dir) -> DataFrame:
     return once(spark, sf_dir, "predictors", lambda: mining.rank_predictors(statistics(spark, sf_dir)))
 
 
+def full_study(spark, sf_dir) -> DataFrame:
+    """Bars with every column of the catalogue and the split."""
+    return once(spark, sf_dir, "full_study", lambda: split_time(features(spark, sf_dir, ALL_FEATURES)))
+
+
+def full_statistics(spark, sf_dir) -> DataFrame:
+    """Which of all candidate columns differ before a movement: the statistics over the whole catalogue."""
+    def build():
+        names = candidate_features()
+        f, ev = full_study(spark, sf_dir).where("is_train"), train(spark, sf_dir)[1]
+        enough = mining.enough_events(ev).select(*mining.TYPE_KEY)
+        vectors = mining.precondition_vectors(f, ev.join(enough, mining.TYPE_KEY, "left_semi"), names, 5)
+        return mining.welch(vectors, mining.background(f, ev, names, 5), names)
+
+    return once(spark, sf_dir, "full_statistics", build)
+
+
 # The test tables are noise, so the studies use lower bars than the defaults.
 LEADING = {"min_t": 0.5, "min_hit": 5.0, "top": 6}
 TIERS = {"strong_t": 0.3, "must": (1.5, 15.0), "should": (0.6, 10.0)}
@@ -117,7 +133,7 @@ def conditions(spark, sf_dir) -> DataFrame:
     return once(spark, sf_dir, "conditions", lambda: entry_conditions(predictors(spark, sf_dir), **TIERS))
 
 
-BASE_PARAMS = {"t_threshold": 0.5, "min_score": 4.0, "min_hit_rate": 0.6, "sl_pct": 20.0, "tp_rr": 2.0, "leverage": 4.0,
+BASE_PARAMS = {"t_threshold": 0.5, "min_score": 2.5, "min_hit_rate": 0.5, "sl_pct": 20.0, "tp_rr": 2.0, "leverage": 4.0,
                "risk_per_trade_pct": 1.0, "max_hold_bars": 12, "fee_pct_per_side": 0.06}
 
 

@@ -40,10 +40,9 @@ CTE["sp"] = "SELECT symbol, i, " + ", ".join(f"avg({f}) {before(5)} AS {f}" for
 CTE["prew"] = f"SELECT v.symbol, v.move_type, v.i, {', '.join('p.' + f for f in STUDY)} FROM tev v JOIN okt USING (symbol, move_type) JOIN sp p ON p.symbol = v.symbol AND p.i = v.i"
 CTE["pre"] = f"SELECT symbol, move_type, i, feature, value FROM (SELECT symbol, move_type, i, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in STUDY)} FROM prew) UNPIVOT (value FOR feature IN ({FEATS}))"
 CTE["bgw"] = f"""
-SELECT t.symbol, t.move_type, s.i, {', '.join('s.' + f for f in STUDY)} FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS nt FROM sf WHERE is_train) s
+SELECT t.symbol, t.move_type, s.i, {', '.join('s.' + f for f in STUDY)} FROM (SELECT * FROM sf WHERE is_train) s
 JOIN (SELECT DISTINCT symbol, move_type FROM tev) t ON t.symbol = s.symbol
-WHERE s.i >= 50 AND (s.i - 50) % greatest(1, CAST(floor(s.nt / 600) AS BIGINT)) = 0
- AND NOT EXISTS (SELECT 1 FROM tev v WHERE v.symbol = t.symbol AND v.move_type = t.move_type AND v.i BETWEEN s.i - 7 AND s.i + 7)"""
+WHERE s.i >= 50 AND NOT EXISTS (SELECT 1 FROM tev v WHERE v.symbol = t.symbol AND v.move_type = t.move_type AND v.i BETWEEN s.i - 7 AND s.i + 7)"""
 CTE["bg"] = f"SELECT symbol, move_type, i, feature, value FROM (SELECT symbol, move_type, i, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in STUDY)} FROM bgw) UNPIVOT (value FOR feature IN ({FEATS}))"
 M = "count(*) AS n_{t}, avg(value) AS mean_{t}, stddev_pop(value) AS std_{t}, var_samp(value) AS var_{t}"
 CTE["mo"] = f"""SELECT * FROM (SELECT symbol, move_type, feature, {M.format(t='ev')} FROM pre GROUP BY ALL) JOIN (SELECT symbol, move_type, feature, {M.format(t='bg')} FROM bg GROUP BY ALL) USING (symbol, move_type, feature)
@@ -89,17 +88,13 @@ SELECT symbol, move_type, tier, tier_rank, feature, CASE WHEN t_statistic > 0 TH
  SELECT *, row_number() OVER (PARTITION BY symbol, move_type, tier ORDER BY s) AS tier_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, move_type ORDER BY rank) AS s,
    CASE WHEN abs(t_statistic) >= {TIERS['must'][0]} AND predictive_pct >= {TIERS['must'][1]} THEN 'must_have' WHEN abs(t_statistic) >= {TIERS['should'][0]} AND predictive_pct >= {TIERS['should'][1]} THEN 'should_have' ELSE 'supporting' END AS tier
-  FROM pred WHERE abs(t_statistic) >= {TIERS['strong_t']}) WHERE s <= 50)
+  FROM pred WHERE abs(t_statistic) >= {TIERS['strong_t']}))
 WHERE tier_rank <= CASE WHEN tier = 'must_have' THEN 8 ELSE 10 END"""
 
 # ── trades ───────────────────────────────────────────────────────────────────
 CTE["tsrc"] = "SELECT *, symbol AS base FROM sf WHERE NOT is_train"
 CTE["tl"] = f"SELECT symbol, base, i, feature, value FROM (SELECT symbol, base, i, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in STUDY)} FROM tsrc) UNPIVOT (value FOR feature IN ({FEATS}))"
 CTE["sc"] = """
-SELECT g.param_id, x.symbol, x.i, k.move_type, sum(CASE WHEN met THEN abs(k.t_statistic) ELSE 0 END) AS score, count(*) FILTER (WHERE met) AS m, count(*) AS t
-FROM (SELECT *, CASE WHEN direction = 'above' THEN value > baseline_avg ELSE value < baseline_avg END AS met FROM tl JOIN cond c ON c.symbol = tl.base AND c.feature = tl.feature AND c.tier IN ('must_have', 'should_have')) k
-JOIN tl x ON x.symbol = k.symbol AND x.i = k.i AND x.feature = k.feature JOIN g ON abs(k.t_statistic) >= g.t_threshold GROUP BY ALL"""
-CTE["sc"] = """
 SELECT g.param_id, k.slice AS symbol, k.i, k.move_type, sum(CASE WHEN met THEN t ELSE 0 END) AS score, count(*) FILTER (WHERE met) AS m, count(*) AS tt
 FROM (SELECT tl.symbol AS slice, tl.i, c.move_type, abs(c.t_statistic) AS t, CASE WHEN c.direction = 'above' THEN value > baseline_avg ELSE value < baseline_avg END AS met
  FROM tl JOIN cond c ON c.symbol = tl.base AND c.feature = tl.feature AND c.tier IN ('must_have', 'should_have')) k JOIN g ON k.t >= g.t_threshold GROUP BY ALL"""
@@ -134,7 +129,7 @@ SELECT n.symbol, n.param_id, ts AS entry_ts, close_ts, move_type, CASE WHEN lg T
 CTE["eq0"] = "SELECT *, 100 + sum(raw_pnl) OVER (PARTITION BY symbol, param_id ORDER BY entry_idx) AS capital FROM tr"
 CTE["eq"] = "SELECT *, (peak - capital) / peak * 100 AS dd FROM (SELECT *, greatest(100, max(capital) OVER (PARTITION BY symbol, param_id ORDER BY entry_idx)) AS peak FROM eq0)"
 CTE["summ"] = """
-SELECT symbol, param_id, count(*) AS n_trades, round(count(*) FILTER (WHERE pnl > 0) * 100.0 / count(*), 1) AS win_rate, round(sum(raw_pnl), 2) AS pnl_pct, round(greatest(max(dd), 0), 2) AS max_drawdown,
+SELECT symbol, param_id, count(*) AS n_trades, round(count(*) FILTER (WHERE pnl > 0) * 100.0 / count(*), 1) AS win_rate, CAST(round(CAST(round(sum(raw_pnl), 8) AS DECIMAL(20, 8)), 2) AS DOUBLE) AS pnl_pct, round(greatest(max(dd), 0), 2) AS max_drawdown,
  round(CASE WHEN count(*) <= 1 OR stddev_pop(pnl) <= greatest(abs(avg(pnl)) * 1e-6, 1e-9) THEN 0 ELSE avg(pnl) / stddev_pop(pnl) * sqrt(count(*)) END, 3) AS sharpe,
  round(CASE WHEN abs(coalesce(sum(pnl) FILTER (WHERE pnl <= 0), 0)) > 0 THEN coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / abs(sum(pnl) FILTER (WHERE pnl <= 0)) ELSE 999 END, 2) AS profit_factor,
  round(coalesce(avg(pnl) FILTER (WHERE pnl > 0), 0), 4) AS avg_win, round(coalesce(avg(pnl) FILTER (WHERE pnl <= 0), 0), 4) AS avg_loss, round(100 + sum(raw_pnl), 4) AS end_capital, count(*) FILTER (WHERE close_reason = 'LIQ') AS n_liquidations

@@ -97,7 +97,7 @@ def _(spark, sf):
 
 GRID = [
     {**BASE_PARAMS, "t_threshold": t, "min_score": m, "sl_pct": s, "leverage": lv, "max_hold_bars": h}
-    for t in (0.5, 1.2) for m in (3.0, 5.0) for s, lv in ((10.0, 4.0), (30.0, 20.0)) for h in (6, 20)
+    for t in (0.5, 1.2) for m in (2.5, 5.0) for s, lv in ((10.0, 4.0), (30.0, 20.0), (90.0, 1.0)) for h in (3, 12)  # every kind of exit occurs
 ]
 
 
@@ -387,6 +387,3 @@ def _(spark, sf):
 def _(spark, sf):
     s = sliced(spark, sf, "splits", an.split_slices(inputs.study(spark, sf)))
     return an.spread_over(an.by_slice(s, "split_pct")).drop("timeframe")
-
-
-_ = (CTE, sql_study)

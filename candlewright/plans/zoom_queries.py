@@ -169,7 +169,7 @@ def _(spark, sf):
         ev = inputs.once(spark, sf, f"scale_e_{mult}", lambda: ev)
         tr, te = f.where("is_train"), ev.where("is_train")
         vec = mining.precondition_vectors(tr, te, STUDY, 5)
-        bg = mining.background(tr.drop("n_bars"), te, STUDY, 5, tr.groupBy(*KEY).agg((F.max("bar_idx") + 1).alias("n_bars")))
+        bg = mining.background(tr, te, STUDY, 5)
         st = inputs.once(spark, sf, f"scale_s_{mult}", lambda: mining.welch(vec, bg, STUDY))
         v = validate.validate(f, ev, mining.rank_predictors(st), STUDY, leading=LEADING)
         return v.withColumn("scale_mult", F.lit(float(mult)))
@@ -255,7 +255,8 @@ def _(spark, sf):
     path = tables.scratch_path(spark, "stream_features")
 
     def each(batch, batch_id):
-        live.batch_features(batch, ["rsi_14", "stoch_k"], "1d", 24.0).write.mode("append").parquet(path)
+        with live.kept(batch):
+            live.batch_features(batch, ["rsi_14", "stoch_k"], "1d", 24.0).write.mode("append").parquet(path)
 
     q = live.with_history(stored_bar_stream(spark, sf)).writeStream.foreachBatch(each).option("checkpointLocation", tables.scratch_path(spark, "sf-ckpt")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -377,6 +378,3 @@ def _(spark, sf):
     t = ledger.equity(inputs.base_trades(spark, sf))
     tables.write_ledger(t, path, "csv")
     return spark.read.schema(t.schema).option("header", True).csv(path).select("symbol", "entry_idx", "pnl")
-
-
-_ = sql_study

@@ -13,10 +13,14 @@ from candlewright.core import KEY
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the session's shared checkpoint folder.
 
-    Only where none is configured (tests on one machine) a local one is used.
+    Only a session on one machine, as in tests, may do without one and gets a local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="candlewright-")
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -73,6 +75,16 @@ def batch_features(history: DataFrame, names, timeframe: str, scale_multiplier:
     return f.join(bars.where("is_new").select(*KEY, "ts"), [*KEY, "ts"], "left_semi")
 
 
+@contextmanager
+def kept(batch: DataFrame):
+    """A micro-batch that is read several times: its stateful operator runs once."""
+    batch.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def live_signals(features: DataFrame, conditions: DataFrame, names, params: DataFrame) -> DataFrame:
     """Best signal per new bar: a stream-static join with the stored conditions."""
     ladders = outcomes.signal_ladders(features, conditions, names)
@@ -85,8 +97,9 @@ def start_signals(bars: DataFrame, conditions: DataFrame, names, params: DataFra
     A batch id column makes replays after a failure recognisable.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        f = batch_features(batch, names, timeframe, scale_multiplier)
-        live_signals(f, conditions, names, params).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        with kept(batch):
+            f = batch_features(batch, names, timeframe, scale_multiplier)
+            live_signals(f, conditions, names, params).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
 
     return with_history(bars).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append").start()
 
@@ -106,12 +119,15 @@ def recent_alerts(features: DataFrame, last: int = 5, min_move_pct: float = 1.0,
     return ev.join(end, KEY).where((c("bar_idx") > c("_n") - last) & (F.abs("magnitude_pct") >= min_move_pct)).drop("_n")
 
 
+# Columns of the state of a series, and those that causes are read from.
 SNAPSHOT = (
-    "regime trend_score momentum_score move_readiness rsi_14 adx entropy_20 hurst_60 atr_pct volume_ratio ema_alignment supertrend_dir "
-    "macd_hist bb_position wpi memory_pressure phase_regime dna_code").split()
+    "regime", "trend_score", "momentum_score", "move_readiness", "rsi_14", "adx", "entropy_20", "hurst_60",
+    "atr_pct", "volume_ratio", "ema_alignment", "supertrend_dir", "macd_hist", "bb_position", "wpi",
+    "memory_pressure", "phase_regime", "dna_code",
+)
 
 
-def current_state(features: DataFrame, fields=tuple(SNAPSHOT)) -> DataFrame:
+def current_state(features: DataFrame, fields=SNAPSHOT) -> DataFrame:
     have = [f for f in fields if f in features.columns]
     row = F.struct("ts", "close", *have)
     return features.groupBy(*KEY).agg(F.max_by(row, "ts").alias("_r")).select(*KEY, "_r.*")
@@ -139,8 +155,10 @@ def cooldown(signals: DataFrame) -> DataFrame:
 
 
 CAUSE_COLUMNS = (
-    "entropy_20 hurst_60 rsi_divergence rsi_14 ema_alignment volume_ratio vol_declining_3 cvd_divergence kc_squeeze memory_pressure "
-    "breakout_down_20 breakout_up_20 bear_engulf bull_engulf").split()
+    "entropy_20", "hurst_60", "rsi_divergence", "rsi_14", "ema_alignment", "volume_ratio", "vol_declining_3",
+    "cvd_divergence", "kc_squeeze", "memory_pressure", "breakout_down_20", "breakout_up_20", "bear_engulf",
+    "bull_engulf",
+)
 
 
 def explain(events: DataFrame, features: DataFrame, predictors: DataFrame | None = None, names=(), top: int = 10) -> DataFrame:
