@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from candlewright.functions.features import ALL_FEATURES, LOOK_AHEAD_FEATURES, TEXT_FEATURES, compute_features
+from candlewright.functions.features import ALL_FEATURES, LOOK_AHEAD_FEATURES, compute_features
 from candlewright.functions.registry import register_feature
 from helpers import order_blocks, to_spark, walk
 
@@ -99,6 +99,3 @@ def test_user_column(spark):
     register_feature("close_over_sma", ["sma_10"], lambda: F.col("close") / F.col("sma_10"))
     got = frame(compute_features(to_spark(spark, walk(300, symbols=("A",))), ["close_over_sma"]))
     assert got["close_over_sma"].notna().sum() == 291
-
-
-_ = TEXT_FEATURES
