@@ -79,4 +79,36 @@ QUERIES = {
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_pstable_near_vectors": """
+WITH RECURSIVE v AS (
+ SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) AS n FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([e FOR e IN embedding IF NOT coalesce(isfinite(e), false)]) = 0) WHERE list_inner_product(x, x) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM reach r JOIN link e ON e.a = r.b)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY ALL) USING (vec_id) JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY ALL) USING (vec_id)""",
+    "op6_shingle_join": f"""
+WITH RECURSIVE d AS (
+ SELECT doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sh AS (
+ SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 2, 2))) t(i) WHERE len(w) > 0),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+ SELECT a, b FROM both_ JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN sz USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY ALL) USING (doc_id)""",
+    "op9_anchored_repeats": f"""
+WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM d, unnest(range(1, len(w) - 33)) t(i)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM hit, unnest(range(i, i + 35)) t(j)),
+kept AS (SELECT doc_id, j, x FROM (SELECT doc_id, j, w[j] AS x FROM d, unnest(range(1, len(w) + 1)) t(j)) p ANTI JOIN gone USING (doc_id, j)),
+txt AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS k FROM kept GROUP BY ALL)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN txt USING (doc_id)""",
+}
