@@ -11,7 +11,7 @@ all of them. A cell answers its queries with their k nearest candidates there, s
 on is at most k rows per query and cell. A query left with fewer than k candidates although there
 are more rows visits every bucket of the first table, so it is never short.
 
-Cases: vectors that are null, zero, of a length other than the sample's, or with null or non-finite
+Cases: vectors that are null, zero, of a length other than the table's commonest, or with null or non-finite
 components take no part, neither as query nor as candidate. Rows that repeat a vec_id are one vector
 (the smallest embedding counts). Ties go to the smaller vec_id. With fewer than k other vectors all
 are returned; an empty table gives an empty result.
@@ -50,10 +50,14 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id and score (distance) for the rows of vectors (vec_id, embedding) that is_query selects."""
     base = vectors.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("v"))
-    fit = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toArrow()
-    sample, good = matrix(fit["v"])
-    sample, dim = sample[good], sample.shape[1]
-    rows = base.count()
+    # Only usable vectors are sampled and counted, and all tasks go by one length.
+    finite = F.forall("v", lambda e: F.coalesce(F.abs(e) < F.lit(float("inf")), F.lit(False)))
+    base = base.where((F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0))
+    sizes = base.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim, rows = (sizes.dim, sizes.n) if sizes else (0, 0)
+    base = base.where(F.size("v") == dim)
+    sample, good = matrix(base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toArrow()["v"], dim)
+    sample = sample[good]
     radius = near_radius(sample, rows, k)
     hashing = PStable(tables, max(1, min(12, ceil(log2(max(rows / rows_per_bucket, 2)) / 2.05))), radius)
     each = 1 - (1 - target) ** (1 / tables)
@@ -61,8 +65,7 @@ def search(
     @F.arrow_udf("array<bigint>")
     def buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            x, ok = matrix(column)
-            ok &= x.shape[1] == dim
+            x, ok = matrix(column, dim)
             keys = np.zeros((len(x), tables), np.int64)
             if ok.any():
                 cells = np.floor(hashing.slots(x[ok]))
@@ -72,7 +75,7 @@ def search(
     @F.arrow_udf("array<struct<t:int,key:bigint>>")
     def probes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            x, _ = matrix(column)
+            x, _ = matrix(column, dim)
             out = []
             for slots in hashing.slots(x):
                 found = [hashing.keys(success(slots[t], 1.0, each)[0]) for t in range(tables)]
@@ -103,8 +106,8 @@ def search(
         if len(rows) and len(asked):
             rows = rows.sort_by("slot")
             slots, vec = rows["slot"].to_numpy(), rows["vec_id"].to_numpy()
-            x, _ = matrix(rows["v"])
-            q, _ = matrix(asked["q"])
+            x, _ = matrix(rows["v"], dim)
+            q, _ = matrix(asked["q"], dim)
             for i, (me, visit) in enumerate(zip(asked["query_id"].to_pylist(), asked["slots"].to_pylist(), strict=True)):
                 visit = np.array(visit, np.int64)
                 lo, hi = np.searchsorted(slots, visit, "left"), np.searchsorted(slots, visit, "right")

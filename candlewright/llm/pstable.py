@@ -43,13 +43,14 @@ def _directions(dim: int, count: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return rng.standard_normal((dim, count)), rng.random(count)
 
 
-def matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of a list<float> column as doubles, and which rows are usable (not null, all of the commonest length
-    finite, not all zero). Rows of another length, null rows and rows with a null or non-finite component are not."""
+def matrix(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a list<float> column as doubles, and which rows are usable (not null, of length dim, finite, not all
+    zero). Without dim it is the commonest length above 0. Other rows are zeros and not usable."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(arr)
     size = np.array([0 if s is None else s for s in pc.list_value_length(arr).to_pylist()], np.int64)
-    dim = int(np.bincount(size).argmax()) if n and size.max() else 0
+    if dim is None:
+        dim = int(np.bincount(size[size > 0]).argmax()) if (size > 0).any() else 0
     good = np.flatnonzero(size == dim) if dim else np.zeros(0, np.int64)
     out = np.zeros((n, dim))
     if len(good):
