@@ -3,13 +3,18 @@
 The index holds every vector once in each table. A query visits buckets in falling order of the
 estimated probability that a neighbour at the near radius lies in them, until their total reaches
 what its tables together need for the target success; candidates of all tables are merged and
-reranked by exact Euclidean distance. The near radius is estimated from a bounded sample of vectors
-(`fit_rows`): the distance below which k of all rows lie if squared distances are normal.
+reranked by exact Euclidean distance. The near radius is the median distance to the k-th neighbour of
+at most `RADIUS_ROWS` different vectors of a bounded sample (`fit_rows`), measured against all rows.
+
+The radius only sets the bucket width and the first round. The k-th distance a query found there is
+at least its true one; where it is above the radius, the query goes on to the buckets that reach the
+target at its own distance, so a radius that does not fit a query costs time and not neighbours.
 
 A bucket larger than `block` is dealt over several cells by a hash of the row and its queries visit
 all of them. A cell answers its queries with their k nearest candidates there, so what is shuffled
 on is at most k rows per query and cell. A query left with fewer than k candidates although there
-are more rows visits every bucket of the first table, so it is never short.
+are more rows, or whose own distance needs far more buckets than there are, visits every bucket of
+the first table and is exact.
 
 Cases: vectors that are null, zero, of a length other than the table's commonest, or with null or non-finite
 components take no part, neither as query nor as candidate. Rows that repeat a vec_id are one vector
@@ -21,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, log2
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +36,35 @@ from candlewright.llm.common import written
 from candlewright.llm.pstable import PStable, matrix, success
 
 
-def near_radius(sample: np.ndarray, rows: int, k: int) -> float:
-    """Distance of the k-th nearest of all rows, from the squared distances between sampled vectors."""
-    half = len(sample) // 2
-    a, b = sample[:half], sample[half : 2 * half]
-    if not half:
+#: Sampled vectors whose k-th neighbour is measured.
+RADIUS_ROWS = 128
+#: A query is exact where the cells it would visit are estimated at so many times the buckets there are.
+FAR_CELLS = 16
+
+
+def near_radius(base: DataFrame, sample: np.ndarray, k: int) -> float:
+    """Median distance of the sample's different vectors to their k-th nearest in base (v); copies count once."""
+    _, first = np.unique(sample, axis=0, return_index=True)
+    own = sample[np.sort(first)[:RADIUS_ROWS]]
+    if not len(own):
         return 1.0
-    d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
-    share = min(0.5, k / max(rows - 1, 1))
-    r2 = d2.mean() + NormalDist().inv_cdf(share) * d2.std()
-    return float(np.sqrt(r2)) if r2 > 0 else float(max(np.sqrt(np.quantile(d2, share)), 1e-6))
+    dim = own.shape[1]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(own), 0))
+        for batch in batches:
+            x, ok = matrix(batch.column(0), dim)
+            for lo in range(0, len(x), 4096):
+                y = x[lo : lo + 4096][ok[lo : lo + 4096]]
+                d2 = np.maximum((own * own).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * own @ y.T, 0)
+                best = np.sort(np.concatenate([best, d2], 1), 1)[:, : k + 1]  # itself and k others
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(own)), pa.int64()), "d2": pa.array(list(best), pa.list_(pa.float64()))})
+
+    parts = base.select("v").mapInArrow(nearest, "i long, d2 array<double>")
+    kth = parts.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d2"))), 1, k + 1).alias("d2"))
+    far = np.sqrt([r.d2 for r in kth.select(F.element_at("d2", -1).alias("d2")).collect()])
+    far = far[far > 1e-6 * np.sqrt((own * own).sum(1).max())]  # below is rounding: k copies
+    return float(np.median(far)) if len(far) else 1.0
 
 
 def search(
@@ -58,7 +81,7 @@ def search(
     base = base.where(F.size("v") == dim)
     sample, good = matrix(base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toArrow()["v"], dim)
     sample = sample[good]
-    radius = near_radius(sample, rows, k)
+    radius = near_radius(base, sample, k)
     hashing = PStable(tables, max(1, min(12, ceil(log2(max(rows / rows_per_bucket, 2)) / 2.05))), radius)
     each = 1 - (1 - target) ** (1 / tables)
 
@@ -82,6 +105,24 @@ def search(
                 out.append([{"t": t, "key": int(b)} for t, own in enumerate(found) for b in dict.fromkeys(own.tolist())])
             yield pa.array(out, pa.list_(pa.struct([("t", pa.int32()), ("key", pa.int64())])))
 
+    def wider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets that a query visits at its own distance and has not visited; null where every bucket is cheaper."""
+        for batch in batches:
+            x, _ = matrix(batch.column("q"), dim)
+            out: list = []
+            for slots, spread in zip(hashing.slots(x), batch.column("reach").to_numpy(zero_copy_only=False) / radius, strict=True):
+                # sqrt(2 pi e) spreads are the typical number of cells of a normal in one projection
+                if not (4.13 * max(spread, 1.0)) ** hashing.projections <= FAR_CELLS * most:
+                    out.append(None)
+                    continue
+                found = []
+                for t in range(tables):
+                    seen = set(hashing.keys(success(slots[t], 1.0, each)[0]).tolist())
+                    found += [{"t": t, "key": b} for b in dict.fromkeys(hashing.keys(success(slots[t], spread, each)[0]).tolist()) if b not in seen]
+                out.append(found)
+            kind = pa.list_(pa.struct([("t", pa.int32()), ("key", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(out, kind)], ["query_id", "p"])
+
     hashed = written(base.select("vec_id", "v", buckets("v").alias("keys"), is_query.alias("asks")).where("keys IS NOT NULL"))
     usable = hashed.count()
     index = hashed.select("vec_id", "v", F.posexplode("keys").alias("t", "key"))
@@ -129,10 +170,15 @@ def search(
 
     visits = queries.select("query_id", F.explode(probes("q")).alias("p")).select("query_id", "p.*").join(counts, ["t", "key"])
     found = written(nearest(visits, queries))
-    held = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    short = written(queries.join(held, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, usable - 1)).drop("n"))
-    if not short.isEmpty():
-        every = short.select("query_id", F.lit(0).alias("t")).join(counts, "t")
-        found = found.unionByName(nearest(every, short)).distinct()
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    held = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("reach"))
+    held = queries.join(held, "query_id", "left")
+    short = F.coalesce("n", F.lit(0)) < min(k, usable - 1)
+    # A query that is short has no distance to go by; it is exact.
+    held = held.where(short | (F.col("reach") > radius)).select("query_id", "q", F.when(short, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
+    most = max((r.n for r in counts.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()), default=0)
+    again = written(held.mapInArrow(wider, "query_id long, p array<struct<t:int,key:bigint>>"))
+    every = again.where("p IS NULL").select("query_id", F.lit(0).alias("t")).join(counts, "t")
+    more = again.select("query_id", F.explode("p").alias("p")).select("query_id", "p.*").join(counts, ["t", "key"])
+    found = found.unionByName(nearest(more.unionByName(every, allowMissingColumns=True).select(*more.columns), queries)).distinct()
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

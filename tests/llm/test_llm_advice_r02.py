@@ -31,3 +31,17 @@ def test_search_with_mostly_null_embeddings(spark):
     x = unit(400, 16, 1)
     extra = [(1000 + i, None if i % 3 else []) for i in range(600)] + [(5000 + i, [1.0] * 8) for i in range(300)]
     assert recall(spark, x, range(0, 400, 10), partitions=64, extra=extra) >= 0.9
+
+
+def test_search_beside_a_large_group_of_copies(spark):
+    x = unit(2100, 64, 2)
+    x[1400:] = x[1400]  # a third
+    got = recall(spark, x, range(0, 1400, 20))
+    print("recall", got)
+    assert got >= 0.9
+
+
+def test_search_beside_tight_clusters(spark):
+    x = unit(1500, 16, 3)
+    x[600:] = x[600] + 1e-3 * x[600:]  # most vectors are near copies of one, so the median is no guide for the others
+    assert recall(spark, x, range(0, 600, 20)) >= 0.9
