@@ -1,9 +1,10 @@
 """Cases of the second review."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from candlewright.llm import multiprobe
+from candlewright.llm import multiprobe, pages
 
 
 def brute(x, ids, i, k=10):
@@ -45,3 +46,22 @@ def test_search_beside_tight_clusters(spark):
     x = unit(1500, 16, 3)
     x[600:] = x[600] + 1e-3 * x[600:]  # most vectors are near copies of one, so the median is no guide for the others
     assert recall(spark, x, range(0, 600, 20)) >= 0.9
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='content no-sidebar'><article><p>One</p></article></div>", "One"),
+        ("<div class='wrapper has-sidebar'><main><p>One</p></main></div>", "One"),
+        ("<article class='post comments-open'><p>One</p></article>", "One"),
+        ("<article><section id='social-policy'><p>One</p></section><h2 id='notice-period'>Two</h2><h2 id='comments'>Three</h2></article>", "One\nTwo\nThree"),
+        ("<article><div class='sharing-economy'><p>One</p></div><div id='navy-history'><p>Two</p></div><div class='promotion'><p>Three</p></div></article>", "One\nTwo\nThree"),
+        ("<article><div aria-label='Notice of sharing'><p>One</p></div></article>", "One"),
+        ("<div class='sidebar'><p>no</p><article><p>One</p><div class='ad'>no</div></article><p>no</p></div>", "One"),
+        ("<form><header><p>no</p><main><p>One</p></main></header></form>", "One"),
+        ("<article><p>One</p><div class='box comments'><p>no</p><article class='comment'><p>no</p></article></div></article>", "One"),
+        ("<article><p>One</p></article><aside><article><p>no</p></article></aside><nav><p>no</p></nav>", "One"),
+    ],
+)
+def test_names_are_whole_words(html, text):
+    assert pages.main_text(pages.lines_of(html), None) == text
