@@ -1,6 +1,6 @@
 """Counting 64-bit hashes over all documents without a row per hash.
 
-Documents are dealt into groups of about GROUP_BYTES of text by a hash of their id, hashes into
+Documents are dealt into groups of about GROUP_BYTES of text by a hash of their id and text, hashes into
 buckets of about BUCKET_HASHES by range. A group sends one packed, sorted set of its different hashes
 to each bucket; the bucket merges the sets and sends back to each group those of its hashes that are
 asked for. A hash that very many documents hold arrives once per group at most, so it cannot flood
@@ -31,8 +31,8 @@ def bucket_count(size: int) -> int:
     return max(1, -(-size // (WORD_BYTES * BUCKET_HASHES)))
 
 
-def group_of(column: str, groups: int) -> F.Column:
-    return F.pmod(F.xxhash64(column), F.lit(groups)).cast("int")
+def group_of(groups: int, *columns: str | F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(groups)).cast("int")
 
 
 def hash_bits(size: int) -> int:
@@ -125,5 +125,5 @@ def found_in(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)] == wanted
 
 
-def grouped(docs: DataFrame, key: str, groups: int) -> DataFrame:
-    return docs.withColumn("__grp", group_of(key, groups))
+def grouped(docs: DataFrame, groups: int, *columns: str | F.Column) -> DataFrame:
+    return docs.withColumn("__grp", group_of(groups, *columns))

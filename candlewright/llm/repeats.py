@@ -16,8 +16,8 @@ step undoes; windows are compared by 62 bits of their hash. The texts are shuffl
 steps that read them reuse that exchange, and no executor needs another's local files.
 
 Cases: null and empty texts have no words and stay as they are (kept text empty). Texts are read
-whole, whatever their length. Repeated rows repeat each other's windows and lose them all. Rows with
-a null id form a group of their own. An empty table gives an empty result. Further columns pass
+whole, whatever their length. Repeated rows repeat each other's windows and lose them all. Rows are
+dealt by id, text and their number in the input, so no null or repeated id fills a group. An empty table gives an empty result. Further columns pass
 through; one called like an output column is replaced.
 """
 
@@ -70,7 +70,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", id_col
     bits = X.hash_bits(size)
     near, exact = X.bounds(buckets, bits), X.bounds(buckets, WINDOW_BITS)
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "__grp")
-    dealt = X.grouped(docs, id_col, groups)
+    # The row's number spreads rows that repeat both id and text. The steps below reuse one exchange, so it is drawn once.
+    dealt = X.grouped(docs, groups, id_col, text, F.monotonically_increasing_id())
     others = [c for c in docs.columns if c != text or keep_text]
     schema = docs.select(others).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 

@@ -20,7 +20,7 @@ Numbers: document frequencies are counted over all documents by packed sets (exc
 
 Cases: null and empty texts, and texts without a word, have an empty set and link with nothing. With
 fewer than `k` words the whole sequence is the one shingle. Texts are read whole. Repeated rows have
-equal sets. Null ids are treated as one lowest id and reported as null. An empty table gives an empty
+equal sets; one text per input task of those with equal id and text travels. Null ids are treated as one lowest id and reported as null. An empty table gives an empty
 result. Input columns named like an output column are ignored.
 """
 
@@ -95,9 +95,27 @@ def join_documents(
             yield pa.StructArray.from_arrays(cols, ["n", "fp", "fp2"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    sets = written(rows.select("id", outline("text").alias("s")).select("id", "s.*"))
-    nodes = sets.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("id").alias("id"))
-    dealt, wanted = X.grouped(rows, "id", groups), X.grouped(nodes.select("id", "fp"), "id", groups).withColumnRenamed("__grp", "grp")
+    def once(keyed: DataFrame) -> DataFrame:
+        """Without the rows of a task that repeat another's id and text: one of them is enough to look up a set."""
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set = set()
+            for batch in batches:
+                keys = list(zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), strict=True))
+                new = []
+                for key in keys:
+                    new.append(key not in seen)
+                    seen.add(key)
+                yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+
+        return keyed.mapInArrow(first, keyed.schema)
+
+    # A node's text is looked up by id and text hash, which also deal it: an id of very many rows fills no group.
+    th = F.xxhash64("text").alias("th")
+    sets = written(rows.select("id", th, outline("text").alias("s")).select("id", "th", "s.*"))
+    nodes = sets.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min(F.struct("id", "th")).alias("x")).select("fp", "fp2", "n", "x.*")
+    wanted = X.grouped(nodes.select("id", "th", "fp"), groups, "id", "th").drop("th").withColumnRenamed("__grp", "grp")
+    dealt = X.grouped(once(rows.select("id", "text", th)), groups, "id", "th").drop("th")
 
     def chosen(group: pa.Table, ids: list, fps: list) -> Iterator[tuple[int, np.ndarray]]:
         """Fingerprint and set of every node whose text is in this group."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candlewright.llm import multiprobe, pages
+from candlewright.llm import exchange, multiprobe, pages, repeats, shingle_join
 
 
 def brute(x, ids, i, k=10):
@@ -65,3 +65,27 @@ def test_search_beside_tight_clusters(spark):
 )
 def test_names_are_whole_words(html, text):
     assert pages.main_text(pages.lines_of(html), None) == text
+
+
+@pytest.fixture
+def small_groups(monkeypatch):
+    """Groups of about 2 kB, and the most rows that a call of applyInArrow sees at once."""
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 2000)
+    seen = []
+    real = exchange.grouped
+    monkeypatch.setattr(exchange, "grouped", lambda docs, *a: seen.append(real(docs, *a)) or seen[-1])
+    return lambda: [max((r["count"] for r in df.groupBy("__grp").count().collect()), default=0) for df in seen]
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_one_id_for_all_rows_fills_no_group(spark, small_groups, copies):
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 500, 40))
+    one = text()
+    rows = [(None if i % 2 else 7, one if copies else text()) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    removed = {(r.n_words, r.n_removed) for r in repeats.remove_repeats(df, window=10).collect()}
+    assert removed == ({(40, 40)} if copies else {(40, 0)})
+    joined = shingle_join.join_documents(df).collect()
+    assert len(joined) == 400 and {r.n_shingles for r in joined} == {37}
+    assert max(small_groups()) < 40  # 200 of one id
