@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import grading, multiprobe, near_vectors, packing, pages, repeats, segment, sharding, shingle_join, toxicity
+from candlewright.llm import bpe, grading, merkle, multiprobe, near_vectors, packing, pages, repair, repeats, segment, sharding, shingle_join, toxicity
 from candlewright.llm.common import table
 
 
@@ -66,6 +66,26 @@ def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_lr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations"))).withColumnRenamed("id", "conv_id")
+
+
+def op12_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 2 == 0
+    found = merkle.manifest(merkle.leaves_of(docs, tampered, F.translate("text", "\n", "")), fanout=3)
+    root = merkle.folded(F.col("seen"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_gumbel_segmentations": op1_gumbel_segmentations,
     "op2_pstable_near_vectors": op2_pstable_near_vectors,
@@ -77,6 +97,9 @@ QUERIES = {
     "op8_multiprobe_search": op8_multiprobe_search,
     "op9_anchored_repeats": op9_anchored_repeats,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
+    "op11_lr_repair": op11_lr_repair,
+    "op12_segment_tree_bpe": op12_segment_tree_bpe,
+    "op13_slot_pivot_manifest": op13_slot_pivot_manifest,
 }
 
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
