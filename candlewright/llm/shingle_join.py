@@ -1,31 +1,42 @@
 """Exact Jaccard self-join of word shingle sets by T-occurrence search (DivideSkip).
 
-A document of n shingles needs at least T = ceil(t n) of them in common with any partner, so in any
-fixed order of all shingles the n - T + 1 first hold one common shingle. Shingles are ordered by
-document frequency, so a document's first ones have the short inverted lists: these are merged, and
-the T - 1 long lists left are only probed, by binary search, for the candidates that the merge gives.
-A pair is looked up from its larger document in the lists of the smaller one, which may be cut
-shorter still (overlap with a larger partner is at least 2t / (1 + t) n), and is dropped where the
-places of the common shingle show that the overlap cannot be reached. Shingles of one document only
-have no list. No filter loses a pair that reaches the threshold; frequencies only order.
-
-Hot groups. Documents with equal sets are one node from the start. A list is first merged with its
-leader alone; what the leader links needs no further comparison inside the list, so a group of n near
-copies costs about n checks and not n squared. What is left is compared across, in parts of at most
-`block` entries of a list per task. Candidates travel as arrays of partners per document and block,
-and a check returns one edge per pair of groups, never all pairs.
+A document of n shingles needs at least T = ceil(t n) of them in common with any partner. Its inverted
+lists are ordered by length (document frequency, ties by shingle), and the L longest, by the DivideSkip
+rule L = T / (MU log2 M + 1) for a longest list of M, are set aside. The others, the short lists, are
+merged: a partner has to occur in T - L of them at least. Only partners that do are then looked up in
+the long lists, by binary search, and those that reach the required overlap stay.
+
+The order is the same for all documents, so of two partners the one whose short lists end first asks
+the other: what both have in common among its short lists is also among the other's short ones. So only
+short lists are dealt out, and short lists plus the asker's long ones give the whole overlap. Lists of
+one document are left out; they count in n. No step loses a pair that reaches the threshold.
+
+On Spark: a list is a group of rows by shingle, of at most `block` rows a part; the parts' partners of
+a document, as arrays of ids and counts, go to the blocks of documents that hold the partners' sets.
+There the arrays are merged by sorted runs, and the block's own index (shingle, document) serves as the
+sorted long lists.
+
+Hot groups. Documents with equal sets are one node from the start. A group of near copies is joined by
+rounds first: every list still holding several components takes one leader, the leader's whole set is
+probed for the members of other components, and components are worked out anew, as long as a round
+leaves clearly fewer rows in such lists. Only then are the lists merged as above, between different
+components; a list with one large component compares the rest with it, not its members with each other.
+Each task keeps a union-find over the components it meets and returns an edge only where it joins two,
+so a group of n near copies gives about n links and not n squared.
 
 Numbers: document frequencies are counted over all documents by packed sets (exchange.py). Nodes are
 64-bit fingerprints of the set.
 
 Cases: null and empty texts, and texts without a word, have an empty set and link with nothing. With
 fewer than `k` words the whole sequence is the one shingle. Texts are read whole. Repeated rows have
-equal sets; one text per input task of those with equal id and text travels. Null ids are treated as one lowest id and reported as null. An empty table gives an empty
-result. Input columns named like an output column are ignored.
+equal sets; one text per input task of those with equal id and text travels. Null ids are treated as
+one lowest id and reported as null. An empty table gives an empty result. Input columns other than the
+two named are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +51,8 @@ from candlewright.llm.common import text_size, written
 from candlewright.llm.components import components
 
 NO_ID = -(2**63)
+#: Weight of merging against probing in the DivideSkip rule.
+MU = 0.01
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +90,207 @@ def _sets_of(column, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield (lo, *shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k))
 
 
-def join_documents(
+def divide(n: int, longest: int, p: int, q: int) -> int:
+    """How many of the longest lists are set aside: fewer than the occurrences needed."""
+    need = -(-p * n // q)
+    return min(need - 1, int(need / (MU * math.log2(max(longest, 2)) + 1)))
+
+
+class Union:
+    """Components met by one task, joined as links are found."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        path = []
+        while (y := self.up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for y in path:
+            self.up[y] = x
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.top(x)] = self.top(y)
+
+
+class Lists:
+    """The inverted lists of a block of documents: pairs (shingle, document), sorted."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        size = [len(x) for x in sets]
+        self.of = max(len(sets), 1)
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.tokens, at = np.unique(values, return_inverse=True)
+        self.pairs = np.sort(at * self.of + np.repeat(np.arange(len(sets)), size))
+
+    def occurrences(self, tokens: np.ndarray, documents: np.ndarray) -> np.ndarray:
+        """In how many of the tokens' lists each document stands, by binary search."""
+        tokens = tokens[X.found_in(self.tokens, tokens)]
+        out = np.zeros(len(documents), np.int64)
+        if len(tokens):
+            at = np.searchsorted(self.tokens, tokens) * self.of
+            for lo in range(0, len(documents), 64):
+                wanted = at[:, None] + documents[None, lo : lo + 64]
+                out[lo : lo + 64] = X.found_in(self.pairs, wanted.ravel()).reshape(wanted.shape).sum(0)
+        return out
+
+
+def _joined(p: int, q: int, ask: pa.Table, own: pa.Table) -> pa.Table:
+    """Links of the askers with documents of one block, one for each two components that they join.
+
+    ask: (a, la, n, l, packed, others, labels, counts), repeated others to be added up; where `counts` is
+    null, nothing was counted before and `packed` is the whole set.
+    """
+    links: tuple[list, list] = ([], [])
+    if len(ask) and len(own):
+        fps = own["other"].to_numpy()
+        order = np.argsort(fps)
+        fps, size = fps[order], own["size"].to_numpy()[order]
+        short, long = own["short"], own["long"]
+        lists = Lists([np.concatenate([W.unpack_sorted(short[i].as_py()), W.unpack_sorted(long[i].as_py())]) for i in order.tolist()])
+        found = Union()
+        for r in ask.to_pylist():
+            others, at, of = np.unique(np.array(r["others"], np.int64), return_index=True, return_inverse=True)
+            labels = np.array(r["labels"], np.int64)[at]
+            here = np.searchsorted(fps, others)
+            need = -(-p * (r["n"] + size[here]) // (p + q))
+            count = np.zeros(len(others), np.int64)
+            if r["counts"] is not None:
+                np.add.at(count, of, np.array(r["counts"], np.int64))
+                keep = np.flatnonzero(count >= need - r["l"])
+                keep = keep[np.argsort(-count[keep], kind="stable")]
+                others, labels, here, need, count = others[keep], labels[keep], here[keep], need[keep], count[keep]
+            tokens = np.concatenate([W.unpack_sorted(x) for x in r["packed"]])
+            for lo in range(0, len(others), 64):
+                mine = found.top(r["la"])
+                left = np.array([i for i in range(lo, min(lo + 64, len(others))) if found.top(int(labels[i])) != mine], np.int64)
+                if len(left):
+                    total = count[left] + lists.occurrences(tokens, here[left])
+                    for i in left[total >= need[left]].tolist():
+                        if found.top(int(labels[i])) != found.top(r["la"]):
+                            found.join(int(labels[i]), r["la"])
+                            links[0].append(r["a"])
+                            links[1].append(int(others[i]))
+    return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
+
+
+def _partners(p: int, q: int, group: pa.Table) -> pa.Table:
+    """For every asker in the parts of lists of one cell: its partners, and in how many of these lists each stands."""
+    columns = ("slot", "two", "side", "fp", "n", "cdf", "ctok", "label")
+    group = group.sort_by([("slot", "ascending")])
+    slot, two, side, fp, n, cdf, ctok, label = (group[c].to_numpy(zero_copy_only=False) for c in columns)
+    names, at = np.unique(fp, return_inverse=True)
+    width, of_name = len(names), np.zeros(len(names), np.int64)
+    of_name[at] = label
+    rank = np.empty(len(fp), np.int64)
+    rank[np.lexsort((fp, ctok, cdf))] = np.arange(len(fp))  # who asks: the one whose short lists end first
+    cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True])
+    pairs, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def added() -> None:
+        code, of = np.unique(np.concatenate(pairs), return_inverse=True)
+        pairs[:], counts[:] = [code], [np.bincount(of, np.concatenate(counts), len(code)).astype(np.int64)]
+
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = np.arange(lo, hi)
+        halves = [(rows, rows)]
+        if two[lo]:
+            x, y = rows[side[lo:hi] == 0], rows[side[lo:hi] == 1]
+            halves = [(x, y), (y, x)]
+        for a, b in halves:
+            na, nb = n[a][:, None], n[b][None, :]
+            ok = (label[a][:, None] != label[b][None, :]) & (rank[a][:, None] < rank[b][None, :])
+            ok &= np.minimum(na, nb) * q >= np.maximum(na, nb) * p
+            x, y = np.nonzero(ok)
+            pairs.append(at[a[x]] * width + at[b[y]])
+            counts.append(np.ones(len(x), np.int64))
+        if sum(map(len, pairs)) > 1 << 21:  # a pair meets in many lists
+            added()
+    added()
+    code, count = pairs[0], counts[0]
+    asker, other = code // max(width, 1), code % max(width, 1)
+    first = np.flatnonzero(np.r_[True, asker[1:] != asker[:-1]]) if len(code) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(first, len(code)), pa.int32())
+    nested = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (names[other], of_name[other], count)]
+    return pa.table({"a": pa.array(names[asker[first]], pa.int64()), "la": pa.array(of_name[asker[first]], pa.int64()), "others": nested[0], "labels": nested[1], "counts": nested[2]})
+
+
+def _links(found: DataFrame, p: int, q: int, block: int) -> DataFrame:
+    """Links (a, b) between nodes that reach the threshold; they hold every component together and are about as many as the nodes.
+
+    found: (fp, n, l, cdf, ctok, short, long, tokens), see `lists` in linked_sets.
+    """
+    blocks = X.group_count(int(found.agg(F.coalesce(F.sum(F.octet_length("short") + F.octet_length("long")), F.lit(0))).first()[0]))
+    block_of = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int")
+    own = found.select(F.col("fp").alias("other"), F.col("n").alias("size"), "short", "long", block_of("fp").alias("own"))
+    entries = found.select("fp", "n", "cdf", "ctok", F.explode("tokens").alias("token"))
+    size = F.count(F.lit(1)).alias("len")
+    # Written, so that the joins below have plain inputs: a very long list is a skewed side that can be split.
+    real = written(entries.groupBy("token").agg(size).where("len > 1"))
+    open_ = written(entries.join(real, "token").withColumn("label", F.col("fp")))
+
+    def checked(asks: DataFrame, packed: F.Column) -> DataFrame:
+        whole = asks.join(found.select(F.col("fp").alias("a"), F.col("n").alias("n"), F.col("l").alias("l"), packed.alias("packed")), "a")
+        probe = lambda key, ask, own: _joined(p, q, ask, own)
+        # A different plan for each side, so that columns of one table are told apart.
+        return written(whole.groupBy("blk").cogroup(own.select(*(F.col(c).alias(c) for c in own.columns)).groupBy("own")).applyInArrow(probe, "a long, b long"))
+
+    def mixed(df: DataFrame) -> DataFrame:
+        df = written(df)
+        several = df.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+        return written(df.join(written(several), "token"))
+
+    near = F.least("n", "leader.n") * q >= F.greatest("n", "leader.n") * p
+    links, rows, turn = None, open_.count(), 0
+    while rows:
+        leaders = written(open_.groupBy("token").agg(F.min_by(F.struct("fp", "n", "label"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp")).alias("leader")))
+        lead = open_.join(leaders, "token").where((F.col("label") != F.col("leader.label")) & near)
+        lead = lead.select(F.col("leader.fp").alias("a"), F.col("leader.label").alias("la"), "fp", "label").distinct()
+        asks = lead.groupBy("a", "la", block_of("fp").alias("blk")).agg(F.collect_list(F.struct("fp", "label")).alias("s"))
+        asks = asks.select("a", "la", "blk", F.col("s.fp").alias("others"), F.col("s.label").alias("labels"), F.lit(None).cast("array<long>").alias("counts"))
+        new = checked(asks, F.array("short", "long"))
+        links = new if links is None else links.unionByName(new)
+        label = components(links).select(F.col("id").alias("fp"), "component")
+        open_ = mixed(open_.join(label, "fp", "left").withColumn("label", F.coalesce("component", "label")).drop("component"))
+        before, rows, turn = rows, open_.count(), turn + 1
+        if 4 * rows > 3 * before:
+            break
+    if not rows:
+        return links if links is not None else found.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    # Lists within one part are merged as they are. Longer ones: the rest against the largest component, and the rest with itself.
+    sizes = written(open_.groupBy("token", "label").agg(size))
+    base = sizes.groupBy("token").agg(F.max_by("label", F.struct("len", "label")).alias("base"), F.max("len").alias("most"), F.sum("len").alias("len"))
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("int")
+    base = base.withColumn("whole", F.col("len") <= block).withColumn("pb", parts("most")).withColumn("pr", F.ceil((F.col("len") - F.col("most")) / block).cast("int"))
+    df = open_.drop("len").join(written(base), "token").withColumn("is_base", F.col("label") == F.col("base"))
+    df = df.withColumn("part", F.pmod(F.xxhash64("fp"), F.when(F.col("is_base"), F.col("pb")).otherwise(F.col("pr"))).cast("int"))
+    place = lambda two, side, i, j: F.struct(F.lit(two).alias("two"), F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    steps = lambda n: F.sequence(F.lit(0), n - 1)
+    part = F.col("part")
+    with_rest = F.transform(steps(F.col("pr")), lambda j: F.struct((j != part).alias("two"), F.when(part < j, 0).otherwise(1).alias("side"), F.least(part, j).alias("i"), (F.greatest(part, j) + 1).alias("j")))
+    # Slots of the base with the rest have j = -1 - (part of the rest), so no two kinds meet.
+    as_rest = F.concat(F.transform(steps(F.col("pb")), lambda i: place(True, 1, i, -1 - part)), with_rest)
+    as_base = F.transform(steps(F.col("pr")), lambda j: place(True, 0, part, -1 - j))
+    slots = F.when(F.col("whole"), F.array(place(False, 0, F.lit(0), F.lit(0)))).when(F.col("is_base"), as_base).otherwise(as_rest)
+    df = df.withColumn("s", F.explode(slots)).select(F.xxhash64("token", "s.i", "s.j").alias("slot"), "s.two", "s.side", "fp", "n", "cdf", "ctok", "label")
+    df = written(df)
+    cells = max(1, -(-df.count() // 16_384))
+    merge = lambda key, group: _partners(p, q, group)
+    across = df.withColumn("cell", F.pmod("slot", F.lit(cells)).cast("int")).groupBy("cell").applyInArrow(merge, "a long, la long, others array<long>, labels array<long>, counts array<long>")
+    split = F.transform(F.arrays_zip("others", "labels", "counts"), lambda x: F.struct(block_of(x["others"]).alias("blk"), x["others"].alias("o"), x["labels"].alias("l"), x["counts"].alias("c")))
+    across = across.withColumn("s", split).withColumn("blk", F.explode(F.array_distinct(F.transform("s", lambda x: x["blk"]))))
+    across = across.select("a", "la", "blk", F.filter("s", lambda x: x["blk"] == F.col("blk")).alias("s"))
+    asks = across.groupBy("a", "la", "blk").agg(F.flatten(F.collect_list("s")).alias("s"))
+    asks = asks.select("a", "la", "blk", F.col("s.o").alias("others"), F.col("s.l").alias("labels"), F.col("s.c").alias("counts"))
+    return links.unionByName(checked(asks, F.array("long")))
+
+
+def linked_sets(
     docs: DataFrame, k: int = 4, threshold: tuple[int, int] = (85, 100), block: int = 1000, text: str = "text", id_col: str = "doc_id",
-) -> DataFrame:
-    """doc_id, n_shingles and component_id per row; two documents link when their Jaccard similarity reaches the threshold (a fraction)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets (id, th, n, fp, fp2) per row, nodes (fp, fp2, n, id, th) of different sets, and links (a, b) between nodes."""
     p, q = threshold
     _, size = text_size(docs, text)
     groups, buckets, bits = X.group_count(size), X.bucket_count(size), X.hash_bits(size)
@@ -138,11 +348,11 @@ def join_documents(
         df = np.bincount(number, n)[number].astype(np.int64)
         return X.to_groups(sent, values, df, of, df > 1)
 
-    node_schema = "fp long, n long, members binary, places array<int>, tokens array<long>"
+    node_schema = "fp long, n long, l long, cdf long, ctok long, short binary, long binary, tokens array<long>"
 
     def lists(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
-        """For every node with a list to be merged: its set, and the first shingles in the order of frequency with their places."""
-        out: dict[str, list] = {c: [] for c in ("fp", "n", "members", "places", "tokens")}
+        """For every node with a list to be merged: its sets of short and long lists, where the short ones end, and the lists shared with others."""
+        out: dict[str, list] = {c: [] for c in ("fp", "n", "l", "cdf", "ctok", "short", "long", "tokens")}
         if len(group) and len(back):
             asked = back.filter(pc.is_valid(back["id"]))
             hits, df = X.received(back.filter(pc.is_null(back["id"])), edges)
@@ -152,12 +362,17 @@ def join_documents(
                 known = X.found_in(hits, cut)
                 rank = np.ones(n, np.int64)
                 rank[known] = df[np.searchsorted(hits, cut[known])]
-                first = np.lexsort((values, rank))[: n - -(-p * n // q) + 1]
-                merge = np.flatnonzero(rank[first] > 1)
-                if len(merge):
-                    for c, v in zip(out, (fp, n, W.pack_sorted(values), merge.astype(np.int32), values[first[merge]].view(np.int64)), strict=True):
+                order = np.lexsort((values, rank))
+                aside = divide(n, int(rank[order[-1]]), p, q)
+                short, long = order[: n - aside], order[n - aside :]
+                shared = short[rank[short] > 1]
+                if len(shared):
+                    last = short[-1]
+                    # Compared as signed numbers everywhere, so the order of shingles is that of the flipped sign.
+                    mark = int((values[last] ^ np.uint64(1 << 63)).view(np.int64))
+                    for c, v in zip(out, (fp, n, aside, int(rank[last]), mark, W.pack_sorted(np.sort(values[short])), W.pack_sorted(np.sort(values[long])), values[shared].view(np.int64)), strict=True):
                         out[c].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
     sent = dealt.groupBy("__grp").cogroup(wanted.groupBy("grp")).applyInArrow(count, X.SENT)
@@ -165,95 +380,20 @@ def join_documents(
     both = back.unionByName(wanted, allowMissingColumns=True)
     found = written(dealt.groupBy("__grp").cogroup(both.groupBy("grp")).applyInArrow(lists, node_schema))
 
-    # One row per entry of an inverted list. `low` marks entries where the document can be a pair's smaller one.
-    low_end = F.col("n") - F.expr(f"((2L * {p} * n) + {p + q - 1}L) div {p + q}L") + 1
-    entries = found.select("fp", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(F.col("e.tokens").alias("token"), "fp", "n", F.col("e.places").alias("place"))
-    entries = entries.withColumn("low", F.col("place") < low_end)
-    lengths = entries.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.max("low").alias("any"), F.min(F.when(F.col("low"), F.struct("fp", "n", "place"))).alias("leader"))
-    entries = written(entries.join(lengths.where("len > 1 AND any").drop("any"), "token"))
-    blocks = X.group_count(int(found.agg(F.coalesce(F.sum(F.octet_length("members")), F.lit(0))).first()[0]))
-    block_of = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int")
-    members = found.select(F.col("fp").alias("other"), F.col("members").alias("packed"), block_of(F.col("fp")).alias("own"))
-
-    def checked(candidates: DataFrame) -> DataFrame:
-        """Pairs (a, b) of nodes that reach the threshold, one per label of b: candidates are (a, label, blk, others, labels)."""
-
-        def probe(key: tuple, ask: pa.Table, own: pa.Table) -> pa.Table:
-            a, b = [], []
-            here = {f: i for i, f in enumerate(own["other"].to_pylist())}
-            open_sets: dict[int, np.ndarray] = {}
-            packed = own["packed"]
-            for me, mine, others, labels in zip(*(ask[c].to_pylist() for c in ("a", "members", "others", "labels")), strict=True):
-                mine, done = W.unpack_sorted(mine), set()
-                for other, label in sorted(set(zip(others, labels, strict=True))):
-                    if label in done:
-                        continue
-                    if other not in open_sets:
-                        open_sets[other] = W.unpack_sorted(packed[here[other]].as_py())
-                    theirs = open_sets[other]
-                    shared = int(X.found_in(theirs, mine).sum())
-                    if q * shared >= p * (len(mine) + len(theirs) - shared):
-                        done.add(label)
-                        a.append(me)
-                        b.append(other)
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        asks = candidates.groupBy("a", "blk").agg(F.flatten(F.collect_list("others")).alias("others"), F.flatten(F.collect_list("labels")).alias("labels"))
-        asks = asks.join(found.select(F.col("fp").alias("a"), "members"), "a")
-        return written(asks.groupBy("blk").cogroup(members.groupBy("own")).applyInArrow(probe, "a long, b long"))
-
-    # First against each list's leader.
-    fits = lambda n, m, i, j: (F.greatest(n, m) * p <= F.least(n, m) * q) & ((1 + F.least(n - i, m - j) - 1) * (p + q) >= p * (n + m))
-    lead = entries.where((F.col("fp") != F.col("leader.fp")) & fits(F.col("n"), F.col("leader.n"), F.col("place"), F.col("leader.place"))).select("fp", F.col("leader.fp").alias("leader")).distinct()
-    lead = lead.groupBy(F.col("leader").alias("a"), block_of(F.col("fp")).alias("blk")).agg(F.collect_list("fp").alias("others"))
-    stars = checked(lead.withColumn("labels", F.col("others")))
-    label = stars.select(F.col("b").alias("fp"), F.col("a").alias("to")).groupBy("fp").agg(F.min("to").alias("to"))
-    entries = entries.join(label, "fp", "left").withColumn("label", F.least("fp", F.coalesce("to", "fp"))).drop("to", "leader")
-    # Then across the labels left in a list, in pairs of its parts.
-    mixed = entries.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
-    entries = entries.join(mixed, "token")
-    parts = F.ceil(F.col("len") / block).cast("int")
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    entries = entries.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("slot", F.xxhash64("token", "i", "j"))
-    entries = written(entries.select("slot", "part", "i", "j", "fp", "n", "place", "low", "label"))
-    cells = max(1, -(-entries.count() // 16_384))
-
-    def merge(key: tuple, group: pa.Table) -> pa.Table:
-        """Candidates of the lists of a cell, as the partners of each larger document in each block."""
-        group = group.sort_by([("slot", "ascending"), ("fp", "ascending")])
-        slot, fp, n, place, low, part, i, j, label = (group[c].to_numpy(zero_copy_only=False) for c in ("slot", "fp", "n", "place", "low", "part", "i", "j", "label"))
-        cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True])
-        found: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            whole = i[lo] == j[lo]
-            for one, two in ((i[lo], j[lo]),) if whole else ((i[lo], j[lo]), (j[lo], i[lo])):
-                a = lo + np.flatnonzero(part[lo:hi] == one)
-                b = lo + np.flatnonzero((part[lo:hi] == two) & low[lo:hi])
-                na, nb = n[a][:, None], n[b][None, :]
-                ok = (label[a][:, None] != label[b][None, :]) & ((na > nb) | (na == nb) & (fp[a][:, None] > fp[b][None, :]))
-                ok &= (nb * q >= na * p) & ((np.minimum(na - place[a][:, None], nb - place[b][None, :])) * (p + q) >= p * (na + nb))
-                x, y = np.nonzero(ok)
-                found.append(np.stack([fp[a[x]], fp[b[y]], label[b[y]]], 1))
-            if sum(map(len, found)) > 1 << 20:  # a pair meets in many lists
-                found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        first = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else np.zeros(0, np.int64)
-        cuts = pa.array(np.append(first, len(pairs)), pa.int32())
-        nested = [pa.ListArray.from_arrays(cuts, pa.array(pairs[:, c].copy(), pa.int64())) for c in (1, 2)]
-        return pa.table({"a": pa.array(pairs[first, 0], pa.int64()), "others": nested[0], "labels": nested[1]})
-
-    across = entries.withColumn("cell", F.pmod("slot", F.lit(cells)).cast("int")).groupBy("cell").applyInArrow(merge, "a long, others array<long>, labels array<long>")
-    split = F.transform(F.arrays_zip("others", "labels"), lambda x: F.struct(block_of(x["others"]).alias("blk"), x["others"].alias("other"), x["labels"].alias("label")))
-    across = across.withColumn("s", split).withColumn("blk", F.explode(F.array_distinct(F.transform("s", lambda x: x["blk"]))))
-    here = F.filter("s", lambda x: x["blk"] == F.col("blk"))
-    across = across.select("a", "blk", F.transform(here, lambda x: x["other"]).alias("others"), F.transform(here, lambda x: x["label"]).alias("labels"))
-    links = stars.unionByName(checked(across))
+    return sets, nodes, _links(found, p, q, block)
 
+
+def join_documents(
+    docs: DataFrame, k: int = 4, threshold: tuple[int, int] = (85, 100), block: int = 1000, text: str = "text", id_col: str = "doc_id",
+) -> DataFrame:
+    """doc_id, n_shingles and component_id per row; two documents link when their Jaccard similarity reaches the threshold (a fraction)."""
+    sets, nodes, links = linked_sets(docs, k, threshold, block, text, id_col)
     linked = components(links).withColumnRenamed("id", "fp").withColumnRenamed("component", "root")
     named = nodes.select("fp", "id").join(linked, "fp", "left")
     # Written, so that the join below has plain inputs: a component of very many nodes is a skewed side that can be split.
     lowest = written(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("low")))
-    known = named.join(lowest, "root", "left").select("fp", F.coalesce("low", "id").alias("component_id"))
+    # As is this one: very many rows may have equal texts.
+    known = written(named.join(lowest, "root", "left").select("fp", F.coalesce("low", "id").alias("component_id")))
     out = sets.join(known, "fp", "left")
     real = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, real("component_id")).otherwise(real("id")).alias("component_id"))
