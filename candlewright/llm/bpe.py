@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 NONE = np.int64(2**62)
 #: Widest words encoded as rows of a matrix.
 WIDE = 64
-#: Bytes of text whose words are looked up together.
-SLICE = 1 << 20
+#: Characters of text whose words are looked up together, and ids decoded together.
+SLICE, ID_SLICE = 1 << 19, 1 << 16
 
 
 def _class_of(top: int, kind: str) -> str:
@@ -208,8 +208,8 @@ def merge_word(v: Vocabulary, ids: list[int]) -> list[int]:
 class Encoder:
     """Token ids of whole texts; remembers the words it has seen."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
-        self.v = Vocabulary(path)
+    def __init__(self, vocabulary: Vocabulary, keep: int = 100_000) -> None:
+        self.v = vocabulary
         self.keep = keep
         self._forget()
 
@@ -286,15 +286,20 @@ class Encoder:
         return self.ids[np.repeat(self.first[at] - total[:-1], each) + np.arange(total[-1])], np.diff(total[cuts])
 
 
+@cache
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 @cache
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(_vocabulary(path))
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     lo, total = 0, 0
     for i, n in enumerate(sizes):
-        if total and total + n > SLICE:
+        if total and total + n > limit:
             yield lo, i
             lo, total = i, 0
         total += n
@@ -310,7 +315,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
         for column in batches:
             texts = column.to_pylist()
             ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for lo, hi in _slices([len(t or "") for t in texts]):
+            for lo, hi in _slices([len(t or "") for t in texts], SLICE):
                 x, n = encoder.encode(texts[lo:hi])
                 ids.append(x)
                 counts.append(n)
@@ -336,13 +341,13 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = _encoder(path).v
+        v = _vocabulary(path)
         for column in batches:
             found: list[str] = []
             counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             first = np.concatenate([[0], np.cumsum(counts)])
-            for lo, hi in _slices(counts.tolist()):
+            for lo, hi in _slices(counts.tolist(), ID_SLICE):
                 found += decode_ids(v, flat[first[lo] : first[hi]], counts[lo:hi])
             yield pa.array(found, pa.string())
 

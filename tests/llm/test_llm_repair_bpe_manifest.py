@@ -178,9 +178,9 @@ def test_bpe_decodes_any_ids(spark):
 
 
 def test_bpe_matrix_and_single_words_agree():
-    v = bpe.Encoder(tokenizer_file("byte_bpe_50k.json")).v
+    v = bpe.Vocabulary(tokenizer_file("byte_bpe_50k.json"))
     rng = random.Random(6)
-    e = bpe.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    e = bpe.Encoder(v)
     words = ["".join(rng.choices("abehinorst", k=rng.randrange(1, bpe.WIDE + 1))) for _ in range(500)]
     for w in words:
         ids, _ = e.encode([w])
