@@ -43,12 +43,13 @@ def leaf_digest(doc_id: Column, source: Column, lang: Column, n_chars: Column, t
 
 
 def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """rows (a table read from files) with `place`: the row's number from 0 in its group, in order."""
+    """rows (a table read from files) with `place`, the row's number from 0 in its group, in order, and `size`, the group's rows."""
     ranged = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(group, *order, "__row")
     ranged = written(ranged.withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
     # One row per partition that holds rows of the group.
-    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(group).orderBy("__part")) - F.col("__n")).drop("__n")
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(group).orderBy("__part")) - F.col("__n"))
+    before = before.withColumn("size", F.sum("__n").over(Window.partitionBy(group))).drop("__n")
     own = F.row_number().over(Window.partitionBy("__part", group).orderBy(*order, "__row"))
     return ranged.withColumn("__own", own).join(before, [group, "__part"]).withColumn("place", F.col("__before") + F.col("__own") - 1).drop("__row", "__part", "__own", "__before")
 
@@ -85,31 +86,25 @@ def climb(nodes: DataFrame, most: int, fanout: int, crown: Callable[[DataFrame],
     return joined.select("grp", "place", "subroot", "root", F.concat("path", "above").alias("path"))
 
 
-def _most(sizes: DataFrame) -> int:
-    return int(sizes.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0])
-
-
 def manifest(leaves: DataFrame, fanout: int = 3) -> DataFrame:
     """leaves (source, doc_id, leaf and others, read from files) with subroot, root and path; a path's steps hold the siblings before and after, from below."""
     grp = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # ascending: null first
     rows = placed(leaves.withColumn("grp", grp), "grp", ["doc_id", "leaf"])
     rows = written(rows)
-    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
 
     def crown(tops: DataFrame) -> DataFrame:
         """The tree over the sources."""
         tops = written(tops)
         named = placed(tops.select(F.lit("").alias("all"), F.col("grp").alias("name"), "subroot"), "all", ["name"])
-        count = tops.count()
-        nodes = named.select(F.col("all").alias("grp"), "place", F.col("subroot").alias("digest"), F.lit(count).cast("long").alias("size"), "name")
+        nodes = named.select(F.col("all").alias("grp"), "place", F.col("subroot").alias("digest"), "size", "name")
         done = lambda top: top.select("grp", "place", "subroot", F.col("subroot").alias("root"), F.array().cast(PATH).alias("path"))
-        paths = climb(nodes, count, fanout, done).select("place", "root", "path")
+        paths = climb(nodes, tops.count(), fanout, done).select("place", "root", "path")
         names = nodes.select("place", F.col("name").alias("grp"), F.col("digest").alias("subroot"))
         return names.join(paths, "place").select("grp", F.lit(0).cast("long").alias("place"), "subroot", "root", "path")
 
-    nodes = rows.select("grp", "place", F.col("leaf").alias("digest")).join(sizes, "grp")
-    found = climb(nodes, _most(sizes), fanout, crown)
-    return rows.join(found, ["grp", "place"]).drop("grp", "place")
+    most = int(rows.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0])
+    found = climb(rows.select("grp", "place", F.col("leaf").alias("digest"), "size"), most, fanout, crown)
+    return rows.join(found, ["grp", "place"]).drop("grp", "place", "size")
 
 
 def folded(leaf: Column, path: Column) -> Column:
