@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from candlewright.core import KEY
-from candlewright.operators import chunks
-from candlewright.operators.chunks import order
+from candlewright.operators import chunks, touch
 from candlewright.operators.mining import TYPE_KEY
 from candlewright.operators.validate import feature_position, pack_values
-from candlewright.sources.tables import scratch_path
+from candlewright.sources.tables import written
 
 c = F.col
 
@@ -165,18 +168,16 @@ def add_levels(signals: DataFrame, start_capital: float = 100.0) -> DataFrame:
 # ── outcomes ─────────────────────────────────────────────────────────────────
 
 
-def forward_paths(bars: DataFrame, hold: int) -> DataFrame:
-    """For every bar the next `hold` tradable bars (close above zero) as an array.
+def tradable(bars: DataFrame, *keep: str | Column) -> DataFrame:
+    """Bars with a close above zero, numbered densely (v_idx) beside their index in the series (orig_idx)."""
+    valid = bars.where(c("close") > 0).select(*KEY, "ts", c("bar_idx").alias("orig_idx"), "high", "low", "close", *keep)
+    return chunks.index_bars(valid).withColumnRenamed("bar_idx", "v_idx")
 
-    `hold` is the grid's longest holding time; the hold-th tradable bar is at least
-    that many bars away, so the array always contains the time-out bar.
-    """
-    valid = bars.where(c("close") > 0).select(*KEY, "ts", c("bar_idx").alias("orig_idx"), "high", "low", "close")
-    idx = chunks.index_bars(valid)
-    df = chunks.with_halo(idx, 1, ahead=hold)
-    ahead = F.collect_list(F.struct(c("orig_idx").alias("i"), c("high").alias("h"), c("low").alias("l"), c("close").alias("c"), c("ts").alias("ts"))).over(order().rowsBetween(1, hold))
-    return chunks.own_rows(df.select(*KEY, "chunk", "in_halo", "bar_idx", "orig_idx", ahead.alias("path"))).select(
-        *KEY, c("orig_idx").alias("bar_idx"), c("bar_idx").alias("v_idx"), "path")
+
+def _with_following(valid: DataFrame, hold: int, size: int) -> DataFrame:
+    """Each bar in its own chunk and in those before it that reach it within `hold` bars."""
+    first = F.greatest(F.floor((c("v_idx") - hold) / size), F.lit(0))
+    return valid.withColumn("chunk", F.explode(F.sequence(first, F.floor(c("v_idx") / size))))
 
 
 def series_ends(bars: DataFrame) -> DataFrame:
@@ -184,58 +185,80 @@ def series_ends(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*KEY).agg(F.max("bar_idx").alias("_n"), F.max_by("close", "bar_idx").alias("_last"), F.max("ts").alias("_last_ts"), F.min("bar_idx").alias("_first"))
 
 
-def label_outcomes(signals: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
+def _bars_of(table: pa.Table, hold: int) -> tuple[touch.Bars, pa.Table]:
+    table = table.sort_by("v_idx")
+    num = lambda n: table[n].to_numpy(zero_copy_only=False)
+    return touch.Bars(num("orig_idx"), num("high").astype(float), num("low").astype(float), hold), table
+
+
+REASONS = np.array(["TIMEOUT", "STOP", "TP", "END"], object)
+
+
+def label_outcomes(signals: DataFrame, bars: DataFrame, hold: int, chunk: int = chunks.CHUNK) -> DataFrame:
     """First later bar that touches the stop (checked first) or the target, or times out.
 
-    A signal the series ends on is closed at its last bar.
+    A signal the series ends on is closed at its last bar. Signals meet the bars of their
+    chunk once, whatever the parameter sets, and search its extremes together.
     """
-    # `simulate` attaches the paths and ends before the grid multiplies the bars
-    df = signals if "path" in signals.columns else signals.join(forward_paths(bars, hold), [*KEY, "bar_idx"])
-    df = df if "_n" in df.columns else df.join(series_ends(bars), KEY)
-    long = c("direction") == "LONG"
-
-    def stop(b):
-        return F.when(long, b.l <= c("effective_stop")).otherwise(b.h >= c("effective_stop"))
-
-    def target(b):
-        return F.when(long, b.h >= c("tp")).otherwise(b.l <= c("tp"))
-
-    # The time-out bar is one of the first max_hold_bars tradable bars: the last of them
-    # unless untradable bars were skipped on the way.
-    near = F.slice("path", 1, c("max_hold_bars"))
-    last = F.try_element_at("path", c("max_hold_bars"))
-    stop_at, tp_at = c("effective_stop"), c("tp")
-    hit = F.when(long, F.get(F.filter(near, lambda b: (b.l <= stop_at) | (b.h >= tp_at)), F.lit(0))).otherwise(
-        F.get(F.filter(near, lambda b: (b.h >= stop_at) | (b.l <= tp_at)), F.lit(0)))
-    out = df.withColumn("_hit", hit).withColumn(
-        "_late", F.when(last.i - c("bar_idx") == c("max_hold_bars"), last).otherwise(F.get(F.filter(near, lambda b: b.i - c("bar_idx") >= c("max_hold_bars")), F.lit(0))))
-    out = out.withColumn("_x", F.when(c("_hit").isNull() | (c("_late.i") < c("_hit.i")), c("_late")).otherwise(c("_hit"))).drop("_hit", "_late", "path")
-    out = out.withColumn(
-        "close_reason",
-        F.when(c("_x").isNull(), "END").when(stop(c("_x")), F.when(c("is_liquidation"), "LIQ").otherwise("SL")).when(target(c("_x")), "TP").otherwise("TIMEOUT"))
+    valid = tradable(bars)
+    places = valid.select(*KEY, c("orig_idx").alias("bar_idx"), "v_idx", F.floor(c("v_idx") / chunk).alias("chunk"))
+    placed = signals.join(places, [*KEY, "bar_idx"]).join(series_ends(bars), KEY)
+    out = StructType(placed.schema.fields + _parse_datatype_string("_reason string, _exit long, _price double, _exit_ts timestamp").fields)
+    arrow, columns = to_arrow_schema(out), placed.columns
+
+    def label(key: tuple, mine: pa.Table, group: pa.Table) -> pa.Table:
+        path, group = _bars_of(group, hold)
+        if not len(mine) or not path.n:
+            return arrow.empty_table()
+        num = lambda n: mine[n].to_numpy(zero_copy_only=False)
+        at = num("v_idx") - group["v_idx"][0].as_py()
+        long = np.array(mine["direction"].to_pylist()) == "LONG"
+        place, why = path.exits(at, long, num("effective_stop").astype(float), num("tp").astype(float), num("max_hold_bars"))
+        pick = pa.array(np.where(place < path.n, place, 0), mask=place >= path.n)
+        found = [pa.array(REASONS[why], pa.string()), *(group[n].combine_chunks().take(pick) for n in ("orig_idx", "close", "ts"))]
+        return pa.Table.from_arrays([*(mine[n] for n in columns), *found], names=arrow.names).cast(arrow)
+
+    on = [*KEY, "chunk"]
+    following = _with_following(valid, hold, chunk)
+    following = following.select(*[c(x).alias(x) for x in following.columns])  # columns of its own beside the signals'
+    done = placed.groupBy(*on).cogroup(following.groupBy(*on)).applyInArrow(label, out)
+    reason = F.when(c("_reason") == "STOP", F.when(c("is_liquidation"), "LIQ").otherwise("SL")).otherwise(c("_reason"))
     last_price = F.when(c("_last") != 0, c("_last")).otherwise(c("entry_price"))
-    out = out.withColumn("exit_idx", F.coalesce("_x.i", "_n")).withColumn("close_price", F.coalesce("_x.c", last_price)).withColumn("close_ts", F.coalesce("_x.ts", "_last_ts"))
-    side = F.when(long, 1.0).otherwise(-1.0)
+    done = done.withColumn("close_reason", reason).withColumn("exit_idx", F.coalesce("_exit", "_n"))
+    done = done.withColumn("close_price", F.coalesce("_price", last_price)).withColumn("close_ts", F.coalesce("_exit_ts", "_last_ts"))
+    side = F.when(c("direction") == "LONG", 1.0).otherwise(-1.0)
     drift = side * (c("close_price") - c("entry_price")) / c("sl_dist") * c("risk_amount")
     gross = (
         F.when(c("close_reason") == "LIQ", -c("margin_required")).when(c("close_reason") == "SL", -c("risk_amount"))
         .when(c("close_reason") == "TP", c("risk_amount") * c("tp_rr")).otherwise(drift))
-    return out.withColumn("pnl", gross - c("fee_cost")).withColumn("bars_held", c("exit_idx") - c("bar_idx")).drop("_x", "_n", "_last", "_last_ts")
+    done = done.withColumn("pnl", gross - c("fee_cost")).withColumn("bars_held", c("exit_idx") - c("bar_idx"))
+    return done.drop("_reason", "_exit", "_price", "_exit_ts", "_n", "_last", "_last_ts", "chunk", "v_idx")
 
 
 # ── non-overlapping selection ────────────────────────────────────────────────
 
 RUN_KEY = [*KEY, "param_id"]
-RUN_TYPES = "symbol string, timeframe string, param_id long"
+CELL = [*KEY, "sets", "chunk"]
+CELL_TYPES = "symbol string, timeframe string, sets int, chunk long"
+EFFECTS = f"{CELL_TYPES}, ids array<long>, effects array<array<double>>"
+#: Parameter sets that one task works through together.
+SETS_PER_TASK = 256
+
 
+def _free_bars(effects: DataFrame) -> DataFrame:
+    """The first free bar of every parameter set at the start of each chunk: the chunks' effects chained in time order."""
 
-def _walk(starts: np.ndarray, exits: np.ndarray, free: int) -> list[int]:
-    """Positions taken when the first bar allowed is `free`; an exit bar may be re-used."""
-    taken, at = [], int(np.searchsorted(starts, free))
-    while at < len(starts):
-        taken.append(at)
-        at = max(at + 1, int(np.searchsorted(starts, exits[at], side="left")))
-    return taken
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk", ignore_index=True)
+        state: dict[int, float] = {}
+        rows = []
+        for ids, found in zip(pdf["ids"], pdf["effects"], strict=True):
+            rows.append([state.get(i, -1.0) for i in ids])
+            for i, effect in zip(ids, found, strict=True):
+                state[i] = touch.after_effect(state.get(i, -1.0), effect)
+        return pdf[CELL].assign(ids=pdf["ids"], free=rows)
+
+    return effects.groupBy(*KEY, "sets").applyInPandas(walk, f"{CELL_TYPES}, ids array<long>, free array<double>")
 
 
 def select_non_overlapping(outcomes: DataFrame, hold: int, chunk: int = chunks.CHUNK) -> DataFrame:
@@ -244,38 +267,34 @@ def select_non_overlapping(outcomes: DataFrame, hold: int, chunk: int = chunks.C
     The signals of a time chunk act on a single number, the first bar that is free. A
     trade ends within `hold` tradable bars, so a chunk's whole effect is a table of
     hold + 1 entries; those tables are chained per run, and then every chunk picks its
-    trades on its own.
+    trades on its own, for all its parameter sets together.
     """
     # The exit bar may open the next trade, except where the series itself ended.
-    df = outcomes.where(c("bar_idx") - c("_first") >= WARM_UP_BARS).withColumn("chunk", F.floor(c("bar_idx") / chunk))
-    df = df.withColumn("exit_idx", c("exit_idx") + F.when(c("close_reason") == "END", 1).otherwise(0))
-
-    def effects(pdf: pd.DataFrame) -> dict:
-        base = int(pdf["chunk"].iloc[0]) * chunk
-        starts, exits = pdf["bar_idx"].to_numpy(), pdf["exit_idx"].to_numpy()
-        # after[j]: first free bar once the signals from j on have been worked through
-        after = np.empty(len(starts))
-        nxt = np.maximum(np.searchsorted(starts, exits, side="left"), np.arange(len(starts)) + 1)
-        for j in range(len(starts) - 1, -1, -1):
-            after[j] = exits[j] if nxt[j] >= len(starts) else after[nxt[j]]
-        reach = min(len(starts), int(np.searchsorted(starts, base + hold + 1, side="right")) + 1)
-        return {"free": [float(reach), *map(float, starts[:reach]), *map(float, after[:reach])]}
-
-    def step(state, effect):
-        n = int(effect[0])
-        starts, after = effect[1 : n + 1], effect[n + 1 :]
-        j = int(np.searchsorted(starts, state[0]))
-        return [after[j]] if j < n else state
-
-    lean = df.select(*RUN_KEY, "chunk", "bar_idx", "exit_idx")
-    states = chunks.chunk_states(lean, effects, {"free": ([-1.0], step)}, RUN_KEY, RUN_TYPES)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx", ignore_index=True)
-        taken = _walk(pdf["bar_idx"].to_numpy(), pdf["exit_idx"].to_numpy(), int(pdf["free"].iloc[0][0]))
-        return pdf.loc[taken, [*RUN_KEY, "bar_idx"]]
-
-    chosen = lean.join(states, [*RUN_KEY, "chunk"]).groupBy(*RUN_KEY, "chunk").applyInPandas(pick, f"{RUN_TYPES}, bar_idx long")
+    lean = outcomes.where(c("bar_idx") - c("_first") >= WARM_UP_BARS).select(
+        *RUN_KEY, F.pmod(F.xxhash64("param_id"), F.lit(64)).cast("int").alias("sets"), F.floor(c("bar_idx") / chunk).alias("chunk"), "bar_idx",
+        F.when(c("close_reason") == "END", touch.NEVER).otherwise(c("exit_idx")).alias("exit_idx"))
+
+    def runs(table: pa.Table):
+        table = table.sort_by([("param_id", "ascending"), ("bar_idx", "ascending")])
+        ids, starts, exits = (table[n].to_numpy(zero_copy_only=False) for n in ("param_id", "bar_idx", "exit_idx"))
+        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
+        return [(int(ids[lo]), starts[lo:hi], exits[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def effects(key: tuple, group: pa.Table) -> pa.Table:
+        # Bars that cannot be traded may lie between, so a table holds all the chunk's starts.
+        found = [(i, touch.effect(s, e, touch.NEVER, 0)) for i, s, e in runs(group)]
+        return pa.table({**{n: group[n][:1] for n in CELL}, "ids": [[i for i, _ in found]], "effects": [[x for _, x in found]]})
+
+    def pick(key: tuple, group: pa.Table, state: pa.Table) -> pa.Table:
+        free = dict(zip(state["ids"][0].as_py(), state["free"][0].as_py(), strict=True)) if len(state) else {}
+        got = [(i, s[touch.taken(s, e, free.get(i, -1.0))]) for i, s, e in runs(group)]
+        n = sum(len(s) for _, s in got)
+        ids = np.concatenate([np.full(len(s), i) for i, s in got]) if got else np.zeros(0, np.int64)
+        return pa.table({"symbol": pa.array([k.as_py() for k in key[:1]] * n, pa.string()), "timeframe": pa.array([k.as_py() for k in key[1:2]] * n, pa.string()),
+                         "param_id": pa.array(ids, pa.int64()), "bar_idx": pa.array(np.concatenate([s for _, s in got]) if got else [], pa.int64())})
+
+    states = _free_bars(lean.groupBy(*CELL).applyInArrow(effects, EFFECTS))
+    chosen = lean.groupBy(*CELL).cogroup(states.groupBy(*CELL)).applyInArrow(pick, "symbol string, timeframe string, param_id long, bar_idx long")
     return outcomes.join(chosen, [*RUN_KEY, "bar_idx"])
 
 
@@ -285,25 +304,155 @@ TRADE_COLUMNS = [
 ]
 
 
-def simulate(features: DataFrame, conditions: DataFrame, names, params: DataFrame, hold: int, start_capital: float = 100.0) -> DataFrame:
-    """Trades of every series under every parameter set. `hold`: longest max_hold_bars."""
-    # One row per bar meets its path once; the grid then multiplies rows inside their
-    # task and the path is dropped there, so it is never shuffled per parameter set.
-    spread = features.repartition(chunks.chunk_tasks(features), *KEY, "bar_idx")
-    ladders = signal_ladders(spread, conditions, names)
-    # A rung's score is at most the last one's, so bars below the loosest row never signal.
-    loosest = F.broadcast(params.agg(F.min("min_score").alias("_least")))
-    ladders = ladders.crossJoin(loosest).where(F.exists("_types", lambda t: F.try_element_at(t.r.s, F.lit(-1)) >= c("_least"))).drop("_least")
-    ladders = ladders.join(series_ends(features), KEY).join(forward_paths(features, hold), [*KEY, "bar_idx"])
-    signals = add_levels(best_signals(ladders, params), start_capital)
-    labelled = label_outcomes(signals, features, hold).drop("high", "low", "close", "effective_stop", "margin_required", "notional", "sl_dist", "v_idx")
-    # The selection reads the outcomes several times; as a table they are labelled once.
-    spark = features.sparkSession
-    path = scratch_path(spark, "outcomes")
-    labelled.write.parquet(path)
-    trades = select_non_overlapping(spark.read.schema(labelled.schema).parquet(path), hold)
+def _scored(types: list, values: pa.ListArray, n: int, width: int) -> list[dict]:
+    """Per type its strengths and, for every rung from the strongest condition down, score and share of conditions met by each bar."""
+    flat = values.flatten()
+    known = ~np.asarray(flat.is_null()).reshape(n, width)
+    v = flat.to_numpy(zero_copy_only=False).reshape(n, width)
+    out = []
+    for t in types:
+        conds = t["conds"]
+        at = np.array([x["p"] for x in conds])
+        base, above, strength = (np.array([x[k] for x in conds]) for k in ("base", "above", "t"))
+        x, there = v[:, at], known[:, at]
+        # NaN counts as larger than any number, as it does in SQL
+        met = there & np.where(above[None, :], (x > base) | np.isnan(x), x < base)
+        total = np.cumsum(there, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = np.cumsum(met, axis=1) / total
+        out.append({"t": strength, "score": np.cumsum(np.where(met, strength, 0.0), axis=1), "share": share, "move_type": t["move_type"], "long": t["direction"] == "LONG"})
+    return out
+
+
+def _best(scored: list[dict], p: dict, n: int) -> tuple[np.ndarray, ...]:
+    """Bars with a signal under one parameter set, and its score, share, type and the number of types that signal."""
+    best, share, kind, count = np.zeros(n), np.zeros(n), np.full(n, -1), np.zeros(n, np.int64)
+    for i, t in enumerate(scored):
+        rung = int(np.searchsorted(-t["t"], -p["t_threshold"], side="right")) - 1
+        if rung < 0:
+            continue
+        score, met = t["score"][:, rung], t["share"][:, rung]
+        ok = (score >= p["min_score"]) & (met >= p["min_hit_rate"])
+        count += ok
+        better = ok & (score > best)
+        best[better], share[better], kind[better] = score[better], met[better], i
+    at = np.flatnonzero(kind >= 0)
+    return at, best[at], share[at], kind[at], count[at]
+
+
+def _levels(p: dict, entry: np.ndarray, long: np.ndarray, start_capital: float) -> dict[str, np.ndarray | float]:
+    """The numbers of add_levels for the signals of one parameter set."""
+    side = np.where(long, 1.0, -1.0)
+    liq_pct = max(100.0 / p["leverage"] - LIQUIDATION_BUFFER_PCT, 0.05)
+    dist = entry * p["sl_pct"] / 100
+    sl, tp, liq = entry - side * dist, entry + side * dist * p["tp_rr"], entry - side * (entry * liq_pct / 100)
+    liquidated = np.where(long, liq > sl, liq < sl)
+    risk = start_capital * p["risk_per_trade_pct"] / 100
+    notional = risk / (p["sl_pct"] / 100)
+    cap = start_capital * BINDABLE_SHARE
+    bound = notional / p["leverage"]
+    shrink = cap / bound if bound > cap else 1.0
+    fee = notional * shrink * (p["fee_pct_per_side"] / 100) * 2
+    return {"side": side, "dist": dist, "sl": sl, "tp": tp, "liq": liq, "liquidated": liquidated, "stop": np.where(liquidated, liq, sl), "risk": risk * shrink, "margin": min(bound, cap), "fee": fee}
+
+
+RAW = ("symbol string, timeframe string, param_id long, ts timestamp, close_ts timestamp, move_type string, direction string, entry_price double, close_price double, "
+       "sl double, tp double, liq_price double, leverage double, score double, hit_rate double, n_types_signaling int, pnl double, close_reason string, bars_held long, bar_idx long, exit_idx long")
+
+
+def simulate(
+    features: DataFrame, conditions: DataFrame, names, params: DataFrame, hold: int, start_capital: float = 100.0, chunk: int = chunks.CHUNK, sets_per_task: int = SETS_PER_TASK,
+) -> DataFrame:
+    """Trades of every series under every parameter set. `hold`: longest max_hold_bars.
+
+    One group per (series, chunk, block of parameter sets) scores its bars once, reads
+    every set's signals from the rungs, and finds all exits by the chunk's extremes. It
+    runs twice, first for the chunks' effects on the first free bar and, once these are
+    chained, for the trades. Only bars, effects and trades are shuffled, never a row per
+    bar and set.
+    """
+    names, on = list(names), ["base_symbol", "timeframe"] if "base_symbol" in features.columns else KEY
+    packed = _packed(conditions, names)
+    if on != KEY:
+        packed = packed.withColumnRenamed("symbol", "base_symbol")
+    valid = tradable(features, *[x for x in on if x not in KEY], pack_values(names).alias("_v"))
+    blocks = max(1, -(-params.count() // sets_per_task))
+    grid_rows = params.groupBy(F.pmod(F.xxhash64("param_id"), F.lit(blocks)).cast("int").alias("sets")).agg(F.sort_array(F.collect_list(F.struct(*params.columns))).alias("params"))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # The head of a chunk brings what the series and the parameter sets give.
+    heads = valid.where(c("v_idx") % chunk == 0).select(*dict.fromkeys([*KEY, *on]), F.floor(c("v_idx") / chunk).alias("chunk")).join(packed, on)
+    heads = heads.join(series_ends(features), KEY).withColumn("sets", spread).join(grid_rows, "sets").select(*CELL, "_types", "params", "_n", "_last", "_last_ts", "_first")
+    heads = written(heads, "heads")
+    rows = _with_following(valid, hold, chunk).withColumn("_v", F.when(F.floor(c("v_idx") / chunk) == c("chunk"), c("_v")))
+    rows = rows.withColumn("sets", spread).select(*CELL, "v_idx", "orig_idx", "ts", "high", "low", "close", "_v")
+    rows = rows.repartition(chunks.chunk_tasks(features), *CELL)
+    width = len(names)
+
+    def signals(group: pa.Table, head: pa.Table):
+        """Per parameter set its signals with their exits."""
+        path, group = _bars_of(group, hold)
+        h = head.slice(0, 1).to_pylist()[0]
+        base = h["chunk"] * chunk
+        v = group["v_idx"].to_numpy()
+        n = int(np.searchsorted(v, base + chunk))
+        scored = _scored(h["_types"], group["_v"].combine_chunks().slice(0, n), n, width)
+        warm = path.index[:n] - h["_first"] >= WARM_UP_BARS
+        close = group["close"].to_numpy(zero_copy_only=False).astype(float)
+        long_of = np.array([t["long"] for t in scored])
+        for p in h["params"]:
+            at, score, share, kind, count = _best(scored, p, n)
+            keep = warm[at]
+            at, score, share, kind, count = (x[keep] for x in (at, score, share, kind, count))
+            lv = _levels(p, close[at], long_of[kind], start_capital)
+            place, why = path.exits(at, long_of[kind], lv["stop"], lv["tp"], np.full(len(at), p["max_hold_bars"]))
+            exits = np.where(place < path.n, base + place, touch.NEVER)
+            yield h, group, path, p, scored, (at, score, share, kind, count), lv, place, why, base + at, exits
+
+    def effects(key: tuple, group: pa.Table, head: pa.Table) -> pa.Table:
+        if not len(group) or not len(head):
+            return to_arrow_schema(_parse_datatype_string(EFFECTS)).empty_table()
+        ids, found = [], []
+        for h, _, _, p, *_, starts, exits in signals(group, head):
+            ids.append(p["param_id"])
+            found.append(touch.effect(starts, exits, h["chunk"] * chunk, hold))
+        return pa.table({**{n: head[n][:1] for n in CELL}, "ids": pa.array([ids], pa.list_(pa.int64())), "effects": pa.array([found], pa.list_(pa.list_(pa.float64())))})
+
+    arrow = to_arrow_schema(_parse_datatype_string(RAW))
+
+    def trades(key: tuple, group: pa.Table, head: pa.Table) -> pa.Table:
+        out = []
+        if len(group) and len(head):
+            free = dict(zip(head["ids"][0].as_py(), head["free"][0].as_py(), strict=True))
+            for h, bars, path, p, scored, (at, score, share, kind, count), lv, place, why, starts, exits in signals(group, head):
+                pick = touch.taken(starts, exits, free[p["param_id"]])
+                if not pick:
+                    continue
+                at, score, share, kind, count, place, why = (x[pick] for x in (at, score, share, kind, count, place, why))
+                close = bars["close"].to_numpy(zero_copy_only=False).astype(float)
+                ts = bars["ts"].combine_chunks()
+                entry, ended, there = close[at], place >= path.n, np.minimum(place, path.n - 1)
+                last = h["_last"]
+                price = np.where(ended, np.where(last is not None and last != 0, last or 0.0, entry), close[there])
+                dead = lv["liquidated"][pick]
+                reason = np.where(why == 1, np.where(dead, "LIQ", "SL"), REASONS[why])
+                drift = lv["side"][pick] * (price - entry) / lv["dist"][pick] * lv["risk"]
+                gross = np.where(reason == "LIQ", -lv["margin"], np.where(reason == "SL", -lv["risk"], np.where(reason == "TP", lv["risk"] * p["tp_rr"], drift)))
+                exit_idx = np.where(ended, h["_n"], path.index[there])
+                n = len(pick)
+                close_ts = pc.if_else(pa.array(ended), pa.scalar(h["_last_ts"], ts.type), ts.take(pa.array(there)))
+                out.append(pa.table([
+                    pa.array([h["symbol"]] * n), pa.array([h["timeframe"]] * n), pa.array(np.full(n, p["param_id"])), ts.take(pa.array(at)), close_ts,
+                    pa.array([scored[i]["move_type"] for i in kind]), pa.array(["LONG" if scored[i]["long"] else "SHORT" for i in kind]), pa.array(entry), pa.array(price),
+                    pa.array(lv["sl"][pick]), pa.array(lv["tp"][pick]), pa.array(lv["liq"][pick]), pa.array(np.full(n, p["leverage"])), pa.array(score), pa.array(share),
+                    pa.array(count), pa.array(gross - lv["fee"]), pa.array(reason.tolist()), pa.array(exit_idx - path.index[at]), pa.array(path.index[at]), pa.array(exit_idx),
+                ], names=arrow.names).cast(arrow))
+        return pa.concat_tables(out) if out else arrow.empty_table()
+
+    states = _free_bars(rows.groupBy(*CELL).cogroup(heads.groupBy(*CELL)).applyInArrow(effects, EFFECTS))
+    ready = heads.join(states, CELL)
+    picked = rows.groupBy(*CELL).cogroup(ready.groupBy(*CELL)).applyInArrow(trades, RAW)
     r = lambda name, d: F.round(name, d).alias(name)
-    return trades.select(
+    return picked.select(
         *RUN_KEY, c("ts").alias("entry_ts"), "close_ts", "move_type", "direction", r("entry_price", 4), r("close_price", 4), r("sl", 4), r("tp", 4),
         r("liq_price", 4), "leverage", r("score", 2), r("hit_rate", 3), "n_types_signaling", r("pnl", 4),
         F.round(c("pnl") / start_capital * 100, 3).alias("pnl_pct"), "close_reason", "bars_held", c("bar_idx").alias("entry_idx"), "exit_idx",

@@ -24,6 +24,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut and what follows has a plain input."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_series(df: DataFrame, path: str) -> None:
     """Partitioned by timeframe and symbol; only the partitions present are replaced.
 
