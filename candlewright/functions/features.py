@@ -58,8 +58,27 @@ def _columns_until_stuck(df: DataFrame, todo: dict[str, Feature], have: set[str]
             del todo[f.name]
 
 
+def _scans(df: DataFrame, todo: dict[str, Feature], have: set[str], halo: int, size: int) -> DataFrame:
+    """Adds the recurrences of `todo` and the columns they rest on, one pass per level of recurrences."""
+    while todo:
+        df = _columns_until_stuck(df, todo, have)
+        level = [f for f in todo.values() if f.stage == "scan" and set(f.deps) <= have]
+        if todo and not level:
+            raise RuntimeError(f"cannot resolve {sorted(todo)}")
+        if not level:
+            return df
+        inputs = {f.name: F.when(F.col("bar_idx") == 0, F.col(f.deps[0]) * f.kernel[2]).otherwise(F.col(f.deps[0]) * f.kernel[1]) for f in level}
+        df = df.select("*", *[x.alias(f"_in_{n}") for n, x in inputs.items()])
+        df = chunks.linear_scan(df, {f.name: (f"_in_{f.name}", f.kernel[0]) for f in level}, halo, size).drop(*[f"_in_{n}" for n in inputs])
+        for f in level:
+            have.add(f.name)
+            del todo[f.name]
+    return df
+
+
 def _arrays(pdf: pd.DataFrame, jobs: list[Feature]) -> dict:
     data = {k: pdf[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume")}
+    data |= {d: pdf[d].to_numpy(float) for j in jobs for d in j.deps if d in pdf.columns and d not in data}
     data["bar_idx"] = pdf["bar_idx"].to_numpy()
     data["own"] = ~pdf["in_halo"].to_numpy(bool)
     data["state"] = {}
@@ -67,7 +86,7 @@ def _arrays(pdf: pd.DataFrame, jobs: list[Feature]) -> dict:
 
 
 def _in_order(todo: dict[str, Feature]) -> list[Feature]:
-    jobs, placed = [], set(BASE)
+    jobs, placed = [], BASE | {f.name for f in todo.values() if f.stage == "scan"}
     waiting = [f for f in todo.values() if f.stage == "array"]
     while waiting:
         ready = [f for f in waiting if set(f.deps) <= placed]
@@ -175,23 +194,31 @@ def compute_features(
     base_cols = [c for c in (*KEY, "ts", "open", "high", "low", "close", "volume", "bar_idx") if c in idx.columns]
     df = idx.select(*base_cols)
 
-    if jobs:
-        # Look-backs of chained arrays add up; recurrences dominate them.
-        depth = max(f.lookback for f in jobs)
-        inner = max([f.lookback for f in jobs if f.name in ("macd_signal", "adx")], default=0)
-        size, warm = chunks.chunk_rows(max(halo or 0, depth + inner), chunk)
-        used = {d for f in todo.values() if f.stage == "column" for d in f.deps} | set(names)
-        outs = [f.name for f in jobs if f.name in used]
-        df = _array_stage(chunks.with_halo(df, warm, size, ahead), jobs, outs)
-        if all(f.stage == "array" for f in todo.values()):
-            return df.select(*base_cols, *[n for n in names if n not in base_cols])
-        for f in jobs:
-            del todo[f.name]
-
-    have = set(BASE) | {f.name for f in jobs}
-    look = max([f.lookback for f in todo.values()], default=1) + scaled(52, scale) + scaled(26, scale)
-    size, look = chunks.chunk_rows(max(halo or 0, look), chunk)
-    df = _columns_until_stuck(chunks.with_halo(df, look, size, ahead), todo, have)
+    have = set(BASE)
+    pre = cat.closure([f.name for f in todo.values() if f.stage == "scan"])
+    later = [f for f in todo.values() if f.name not in pre and f.stage == "column"]
+    look = max([f.lookback for f in later], default=1) + scaled(52, scale) + scaled(26, scale)
+    near = max([f.lookback for f in (*jobs, *pre.values())], default=1)
+    if pre or jobs:
+        # Recurrences carry over from block to block, so the halo is that of the longest window.
+        size, warm = chunks.chunk_rows(max(halo or 0, near if jobs else look), chunk)
+        df = _scans(chunks.with_halo(df, warm, size, ahead), dict(pre), have, warm, size)
+        used = {d for f in (*later, *jobs) for d in f.deps} | set(names)
+        for n in pre:
+            todo.pop(n, None)
+        df = df.drop(*[n for n in pre if n not in used])
+        if jobs:
+            outs = [f.name for f in jobs if f.name in used]
+            df = _array_stage(df, jobs, outs)
+            have |= {f.name for f in jobs}
+            for f in jobs:
+                del todo[f.name]
+            if not todo:
+                return df.select(*base_cols, *[n for n in names if n not in base_cols])
+    if jobs or not pre:
+        size, look = chunks.chunk_rows(max(halo or 0, look), chunk)
+        df = chunks.with_halo(df, look, size, ahead)
+    df = _columns_until_stuck(df, todo, have)
     if todo:
         raise RuntimeError(f"cannot resolve {sorted(todo)}")
     out = df.where(~F.col("in_halo"))

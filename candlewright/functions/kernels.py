@@ -216,16 +216,6 @@ def kalman_velocity(data, column, q, r):
 # ── recurrences ──────────────────────────────────────────────────────────────
 
 
-def ewm_memory(span: int) -> int:
-    """Bars after which a start value weighs less than 2**-60."""
-    return int(np.ceil(41.6 / np.log((span + 1.0) / (span - 1.0)))) if span > 1 else 1
-
-
-def ewm(data, column, span):
-    """y = y + 2/(span+1) * (x - y), seeded with the first value."""
-    return pd.Series(data[column]).ewm(span=span, adjust=False).mean().to_numpy()
-
-
 def _previous(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[np.nan], x[:-1]])
 
@@ -234,43 +224,6 @@ def log_return(data):
     return np.log(data["close"] / _previous(data["close"]))
 
 
-def difference(data, a, b):
-    return data[a] - data[b]
-
-
-def true_range(data):
-    prev = _previous(data["close"])
-    return np.fmax(data["high"] - data["low"], np.fmax(np.abs(data["high"] - prev), np.abs(data["low"] - prev)))
-
-
-def directional_move(data, side):
-    """Up-move and down-move; equal moves keep the minus side, because it is compared
-    with a plus side that has already been zeroed."""
-    up = np.fmax(data["high"] - _previous(data["high"]), 0.0)
-    down = np.fmax(_previous(data["low"]) - data["low"], 0.0)
-    plus = np.where(up > down, up, 0.0)
-    return plus if side == "_dm_plus" else np.where(down > plus, down, 0.0)
-
-
-def directional_index(data, move):
-    return 100 * data[move] / (data["atr_14"] + 1e-10)
-
-
-def directional_spread(data):
-    p, m = data["di_plus"], data["di_minus"]
-    return 100 * np.abs(p - m) / (p + m + 1e-10)
-
-
-def leaky_pressure(data, decay):
-    """m = decay * m + wick imbalance, zero on the first bar."""
-    o, h, lo, cl = data["open"], data["high"], data["low"], data["close"]
-    wpi = ((np.fmin(o, cl) - lo) - (h - np.fmax(o, cl))) / (h - lo + 1e-10)
-    wpi = np.nan_to_num(wpi)
-    if data["bar_idx"][0] == 0:
-        wpi[0] = 0.0
-    return pd.Series(wpi).ewm(alpha=1 - decay, adjust=False).mean().to_numpy() / (1 - decay)
-
-
 # ── machines whose state crosses chunks ──────────────────────────────────────
 # Each has an effect (a chunk's own rows reduced to a few numbers) and a fold step;
 # data["state"] holds the state at the chunk's first own row.
@@ -468,62 +421,88 @@ def machine(name, fn, args):
         return lambda d: _band_effect(d, *args), [float("inf")], lambda s, e: s if s[0] <= e[0] else [e[1]]
     if fn is band_side:
         return _side_effect, [1.0], _replace
+    if fn is order_block_retest:
+        return lambda d: _zone_effect(d, *args), [], _after_zones
     return None
 
 
 # ── order-block retests ──────────────────────────────────────────────────────
 
 
-def zone_retests(first: int, high, low, zone_lo, zone_hi, max_age: int, cap: int, known_from_start: bool):
-    """Flags bars that touch an active zone; a touch uses the oldest touched zone up.
+def zone_retests(high, low, zone_lo, zone_hi, zones, max_age: int, cap: int):
+    """Flags of bars that touch an active zone, and the zones left at the end.
 
-    zone_lo/zone_hi hold the zone confirmed on a bar (NaN: none). When the rows do not
-    start the series, earlier zones are unknown for `max_age` bars: everything they may
-    have influenced is tracked as uncertain, and `certain` says from which row on the
-    flags no longer depend on them.
+    zone_lo/zone_hi hold the zone confirmed on a bar (NaN: none); zones are those active
+    before the first bar, as (age in bars, low, high), oldest first. A touch uses the
+    oldest touched zone up; of more than `cap` zones the oldest goes.
     """
     n = len(high)
     hit = np.zeros(n, dtype=bool)
-    unknown_until = -1 if known_from_start else max_age
-    certain = 0 if known_from_start else n
-    zones: list[list] = []  # [row, lo, hi, sure]
+    live = [(-int(age), lo, hi) for age, lo, hi in zones]
+    i = 0
+    confirmed = np.flatnonzero(~np.isnan(zone_lo)).tolist()
+    at = 0
+    while i < n:
+        if not live:  # nothing happens before the next zone
+            while at < len(confirmed) and confirmed[at] < i:
+                at += 1
+            if at == len(confirmed):
+                break
+            i = confirmed[at]
+        live = [z for z in live if i - z[0] <= max_age]
+        for z in live:
+            if low[i] <= z[2] and high[i] >= z[1]:
+                live.remove(z)
+                hit[i] = True
+                break
+        if not np.isnan(zone_lo[i]):
+            live = [*live, (i, zone_lo[i], zone_hi[i])][-cap:]
+        i += 1
+    return hit, [(n - z[0], z[1], z[2]) for z in live if n - z[0] <= max_age]
+
+
+def forgetful(high, low, zone_lo, zone_hi, max_age: int, cap: int):
+    """The zones left at the end where these do not depend on the zones before, else None.
+
+    Zones before the first bar are unknown for `max_age` bars: whatever they may have
+    changed is tracked as unsure until it is gone.
+    """
+    n = len(high)
+    live: list[list] = []  # [row, low, high, sure]
     for i in range(n):
-        zones = [z for z in zones if i - z[0] <= max_age]
-        unknown = i <= unknown_until
-        if first + i >= 3:
-            doubt = unknown
-            for z in list(zones):
-                if low[i] <= z[2] and high[i] >= z[1]:
-                    if doubt:
+        live = [z for z in live if i - z[0] <= max_age]
+        doubt = i <= max_age
+        if not live and not doubt and np.isnan(zone_lo[i]):
+            continue
+        for z in list(live):
+            if low[i] <= z[2] and high[i] >= z[1]:
+                if doubt:
+                    z[3] = False
+                else:
+                    live.remove(z)
+                    if z[3]:
+                        break
+                    doubt = True
+        if not np.isnan(zone_lo[i]):
+            live.append([i, zone_lo[i], zone_hi[i], True])
+            sure = maybe = 0
+            for z in reversed(list(live)):
+                if sure >= cap:
+                    live.remove(z)
+                else:
+                    if maybe >= cap:
                         z[3] = False
-                    else:
-                        zones.remove(z)
-                        hit[i] = True
-                        if z[3]:
-                            break
-                        doubt = True
-            if not np.isnan(zone_lo[i]):
-                zones.append([i, zone_lo[i], zone_hi[i], True])
-                sure = maybe = 0
-                for z in reversed(list(zones)):
-                    if sure >= cap:
-                        zones.remove(z)
-                    else:
-                        if maybe >= cap:
-                            z[3] = False
-                        sure += z[3]
-                        maybe += 1
-        if certain == n and not unknown and all(z[3] for z in zones):
-            certain = i + 1
-        elif certain < n and not all(z[3] for z in zones):
-            certain = n
-    return hit, certain
-
-
-def order_block_retest(data, name, lookback, max_age, impulse=0.015, cap=3):
-    """1.0 where price returns to the last opposite candle before a strong move."""
+                    sure += z[3]
+                    maybe += 1
+    if n <= max_age or not all(z[3] for z in live):
+        return None
+    return [(n - z[0], z[1], z[2]) for z in live if n - z[0] <= max_age]
+
+
+def _order_zones(data, name, lookback, max_age, impulse=0.015):
+    """Of the chunk's own rows: high, low, and the zone confirmed on each."""
     o, h, lo, cl = data["open"], data["high"], data["low"], data["close"]
-    n, first = len(cl), int(data["bar_idx"][0])
+    n, first, own = len(cl), int(data["bar_idx"][0]), _own(data)
     sign = 1 if name == "bull_ob" else -1
     move = (cl - _previous(cl)) / (_previous(cl) + 1e-10) * sign
     against = (cl - o) * sign < 0
@@ -536,7 +515,34 @@ def order_block_retest(data, name, lookback, max_age, impulse=0.015, cap=3):
         take[ok] &= against[src[ok]]
         z_lo[take], z_hi[take] = lo[src[take]], h[src[take]]
     z_lo[: max(0, 3 - first)] = np.nan
-    hit, certain = zone_retests(first, h, lo, z_lo, z_hi, max_age, cap, first == 0)
-    if certain > _own(data)[0]:
-        raise ValueError("order blocks: the chunk's warm-up is too short, raise `halo`")
-    return hit.astype(float)
+    return h[own], lo[own], z_lo[own], z_hi[own]
+
+
+CAP = 3
+
+
+def order_block_retest(data, name, lookback, max_age):
+    """1.0 where price returns to the last opposite candle before a strong move."""
+    own = _own(data)
+    zones = np.reshape(data["state"][name], (-1, 3))
+    hit, _ = zone_retests(*_order_zones(data, name, lookback, max_age), zones, max_age, CAP)
+    out = np.full(len(data["close"]), np.nan)
+    out[own] = hit
+    return out
+
+
+def _zone_effect(data, name, lookback, max_age):
+    """[1, zones left...] where the chunk forgets the zones before it; else [0, max_age, its rows...], for the fold to run."""
+    rows = _order_zones(data, name, lookback, max_age)
+    left = forgetful(*rows, max_age, CAP)
+    if left is not None:
+        return [1.0, *np.ravel(left).astype(float).tolist()]
+    return [0.0, float(max_age), *np.concatenate(rows).tolist()]
+
+
+def _after_zones(state, effect):
+    if effect[0]:
+        return effect[1:]
+    rows = np.reshape(effect[2:], (4, -1))
+    _, left = zone_retests(*rows, np.reshape(state, (-1, 3)), int(effect[1]), CAP)
+    return np.ravel(left).astype(float).tolist()

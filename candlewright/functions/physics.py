@@ -52,7 +52,7 @@ def define(cat: Catalogue, s: float) -> None:
         col(f"autocorr_{k}", ["log_return_1", f"log_return_1_lag{v}"], lambda v=v: autocorrelation("log_return_1", p(20), v), p(20))
 
     col("wpi", ["upper_wick", "lower_wick"], lambda: (c("lower_wick") - c("upper_wick")) / (high - low + EPS))
-    cat.array("memory_pressure", kernels.leaky_pressure, ["open", "high", "low", "close"], 0.9, lookback=400)
+    cat.scan("memory_pressure", "wpi", 0.9, 1.0, 0.0)
     n10, n20, n50 = p(10), p(20), p(50)
     col("cct", ["_range"], lambda: (1 - F.abs(close - open_) / (c("_range") + EPS))
         * (c("_range") / (rolling(F.avg, "_range", n10) + EPS)), n10)

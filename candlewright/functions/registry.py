@@ -15,6 +15,7 @@ class Feature:
     """`stage` is one of
 
     column    a Column over earlier columns (windows allowed), computed per chunk
+    scan      y = decay * y + gain * input over the whole series, with block carries
     array     a NumPy kernel over one chunk's arrays, after the arrays it depends on
     """
 
@@ -37,6 +38,10 @@ class Catalogue:
     def array(self, name, fn, deps, *args, lookback=0, causal=True):
         self.features[name] = Feature(name, tuple(deps), None, "array", (fn, args), lookback, causal)
 
+    def scan(self, name, source, decay, gain, first):
+        """y = decay * y + gain * source, started with first * source on a series' first bar."""
+        self.features[name] = Feature(name, (source,), None, "scan", (decay, gain, first))
+
     def closure(self, names) -> dict[str, Feature]:
         """The requested features and everything they need."""
         out: dict[str, Feature] = {}

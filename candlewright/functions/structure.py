@@ -49,7 +49,7 @@ def define(cat: Catalogue, s: float) -> None:
     col("in_fvg", ["fvg_bull", "fvg_bear"], lambda: F.greatest("fvg_bull", "fvg_bear"))
 
     for name in ("bull_ob", "bear_ob"):
-        cat.array(name, kernels.order_block_retest, ["open", "high", "low", "close"], name, p(5), p(50), lookback=20 * p(50))
+        cat.array(name, kernels.order_block_retest, ["open", "high", "low", "close"], name, p(5), p(50), lookback=p(5))
 
     for n_ in (10, 20):
         col(f"breakout_up_{n_}", ["close"], lambda n_=n_: flag(close > trailing(F.max, "close", p(n_))), p(n_))

@@ -34,7 +34,7 @@ def weighted_mean(name: str, n: int) -> Column:
 
 
 def add_ema(cat: Catalogue, name: str, source: str, span: int) -> None:
-    cat.array(name, kernels.ewm, [source], source, span, lookback=kernels.ewm_memory(span))
+    cat.scan(name, source, 1 - 2.0 / (span + 1), 2.0 / (span + 1), 1.0)
 
 
 def define(cat: Catalogue, s: float) -> None:
@@ -44,7 +44,7 @@ def define(cat: Catalogue, s: float) -> None:
     col("_pos", [], lambda: (c("bar_idx") - F.min("bar_idx").over(order().rowsBetween(Window.unboundedPreceding, 0))).cast("double"))
     col("_tp", ["high", "low", "close"], lambda: (high + low + close) / 3)
     col("_range", ["high", "low"], lambda: high - low)
-    cat.array("_tr", kernels.true_range, ["high", "low", "close"], lookback=1)
+    col("_tr", ["high", "low", "close"], lambda: F.greatest(high - low, F.abs(high - lag("close")), F.abs(low - lag("close"))), 1)
 
     for n in (10, 20, 50, 100, 200):
         col(f"sma_{n}", ["close"], lambda n=n: rolling(F.avg, "close", p(n)), p(n))
@@ -71,7 +71,7 @@ def define(cat: Catalogue, s: float) -> None:
 
     add_ema(cat, "_ema_fast", "close", p(12))
     add_ema(cat, "_ema_slow", "close", p(26))
-    cat.array("macd", kernels.difference, ["_ema_fast", "_ema_slow"], "_ema_fast", "_ema_slow")
+    col("macd", ["_ema_fast", "_ema_slow"], lambda: c("_ema_fast") - c("_ema_slow"))
     add_ema(cat, "macd_signal", "macd", p(9))
     col("macd_hist", ["macd", "macd_signal"], lambda: c("macd") - c("macd_signal"))
     col("macd_hist_slope", ["macd_hist"], lambda: diff("macd_hist"))
@@ -95,12 +95,16 @@ def define(cat: Catalogue, s: float) -> None:
     col("atr_pct", ["atr_14"], lambda: ratio(c("atr_14"), close + EPS))
     col("atr_z", ["atr_14"], lambda: zscore("atr_14", n50), n50)
 
-    for side in ("_dm_plus", "_dm_minus"):
-        cat.array(side, kernels.directional_move, ["high", "low"], side, lookback=1)
+    # Equal moves keep the minus side, because it is compared with a plus side that has
+    # already been zeroed.
+    col("_up", ["high"], lambda: F.greatest(high - lag("high"), F.lit(0.0)), 1)
+    col("_down", ["low"], lambda: F.greatest(lag("low") - low, F.lit(0.0)), 1)
+    col("_dm_plus", ["_up", "_down"], lambda: F.when(c("_up") > c("_down"), c("_up")).otherwise(0.0))
+    col("_dm_minus", ["_dm_plus", "_down"], lambda: F.when(c("_down") > c("_dm_plus"), c("_down")).otherwise(0.0))
+    for side, out in (("_dm_plus", "di_plus"), ("_dm_minus", "di_minus")):
         add_ema(cat, f"{side}_ema", side, n14)
-    cat.array("di_plus", kernels.directional_index, ["_dm_plus_ema", "atr_14"], "_dm_plus_ema")
-    cat.array("di_minus", kernels.directional_index, ["_dm_minus_ema", "atr_14"], "_dm_minus_ema")
-    cat.array("_dx", kernels.directional_spread, ["di_plus", "di_minus"])
+        col(out, [f"{side}_ema", "atr_14"], lambda side=side: 100 * c(f"{side}_ema") / (c("atr_14") + EPS))
+    col("_dx", ["di_plus", "di_minus"], lambda: 100 * F.abs(c("di_plus") - c("di_minus")) / (c("di_plus") + c("di_minus") + EPS))
     add_ema(cat, "adx", "_dx", n14)
     col("di_delta", ["di_plus", "di_minus"], lambda: c("di_plus") - c("di_minus"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from candlewright.core import KEY
 from candlewright.operators import joins, ledger
 from candlewright.operators.outcomes import DEFAULTS, RUN_KEY
+from candlewright.operators.ranks import positions, ranged_positions
 
 c = F.col
 def won() -> Column:
@@ -137,25 +138,24 @@ def positive_share(summary: DataFrame) -> DataFrame:
 # ── ledger studies ───────────────────────────────────────────────────────────
 
 
-def _positions(trades: DataFrame, order_cols, keys=tuple(RUN_KEY), block: str | None = None) -> DataFrame:
-    """Row position and row count per run (one run's ledger holds no overlapping trades)."""
-    w = Window.partitionBy(*keys)
-    return trades.withColumn("pos", F.row_number().over(w.orderBy(*order_cols)) - 1).withColumn("_n", F.count("*").over(w))
+def _buckets(placed: DataFrame, n: int, min_per_bucket: int) -> DataFrame:
+    t = placed.where(c("_n") >= n * min_per_bucket)
+    return t.withColumn("bucket", F.least(F.floor(c("pos") / F.floor(c("_n") / n)), F.lit(n - 1)) + 1)
 
 
-def _buckets(trades: DataFrame, order_cols, n: int, min_per_bucket: int, keys) -> DataFrame:
-    t = _positions(trades, order_cols, keys).where(c("_n") >= n * min_per_bucket)
-    return t.withColumn("bucket", F.least(F.floor(c("pos") / F.floor(c("_n") / n)), F.lit(n - 1)) + 1)
+def _in_time(trades: DataFrame, keys, block: int = 4096) -> DataFrame:
+    """Place of each trade in its run; one run's trades do not overlap, so a block of bars holds at most `block`."""
+    return positions(trades, keys, F.floor(c("entry_idx") / block), ["entry_idx"])
 
 
 def signal_decay(trades: DataFrame, n: int = 4, keys=tuple(RUN_KEY)) -> DataFrame:
     keys = list(keys)
-    return _buckets(trades, ["entry_idx"], n, 3, keys).groupBy(*keys, "bucket").agg(F.count("*").alias("n_trades"), win_rate(), total_pnl())
+    return _buckets(_in_time(trades, keys), n, 3).groupBy(*keys, "bucket").agg(F.count("*").alias("n_trades"), win_rate(), total_pnl())
 
 
 def score_strength(trades: DataFrame, n: int = 4, keys=tuple(RUN_KEY)) -> DataFrame:
     keys = list(keys)
-    return _buckets(trades, ["score", "entry_idx"], n, 5, keys).groupBy(*keys, "bucket").agg(
+    return _buckets(ranged_positions(trades, keys, ["score", "entry_idx"]), n, 5).groupBy(*keys, "bucket").agg(
         F.count("*").alias("n_trades"), F.min("score").alias("score_lo"), F.max("score").alias("score_hi"), win_rate())
 
 
@@ -234,11 +234,12 @@ def binomial_tail(wins: Column, n: Column) -> Column:
 
 
 def weekly_correlation(trades: DataFrame) -> DataFrame:
-    """Pearson r of weekly results for every pair of configs.
+    """Pearson r of weekly results for the pairs of configs that share a week with trades.
 
     Weeks start at midnight of the first entry overall; a week without trades counts
-    as zero. Sums over weeks come from the sparse week totals, so no dense
-    week-by-config grid is built.
+    as zero. Pairs arise from shared weeks only, and sums over weeks come from the
+    sparse week totals, so neither a week-by-config grid nor all pairs are built. The r
+    of a pair without a shared week follows from the two configs alone: its xy sum is 0.
     """
     t = trades.withColumn("config", F.concat_ws(" ", *KEY, c("param_id").cast("string")))
     bounds = t.agg(F.date_trunc("day", F.min("entry_ts")).alias("_t0"), F.max("entry_ts").alias("_t1"))
@@ -252,9 +253,8 @@ def weekly_correlation(trades: DataFrame) -> DataFrame:
     xy = x.join(y, "_w").where(c("a") < c("b")).groupBy("a", "b").agg(F.sum(c("_x") * c("_y")).alias("_xy"))
     ma = m.select(c("config").alias("a"), c("_s").alias("_sa"), c("_ss").alias("_ssa"), c("_weeks").alias("n"))
     mb = m.select(c("config").alias("b"), c("_s").alias("_sb"), c("_ss").alias("_ssb"))
-    # The result itself has one row per pair of configs.
-    pairs = ma.join(mb, c("a") < c("b")).join(xy, ["a", "b"], "left")
-    cov = c("n") * F.coalesce("_xy", F.lit(0.0)) - c("_sa") * c("_sb")
+    pairs = xy.join(ma, "a").join(mb, "b")
+    cov = c("n") * c("_xy") - c("_sa") * c("_sb")
     var = (c("n") * c("_ssa") - c("_sa") * c("_sa")) * (c("n") * c("_ssb") - c("_sb") * c("_sb"))
     return pairs.select(c("a").alias("config_a"), c("b").alias("config_b"), c("n").alias("n_weeks"), F.when(var > 0, cov / F.sqrt(var)).alias("r"))
 
@@ -266,15 +266,14 @@ def monte_carlo(trades: DataFrame, n_sims: int = 1000, keys=tuple(RUN_KEY)) -> D
     can make any draw; a run's simulations are spread over tasks by simulation.
     """
     keys = list(keys)
-    pos = _positions(trades, ["entry_idx"], keys)
+    pos = _in_time(trades, keys)
     draws = pos.select(*keys, "pos", "_n", "start_capital").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
     pick = (c("sim").cast("long") * 7919 + c("pos").cast("long") * 104729 + c("sim").cast("long") * c("pos").cast("long") * 31) % 1000003 % c("_n")
     values = pos.select(*keys, c("pos").alias("_at"), c("pnl").alias("_v"))
     d = draws.withColumn("_at", pick.cast("int")).join(values, [*keys, "_at"])
-    w = Window.partitionBy(*keys, "sim").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_cap", c("start_capital") + F.sum("_v").over(w))
-    d = _path_drawdown(d, keys)
-    sims = d.groupBy(*keys, "sim", "start_capital").agg(F.sum("_v").alias("_sum"), F.max("_dd").alias("_maxdd"))
+    # A path is cut into blocks that hand on their sum and highest prefix.
+    d = ledger.equity(d, [*keys, "sim"], pnl="_v", order="pos")
+    sims = d.groupBy(*keys, "sim", "start_capital").agg(F.sum("_v").alias("_sum"), F.max("drawdown_pct").alias("_maxdd"))
     sims = sims.withColumn("_pct", F.round(c("_sum") / c("start_capital") * 100, 6)).withColumn("_maxdd", F.round("_maxdd", 6))
     r1 = F.row_number().over(Window.partitionBy(*keys).orderBy("_pct")) - 1
     r2 = F.row_number().over(Window.partitionBy(*keys).orderBy("_maxdd")) - 1
@@ -283,9 +282,3 @@ def monte_carlo(trades: DataFrame, n_sims: int = 1000, keys=tuple(RUN_KEY)) -> D
     return s.groupBy(*keys).agg(
         at("_r1", 0.05, "_pct").alias("p5"), at("_r1", 0.5, "_pct").alias("p50"), at("_r1", 0.95, "_pct").alias("p95"), at("_r2", 0.95, "_maxdd").alias("dd_p95"),
         F.round(F.count_if(c("_pct") < -50) / n_sims * 100, 2).alias("ruin_pct"), F.round(F.count_if(c("_pct") > 0) / n_sims * 100, 2).alias("profitable_pct"))
-
-
-def _path_drawdown(d: DataFrame, keys) -> DataFrame:
-    w = Window.partitionBy(*keys, "sim").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_peak", F.greatest(c("start_capital"), F.max("_cap").over(w)))
-    return d.withColumn("_dd", (c("_peak") - c("_cap")) / c("_peak") * 100)

@@ -90,23 +90,28 @@ def cluster_events(vectors: DataFrame, names, k: int = 4, min_t: float = 1.5, to
     return head.join(types, one).join(feats, one, "left")
 
 
-def similar_events(targets: DataFrame, history: DataFrame, names, k: int = 5, min_common: int = 5) -> DataFrame:
+def similar_events(targets: DataFrame, history: DataFrame, names, k: int = 5, min_common: int = 5, block: int = 20_000) -> DataFrame:
     """The k past events of the same series closest in direction to each target.
 
-    Columns are centred and scaled per series, then compared by cosine. Only the
-    targets are multiplied with history; the k best per target are kept by a
-    window whose limit Spark applies before the shuffle.
+    Columns are centred and scaled per series, then compared by cosine. A series' history
+    is cut into blocks of about `block` events, its targets go to every block, and each
+    block gives its k best per target; the best of these few are kept. So a series that
+    holds most events is compared by many tasks.
     """
     names = list(names)
     known = sum((c(n).isNotNull().cast("int") for n in names), F.lit(0))
     hist = robust_scaled(history.where(known >= min_common), names, KEY)
     vec = F.array(*[F.when(F.abs(c(f"_s_{n}")) < 1e300, c(f"_s_{n}")).otherwise(0.0) for n in names])
     hist = hist.withColumn("_x", vec).withColumn("_len", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v)))
-    t = targets.select(*KEY, "bar_idx").join(hist, [*KEY, "bar_idx"]).select(*KEY, c("bar_idx").alias("target_idx"), c("direction").alias("target_direction"), c("_x").alias("_tx"), c("_len").alias("_tl"))
-    j = hist.join(t, KEY).where(c("bar_idx") != c("target_idx"))
+    blocks = hist.groupBy(*KEY).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    hist = hist.join(blocks, KEY).withColumn("_blk", F.pmod(F.xxhash64("bar_idx"), c("_blocks")).cast("int"))
+    t = targets.select(*KEY, "bar_idx").join(hist, [*KEY, "bar_idx"]).select(*KEY, c("bar_idx").alias("target_idx"), c("direction").alias("target_direction"), c("_x").alias("_tx"), c("_len").alias("_tl"), F.explode(F.sequence(F.lit(0), c("_blocks") - 1)).alias("_blk"))
+    j = hist.join(t, [*KEY, "_blk"]).where(c("bar_idx") != c("target_idx"))
     dot = F.aggregate(F.zip_with("_x", "_tx", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     j = j.withColumn("similarity", F.round(F.coalesce(F.try_divide(dot, c("_len") * c("_tl")), F.lit(0.0)), 4))
-    w = Window.partitionBy(*KEY, "target_idx").orderBy(F.desc("similarity"), "bar_idx")
+    best = [F.desc("similarity"), "bar_idx"]
+    j = j.withColumn("_r", F.row_number().over(Window.partitionBy(*KEY, "target_idx", "_blk").orderBy(*best))).where(c("_r") <= k)
+    w = Window.partitionBy(*KEY, "target_idx").orderBy(*best)
     return j.withColumn("position", F.row_number().over(w)).where(c("position") <= k).select(
         *KEY, "target_idx", "target_direction", "position", "bar_idx", "move_type", "direction", "magnitude_pct", "similarity")
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from candlewright.core import EPS, KEY, TIMEFRAME_MINUTES, ratio
 from candlewright.operators import chunks
 from candlewright.operators.chunks import lag, order
+from candlewright.operators.ranks import exact_quantiles
+from candlewright.sources.tables import written
 
 # Detector settings per bar size (breakout bars, shortest reversal run).
 TIMEFRAME_SETTINGS = {
@@ -174,15 +176,15 @@ def impulse_ladder(features: DataFrame, settings: DetectorSettings, events_per_y
 def calibrate_min_move(events: DataFrame, features: DataFrame, events_per_year: float) -> DataFrame:
     """Per series: the highest move size that still leaves the target number of events."""
     years = series_years(features).select(*KEY, F.floor(F.lit(events_per_year) * F.greatest(F.col("span_days") / 365.25, F.lit(0.25))).alias("min_total"))
-    med = features.groupBy(*KEY).agg(F.percentile("atr_pct", F.lit(0.5)).alias("median_atr"))
+    med = exact_quantiles(features, KEY, {"median_atr": ("atr_pct", 0.5)})
     scaled_steps = F.transform(F.array(*[F.lit(m) for m in MOVE_MULTIPLES]), lambda m: F.round(F.col("median_atr") * m, 2))
-    steps = F.array_distinct(F.concat(F.array(*[F.lit(x) for x in MOVE_LADDER]), F.filter(scaled_steps, lambda x: (x >= 0.05) & (x <= 15.0))))
-    rungs = med.withColumn("threshold", F.explode(steps))
-    tried = (
-        rungs.join(events.select(*KEY, F.abs("magnitude_pct").alias("_m")), KEY, "left")
-        .groupBy(*KEY, "median_atr", "threshold").agg(F.count_if(F.col("_m") >= F.col("threshold")).alias("n"))
-        .join(years, KEY)
-    )
-    ok = F.col("n") >= F.col("min_total")
-    return tried.groupBy(*KEY, "median_atr", "min_total").agg(
-        F.coalesce(F.max(F.when(ok, F.col("threshold"))), F.min("threshold")).alias("min_move_pct"))
+    steps = F.array_distinct(F.concat(F.array(*[F.lit(x) for x in MOVE_LADDER]), F.coalesce(F.filter(scaled_steps, lambda x: (x >= 0.05) & (x <= 15.0)), F.array().cast("array<double>"))))
+    # One row per series: its ladder, ascending. An event counts how many rungs it reaches, and only these counts are grouped.
+    ladder = written(med.withColumn("steps", F.array_sort(steps)).join(years, KEY), "ladder")
+    reach = F.size(F.filter("steps", lambda x: x <= F.abs("magnitude_pct")))
+    counts = events.select(*KEY, "magnitude_pct").join(ladder, KEY).groupBy(*KEY, reach.alias("_k")).agg(F.count("*").alias("_n"))
+    counts = counts.groupBy(*KEY).agg(F.collect_list(F.struct("_k", "_n")).alias("_h"))
+    above = lambda i: F.aggregate(F.filter(F.coalesce("_h", F.array().cast("array<struct<_k:int,_n:bigint>>")), lambda h: h["_k"] > i), F.lit(0).cast("long"), lambda a, h: a + h["_n"])
+    good = F.filter("steps", lambda x, i: above(i) >= F.col("min_total"))
+    out = ladder.join(counts, KEY, "left")
+    return out.select(*KEY, "median_atr", "min_total", F.coalesce(F.array_max(good), F.get("steps", F.lit(0))).alias("min_move_pct"))

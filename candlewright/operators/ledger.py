@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from candlewright.core import KEY
 from candlewright.operators.outcomes import RUN_KEY
+from candlewright.operators.ranks import positions, ranged_positions
 
 c = F.col
 
@@ -64,6 +65,12 @@ def best_parameters(summary: DataFrame) -> DataFrame:
     return summary.groupBy(*KEY).agg(F.max_by(F.struct(*cols), F.struct("pnl_pct", -c("param_id"))).alias("_b")).select(*KEY, "_b.*")
 
 
+def ranking(summary: DataFrame) -> DataFrame:
+    """All runs by return: `position` from 1, from ranges of the order and their counts."""
+    order = [F.desc("pnl_pct"), *[c(x) for x in RUN_KEY]]
+    return ranged_positions(summary, [], order).withColumn("position", c("pos") + 1).drop("pos", "_n")
+
+
 def merged_capital(trades: DataFrame, configs: DataFrame, block_seconds: int = 30 * 86400) -> DataFrame:
     """Sum of all separate capitals after each close.
 
@@ -92,7 +99,7 @@ def share_capital(configs: DataFrame, total: float) -> DataFrame:
     return configs.crossJoin(F.broadcast(s)).withColumn("start_capital", F.round(share * total, 4)).drop("_w", "_n")
 
 
-def drawdown_episodes(trades: DataFrame, keys=tuple(RUN_KEY)) -> DataFrame:
+def drawdown_episodes(trades: DataFrame, keys=tuple(RUN_KEY), block: int = 4096) -> DataFrame:
     """Spells below the last peak: where they start and end, depth, length in trades.
 
     Position 0 is the start capital. A spell starts at its peak and ends at the trade
@@ -100,21 +107,33 @@ def drawdown_episodes(trades: DataFrame, keys=tuple(RUN_KEY)) -> DataFrame:
     """
     keys = list(keys)
     eq = equity(trades, keys, pnl="pnl")
-    w = Window.partitionBy(*keys).orderBy("entry_idx")
     # The ledger of one run holds non-overlapping trades only, one row per trade.
-    t = eq.withColumn("pos", F.row_number().over(w)).withColumn("_new", c("capital") >= c("peak"))
-    t = t.withColumn("_peak_pos", F.coalesce(F.max(F.when(c("_new"), c("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    t = t.withColumn("_next", F.lead("pos").over(w))
+    blk = F.floor(c("entry_idx") / block)
+    t = positions(eq, keys, blk, ["entry_idx"]).withColumn("pos", c("pos") + 1).withColumn("_b", blk).withColumn("_new", c("capital") >= c("peak"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("entry_idx").rowsBetween(Window.unboundedPreceding, 0)
+    # The latest peak of the block's own, else that of the blocks before.
+    peak = F.max(F.when(c("_new"), c("pos")))
+    tops = t.groupBy(*keys, "_b").agg(peak.alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_carried", F.max("_top").over(earlier)).drop("_top")
+    t = t.join(tops, [*keys, "_b"]).withColumn("_peak_pos", F.coalesce(F.greatest(peak.over(inside), "_carried"), F.lit(0)))
+    t = t.withColumn("_next", F.when(c("pos") < c("_n"), c("pos") + 1))
     below = t.where(~c("_new"))
     g = below.groupBy(*keys, c("_peak_pos").alias("start_pos")).agg(F.max("drawdown_pct").alias("depth_pct"), F.max(F.coalesce("_next", "pos")).alias("end_pos"))
     return g.withColumn("length", c("end_pos") - c("start_pos"))
 
 
+def _ranked_lengths(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank of the first episode of each length, and the number of episodes. Different lengths add up to the trades, so n trades have below sqrt(2 n) of them."""
+    w = Window.partitionBy(*keys).orderBy("length")
+    return sizes.withColumn("_at", F.sum("_c").over(w) - c("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+
+
 def drawdown_summary(episodes: DataFrame, keys=tuple(RUN_KEY)) -> DataFrame:
     keys = list(keys)
-    by_length = Window.partitionBy(*keys).orderBy("length", "start_pos")
-    mid = episodes.withColumn("_r", F.row_number().over(by_length)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    mid = mid.where(c("_r") == F.floor(c("_n") / 2) + 1).select(*keys, c("length").alias("median_length"))
+    # The length in the middle; the upper one of two.
+    sizes = episodes.groupBy(*keys, "length").agg(F.count("*").alias("_c"))
+    mid = _ranked_lengths(sizes, keys).where((c("_at") <= F.floor(c("_n") / 2)) & (F.floor(c("_n") / 2) < c("_at") + c("_c"))).select(*keys, c("length").alias("median_length"))
     return episodes.groupBy(*keys).agg(
         F.count("*").alias("n_episodes"), F.max("length").alias("longest"), F.round(F.max("depth_pct"), 1).alias("deepest_pct"),
         F.max_by("length", F.struct("depth_pct", -c("start_pos"))).alias("deepest_length")).join(mid, keys)

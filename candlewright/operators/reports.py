@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewright.core import KEY, clip
 from candlewright.operators.mining import TYPE_KEY
+from candlewright.operators.ranks import exact_quantiles
 
 c = F.col
 
@@ -88,23 +89,25 @@ def fingerprints(ranked: DataFrame, top: int = 8, min_t: float = 1.5) -> DataFra
 def regime_spans(features: DataFrame, block: int = 4096) -> DataFrame:
     """Maximal runs of one regime.
 
-    Runs are cut at block borders first; pieces of one run are then joined by numbering
-    changes over the pieces, far fewer than the bars.
+    Runs are numbered inside blocks. A block hands on (first regime, last regime, number
+    of runs); its first run carries on the last one before it where the regimes agree,
+    so the blocks' offsets follow from these alone.
     """
     f = features.select(*KEY, "bar_idx", "ts", F.coalesce("regime", F.lit("RANGE")).alias("regime")).withColumn("_b", F.floor(c("bar_idx") / block))
     w = Window.partitionBy(*KEY, "_b").orderBy("bar_idx")
-    f = f.withColumn("_n", F.when(c("regime") == F.lag("regime").over(w), 0).otherwise(1)).withColumn("_r", F.sum("_n").over(w))
-    pieces = f.groupBy(*KEY, "_b", "_r", "regime").agg(
-        F.min("bar_idx").alias("first_idx"), F.max("bar_idx").alias("last_idx"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_bars"))
-    s = Window.partitionBy(*KEY).orderBy("first_idx")
-    pieces = pieces.withColumn("_new", F.when(c("regime") == F.lag("regime").over(s), 0).otherwise(1)).withColumn("span", F.sum("_new").over(s))
-    return pieces.groupBy(*KEY, "span", "regime").agg(
+    f = f.withColumn("_new", F.when(c("regime") == F.lag("regime").over(w), 0).otherwise(1)).withColumn("_r", F.sum("_new").over(w))
+    pieces = f.groupBy(*KEY, "_b", "_r", "regime").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_bars"))
+    blocks = pieces.groupBy(*KEY, "_b").agg(F.min_by("regime", "_r").alias("_first"), F.max_by("regime", "_r").alias("_last"), F.max("_r").alias("_runs"))
+    by_block = Window.partitionBy(*KEY).orderBy("_b")
+    goes_on = F.when(c("_first") == F.lag("_last").over(by_block), 1).otherwise(0)
+    blocks = blocks.withColumn("_on", goes_on).withColumn("_base", F.sum(c("_runs") - c("_on")).over(by_block) - c("_runs")).select(*KEY, "_b", "_base")
+    spans = pieces.join(blocks, [*KEY, "_b"]).withColumn("span", c("_base") + c("_r"))
+    return spans.groupBy(*KEY, "span", "regime").agg(
         F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("n_bars").alias("n_bars"))
 
 
 def robust_ranges(bars: DataFrame) -> DataFrame:
-    g = bars.groupBy(*KEY).agg(
-        F.percentile("low", F.lit(0.005)).alias("_lo"), F.percentile("high", F.lit(0.995)).alias("_hi"), F.percentile("volume", F.lit(0.99)).alias("volume_p99"))
+    g = exact_quantiles(bars, KEY, {"_lo": ("low", 0.005), "_hi": ("high", 0.995), "volume_p99": ("volume", 0.99)})
     pad = (c("_hi") - c("_lo")) * 0.05
     return g.select(*KEY, (c("_lo") - pad).alias("price_lo"), (c("_hi") + pad).alias("price_hi"), "volume_p99")
 

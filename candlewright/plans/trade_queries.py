@@ -195,10 +195,8 @@ def _(spark, sf):
 
 @query("out13_oos_ranking", "SELECT symbol, n_trades, win_rate, pnl_pct, row_number() OVER (ORDER BY pnl_pct DESC, symbol) AS position FROM summ")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     s = ledger.summarize(inputs.base_trades(spark, sf))
-    return s.withColumn("position", F.row_number().over(Window.orderBy(F.desc("pnl_pct"), "symbol"))).select("symbol", "n_trades", "win_rate", "pnl_pct", "position")
+    return ledger.ranking(s).select("symbol", "n_trades", "win_rate", "pnl_pct", "position")
 
 
 # ── studies ──────────────────────────────────────────────────────────────────
@@ -301,9 +299,10 @@ CORR_ROWS = [{**BASE_PARAMS, "param_id": i, "sl_pct": s} for i, s in enumerate((
 
 
 @query("an11_weekly_correlation", """
-SELECT a.cfg AS config_a, b.cfg AS config_b, count(*) AS n_weeks, round(corr(a.p, b.p), 4) AS r FROM wd a JOIN wd b ON a.w = b.w AND a.cfg < b.cfg GROUP BY ALL""", {
+SELECT a.cfg AS config_a, b.cfg AS config_b, count(*) AS n_weeks, round(corr(a.p, b.p), 4) AS r FROM wd a JOIN wd b ON a.w = b.w AND a.cfg < b.cfg
+WHERE EXISTS (SELECT 1 FROM wk x JOIN wk y ON x.w = y.w WHERE x.cfg = a.cfg AND y.cfg = b.cfg) GROUP BY ALL""", {
     **grid_ex(CORR_ROWS), "wb": "SELECT date_trunc('day', min(entry_ts)) AS t0, max(entry_ts) AS t1 FROM tr",
-    "wk": "SELECT symbol || ' 1d ' || param_id AS cfg, floor((epoch(entry_ts) - epoch(t0)) / 604800) AS w, sum(pnl) AS p FROM tr, wb GROUP BY ALL",
+    "wk": "SELECT symbol || ' 1d ' || param_id AS cfg, floor((epoch(entry_ts) - epoch(t0)) / 604800) AS w, sum(pnl) AS p FROM tr CROSS JOIN wb GROUP BY ALL",
     "wd": "SELECT c.cfg, k.w, coalesce(wk.p, 0) AS p FROM (SELECT DISTINCT cfg FROM wk) c CROSS JOIN (SELECT unnest(range(0, CAST(ceil((epoch(t1) - epoch(t0)) / 604800) AS BIGINT))) AS w FROM wb) k LEFT JOIN wk ON wk.cfg = c.cfg AND wk.w = k.w"})
 def _(spark, sf):
     r = an.weekly_correlation(inputs.run_grid(spark, sf, "corr", CORR_ROWS))

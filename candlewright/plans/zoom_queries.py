@@ -236,7 +236,77 @@ def _(spark, sf):
     return bars.select("symbol", F.unix_seconds("ts").alias("ts_s"), *[F.round(x, 6).alias(x) for x in ("open", "high", "low", "close")], F.round("volume", 4).alias("volume"))
 
 
-QUERIES["l02_stream_dedup"], ORACLES["l02_stream_dedup"] = QUERIES["l01_stream_candles"], ORACLES["l01_stream_candles"]
+def polls(spark, parts, transform, name):
+    """The result of a stream that meets `parts` one after the other, as files that arrive between its polls, and the late rows dropped."""
+    source, sink, ckpt = (tables.scratch_path(spark, f"{name}_{x}") for x in ("in", "out", "ckpt"))
+    dropped = 0
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = transform(spark.readStream.schema(part.schema).parquet(source))
+        q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        dropped += live.dropped_rows(q)
+    return spark.read.schema(stream.schema).parquet(sink), dropped
+
+
+POLLS = 4
+
+
+def by_quarter(spark, sf):
+    """Ticks with the quarter of the whole time they fall in."""
+    e = inputs.table(spark, sf, "events").withColumn("ts", c("ts").cast("timestamp"))
+    t = e.agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    share = (F.unix_micros("ts") - F.unix_micros("_a")) * POLLS / (F.unix_micros("_b") - F.unix_micros("_a"))
+    return e.crossJoin(F.broadcast(t)).withColumn("_q", F.least(F.floor(share), F.lit(POLLS - 1))).drop("_a", "_b")
+
+
+def event_candles(ticks):
+    return live.candles(ticks, "event_type", "ts", "value", "value", "1h", tie_break="event_id", unique=("event_id",))
+
+
+def candle_rows(bars):
+    return bars.select("symbol", F.unix_seconds("ts").alias("ts_s"), *[F.round(x, 6).alias(x) for x in ("open", "high", "low", "close")], F.round("volume", 4).alias("volume"))
+
+
+@query("l02_stream_dedup", ORACLES["l01_stream_candles"])
+def _(spark, sf):
+    """Four polls; one tick in twenty comes twice in its poll, another one in twenty again in the next poll."""
+    e = by_quarter(spark, sf)
+    twice = e.where("event_id % 20 = 3")
+    parts = [
+        e.where(c("_q") == i).unionByName(twice.where(c("_q") == i)).unionByName(e.where((c("_q") == i - 1) & (c("event_id") % 20 == 4))).drop("_q") for i in range(POLLS)]
+    return candle_rows(polls(spark, parts, event_candles, "dedup")[0])
+
+
+LATE = """
+WITH e AS (SELECT *, least(floor((epoch_us(ts) - a) * 4.0 / (b - a)), 3) AS q FROM events, (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events)),
+d AS (SELECT *, CASE WHEN event_id % 50 = 7 AND q < 2 THEN q + 2 ELSE q END AS poll FROM e),
+w AS (SELECT p.p AS poll, (SELECT max(epoch_ms(ts)) - 600000 FROM d WHERE d.poll < p.p) AS mark FROM (SELECT unnest(range(0, 4)) AS p) p),
+r AS (SELECT d.*, coalesce(epoch_us(ts) <= mark * 1000, false) AS late FROM d JOIN w USING (poll))
+"""
+
+
+def late_polls(spark, sf):
+    """Four polls; one tick in fifty of the first two quarters arrives two polls later."""
+    e = by_quarter(spark, sf)
+    poll = F.when((c("event_id") % 50 == 7) & (c("_q") < 2), c("_q") + 2).otherwise(c("_q"))
+    e = e.withColumn("_p", poll)
+    return polls(spark, [e.where(c("_p") == i).drop("_q", "_p") for i in range(POLLS)], event_candles, "late")
+
+
+@query("l11_late_rows", LATE + "SELECT count(*) FILTER (WHERE late) AS n_dropped FROM r")
+def _(spark, sf):
+    return spark.range(1).select(F.lit(late_polls(spark, sf)[1]).cast("long").alias("n_dropped"))
+
+
+@query("l11b_candles_without_late_rows", LATE + """
+SELECT symbol, ts_s, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 4) AS volume FROM (
+ SELECT event_type AS symbol, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS ts_s, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, sum(value) AS volume FROM r WHERE NOT late GROUP BY ALL)
+WHERE ts_s + 3600 <= (SELECT epoch(max(ts)) - 600 FROM events)""")
+def _(spark, sf):
+    return candle_rows(late_polls(spark, sf)[0])
+
+
 QUERIES["l03_closed_candles"], ORACLES["l03_closed_candles"] = QUERIES["l01_stream_candles"], ORACLES["l01_stream_candles"]
 
 
@@ -288,13 +358,12 @@ def _(spark, sf):
     return out.select("symbol", F.floor(F.unix_seconds("ts") / 3600).alias("hour_no"), "event_id")
 
 
-@query("l12_alert_sink", "SELECT event_type AS symbol, count(*) AS n FROM events WHERE value > 50 GROUP BY ALL")
+@query("l12_alert_sink", "SELECT event_type AS symbol, event_id, round(value, 6) AS value FROM events WHERE value > 50")
 def _(spark, sf):
-    alerts = tick_stream(spark, sf).where("value > 50").select(c("event_type").alias("symbol"), "value")
+    alerts = tick_stream(spark, sf).where("value > 50").select(c("event_type").alias("symbol"), "event_id", "value")
     path = tables.scratch_path(spark, "alerts")
-    q = alerts.writeStream.format("parquet").option("path", path).option("checkpointLocation", tables.scratch_path(spark, "al-ckpt")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(alerts.schema).parquet(path).groupBy("symbol").agg(F.count("*").alias("n"))
+    live.write_alerts(alerts, path, tables.scratch_path(spark, "al-ckpt"), available_now=True).awaitTermination()
+    return spark.read.schema(alerts.schema).parquet(path).select("symbol", "event_id", F.round("value", 6).alias("value"))
 
 
 # ── sinks ────────────────────────────────────────────────────────────────────

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from candlewright.core import BAR_SCHEMA, KEY, ratio, timeframe_minutes
+from candlewright.operators.ranks import exact_quantiles
+from candlewright.sources.tables import written
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -88,13 +90,12 @@ def gap_report(bars: DataFrame) -> DataFrame:
     )
     gaps = inner.unionByName(outer)
     rated = ratio(F.col("max_gap_min"), F.col("expected_min"))
+    gaps = written(gaps, "gaps")
+    median = exact_quantiles(gaps, KEY, {"median_gap_min": ("gap_min", 0.5)})
     return (
         gaps.groupBy(*KEY)
-        .agg(
-            F.count("*").alias("n_gaps"),
-            F.percentile("gap_min", F.lit(0.5)).alias("median_gap_min"),
-            F.max("gap_min").alias("max_gap_min"),
-        )
+        .agg(F.count("*").alias("n_gaps"), F.max("gap_min").alias("max_gap_min"))
+        .join(median, KEY)
         .withColumn("expected_min", minutes.cast("double"))
         .withColumn("gap_ratio", rated)
         .withColumn("verdict", F.when(F.col("gap_ratio") > 10, "warning").when(F.col("gap_ratio") > 2, "note").otherwise("ok"))

@@ -6,6 +6,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from candlewright.core import KEY, TIMEFRAME_MINUTES
@@ -38,6 +39,35 @@ def candles(ticks: DataFrame, symbol: str, ts: str, price: str, qty: str, timefr
     )
 
 
+def dropped_rows(query) -> int:
+    """Rows that a stream's stateful steps have dropped as later than the watermark, from the progress it keeps.
+
+    The first such step of `candles` drops ticks one by one where `unique` is given, so
+    the count is one of ticks.
+    """
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
+class DroppedRows(StreamingQueryListener):
+    """Appends (query, batch_id, dropped) to a table for every micro-batch that drops late rows."""
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        n = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        if n:
+            row = [(str(p.id), int(p.batchId), int(n))]
+            self.spark.createDataFrame(row, "query string, batch_id long, dropped long").write.mode("append").parquet(self.path)
+
+
 RING_SCHEMA = "ts array<timestamp>, open array<double>, high array<double>, low array<double>, close array<double>, volume array<double>"
 
 
@@ -104,9 +134,10 @@ def start_signals(bars: DataFrame, conditions: DataFrame, names, params: DataFra
     return with_history(bars).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
-def write_alerts(alerts: DataFrame, path: str, checkpoint: str):
-    """Alert stream into a Parquet table; any notifier can follow it."""
-    return alerts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+def write_alerts(alerts: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """Alert stream into a Parquet table; any notifier can follow it. `available_now`: one poll of what is there."""
+    out = alerts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (out.trigger(availableNow=True) if available_now else out).start()
 
 
 # ── views of the latest bars ─────────────────────────────────────────────────
