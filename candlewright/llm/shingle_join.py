@@ -52,7 +52,9 @@ from candlewright.llm.components import components
 
 NO_ID = -(2**63)
 #: Weight of merging against probing in the DivideSkip rule.
-MU = 0.01
+MU = 0.001
+#: Rows of list parts that one task merges together: a few parts of `block` rows, whose pairs fit in memory.
+CELL_ROWS = 4096
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,36 +153,41 @@ def _joined(p: int, q: int, ask: pa.Table, own: pa.Table) -> pa.Table:
         short, long = own["short"], own["long"]
         lists = Lists([np.concatenate([W.unpack_sorted(short[i].as_py()), W.unpack_sorted(long[i].as_py())]) for i in order.tolist()])
         found = Union()
-        for r in ask.to_pylist():
-            others, at, of = np.unique(np.array(r["others"], np.int64), return_index=True, return_inverse=True)
-            labels = np.array(r["labels"], np.int64)[at]
+        flat, ends = {}, ask["others"].combine_chunks().offsets.to_numpy()
+        for c in ("others", "labels", "counts"):
+            column = ask[c].combine_chunks()
+            flat[c] = None if column.null_count else column.values.to_numpy()
+        plain = [ask[c].to_pylist() for c in ("a", "la", "n", "l", "packed")]
+        for i, (me, label, n, aside, packed) in enumerate(zip(*plain, strict=True)):
+            mine = slice(ends[i], ends[i + 1])
+            others, at, of = np.unique(flat["others"][mine], return_index=True, return_inverse=True)
+            labels = flat["labels"][mine][at]
             here = np.searchsorted(fps, others)
-            need = -(-p * (r["n"] + size[here]) // (p + q))
+            need = -(-p * (n + size[here]) // (p + q))
             count = np.zeros(len(others), np.int64)
-            if r["counts"] is not None:
-                np.add.at(count, of, np.array(r["counts"], np.int64))
-                keep = np.flatnonzero(count >= need - r["l"])
+            if flat["counts"] is not None:
+                np.add.at(count, of, flat["counts"][mine])
+                keep = np.flatnonzero(count >= need - aside)
                 keep = keep[np.argsort(-count[keep], kind="stable")]
                 others, labels, here, need, count = others[keep], labels[keep], here[keep], need[keep], count[keep]
-            tokens = np.concatenate([W.unpack_sorted(x) for x in r["packed"]])
+            tokens = np.concatenate([W.unpack_sorted(x) for x in packed])
             for lo in range(0, len(others), 64):
-                mine = found.top(r["la"])
-                left = np.array([i for i in range(lo, min(lo + 64, len(others))) if found.top(int(labels[i])) != mine], np.int64)
+                left = np.array([j for j in range(lo, min(lo + 64, len(others))) if found.top(int(labels[j])) != found.top(label)], np.int64)
                 if len(left):
                     total = count[left] + lists.occurrences(tokens, here[left])
-                    for i in left[total >= need[left]].tolist():
-                        if found.top(int(labels[i])) != found.top(r["la"]):
-                            found.join(int(labels[i]), r["la"])
-                            links[0].append(r["a"])
-                            links[1].append(int(others[i]))
+                    for j in left[total >= need[left]].tolist():
+                        if found.top(int(labels[j])) != found.top(label):
+                            found.join(int(labels[j]), label)
+                            links[0].append(me)
+                            links[1].append(int(others[j]))
     return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
 
 
 def _partners(p: int, q: int, group: pa.Table) -> pa.Table:
     """For every asker in the parts of lists of one cell: its partners, and in how many of these lists each stands."""
-    columns = ("slot", "two", "side", "fp", "n", "cdf", "ctok", "label")
+    columns = ("slot", "two", "side", "fp", "n", "place", "cdf", "ctok", "label")
     group = group.sort_by([("slot", "ascending")])
-    slot, two, side, fp, n, cdf, ctok, label = (group[c].to_numpy(zero_copy_only=False) for c in columns)
+    slot, two, side, fp, n, place, cdf, ctok, label = (group[c].to_numpy(zero_copy_only=False) for c in columns)
     names, at = np.unique(fp, return_inverse=True)
     width, of_name = len(names), np.zeros(len(names), np.int64)
     of_name[at] = label
@@ -203,6 +210,9 @@ def _partners(p: int, q: int, group: pa.Table) -> pa.Table:
             na, nb = n[a][:, None], n[b][None, :]
             ok = (label[a][:, None] != label[b][None, :]) & (rank[a][:, None] < rank[b][None, :])
             ok &= np.minimum(na, nb) * q >= np.maximum(na, nb) * p
+            # Shingles common to both stand before this one in both orders, or behind it in both.
+            ia, ib = place[a][:, None], place[b][None, :]
+            ok &= (np.minimum(ia, ib) + np.minimum(na - ia, nb - ib)) * (p + q) >= p * (na + nb)
             x, y = np.nonzero(ok)
             pairs.append(at[a[x]] * width + at[b[y]])
             counts.append(np.ones(len(x), np.int64))
@@ -225,7 +235,8 @@ def _links(found: DataFrame, p: int, q: int, block: int) -> DataFrame:
     blocks = X.group_count(int(found.agg(F.coalesce(F.sum(F.octet_length("short") + F.octet_length("long")), F.lit(0))).first()[0]))
     block_of = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int")
     own = found.select(F.col("fp").alias("other"), F.col("n").alias("size"), "short", "long", block_of("fp").alias("own"))
-    entries = found.select("fp", "n", "cdf", "ctok", F.explode("tokens").alias("token"))
+    entries = found.select("fp", "n", "cdf", "ctok", F.explode(F.arrays_zip("tokens", "places")).alias("e"))
+    entries = entries.select("fp", "n", "cdf", "ctok", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
     size = F.count(F.lit(1)).alias("len")
     # Written, so that the joins below have plain inputs: a very long list is a skewed side that can be split.
     real = written(entries.groupBy("token").agg(size).where("len > 1"))
@@ -274,9 +285,9 @@ def _links(found: DataFrame, p: int, q: int, block: int) -> DataFrame:
     as_rest = F.concat(F.transform(steps(F.col("pb")), lambda i: place(True, 1, i, -1 - part)), with_rest)
     as_base = F.transform(steps(F.col("pr")), lambda j: place(True, 0, part, -1 - j))
     slots = F.when(F.col("whole"), F.array(place(False, 0, F.lit(0), F.lit(0)))).when(F.col("is_base"), as_base).otherwise(as_rest)
-    df = df.withColumn("s", F.explode(slots)).select(F.xxhash64("token", "s.i", "s.j").alias("slot"), "s.two", "s.side", "fp", "n", "cdf", "ctok", "label")
+    df = df.withColumn("s", F.explode(slots)).select(F.xxhash64("token", "s.i", "s.j").alias("slot"), "s.two", "s.side", "fp", "n", "place", "cdf", "ctok", "label")
     df = written(df)
-    cells = max(1, -(-df.count() // 16_384))
+    cells = max(1, -(-df.count() // CELL_ROWS))
     merge = lambda key, group: _partners(p, q, group)
     across = df.withColumn("cell", F.pmod("slot", F.lit(cells)).cast("int")).groupBy("cell").applyInArrow(merge, "a long, la long, others array<long>, labels array<long>, counts array<long>")
     split = F.transform(F.arrays_zip("others", "labels", "counts"), lambda x: F.struct(block_of(x["others"]).alias("blk"), x["others"].alias("o"), x["labels"].alias("l"), x["counts"].alias("c")))
@@ -348,11 +359,11 @@ def linked_sets(
         df = np.bincount(number, n)[number].astype(np.int64)
         return X.to_groups(sent, values, df, of, df > 1)
 
-    node_schema = "fp long, n long, l long, cdf long, ctok long, short binary, long binary, tokens array<long>"
+    node_schema = "fp long, n long, l long, cdf long, ctok long, short binary, long binary, tokens array<long>, places array<int>"
 
     def lists(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
         """For every node with a list to be merged: its sets of short and long lists, where the short ones end, and the lists shared with others."""
-        out: dict[str, list] = {c: [] for c in ("fp", "n", "l", "cdf", "ctok", "short", "long", "tokens")}
+        out: dict[str, list] = {c: [] for c in ("fp", "n", "l", "cdf", "ctok", "short", "long", "tokens", "places")}
         if len(group) and len(back):
             asked = back.filter(pc.is_valid(back["id"]))
             hits, df = X.received(back.filter(pc.is_null(back["id"])), edges)
@@ -365,14 +376,15 @@ def linked_sets(
                 order = np.lexsort((values, rank))
                 aside = divide(n, int(rank[order[-1]]), p, q)
                 short, long = order[: n - aside], order[n - aside :]
-                shared = short[rank[short] > 1]
+                places = np.flatnonzero(rank[short] > 1)
+                shared = short[places]
                 if len(shared):
                     last = short[-1]
                     # Compared as signed numbers everywhere, so the order of shingles is that of the flipped sign.
                     mark = int((values[last] ^ np.uint64(1 << 63)).view(np.int64))
-                    for c, v in zip(out, (fp, n, aside, int(rank[last]), mark, W.pack_sorted(np.sort(values[short])), W.pack_sorted(np.sort(values[long])), values[shared].view(np.int64)), strict=True):
+                    for c, v in zip(out, (fp, n, aside, int(rank[last]), mark, W.pack_sorted(np.sort(values[short])), W.pack_sorted(np.sort(values[long])), values[shared].view(np.int64), places.astype(np.int32)), strict=True):
                         out[c].append(v)
-        kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
     sent = dealt.groupBy("__grp").cogroup(wanted.groupBy("grp")).applyInArrow(count, X.SENT)
