@@ -42,14 +42,14 @@ def leaf_digest(doc_id: Column, source: Column, lang: Column, n_chars: Column, t
     return F.sha2(F.concat(*parts), 256)
 
 
-def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """rows (a table read from files) with `place`, the row's number from 0 in its group, in order, and `size`, the group's rows."""
+def placed(rows: DataFrame, group: str, order: list[str], total: str = "size") -> DataFrame:
+    """rows (a table read from files) with `place`, the row's number from 0 in its group, in order, and `total`, the group's rows."""
     ranged = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(group, *order, "__row")
     ranged = written(ranged.withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
     # One row per partition that holds rows of the group.
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(group).orderBy("__part")) - F.col("__n"))
-    before = before.withColumn("size", F.sum("__n").over(Window.partitionBy(group))).drop("__n")
+    before = before.withColumn(total, F.sum("__n").over(Window.partitionBy(group))).drop("__n")
     own = F.row_number().over(Window.partitionBy("__part", group).orderBy(*order, "__row"))
     return ranged.withColumn("__own", own).join(before, [group, "__part"]).withColumn("place", F.col("__before") + F.col("__own") - 1).drop("__row", "__part", "__own", "__before")
 

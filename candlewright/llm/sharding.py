@@ -4,12 +4,13 @@ Rows are ordered within their source by a seeded hash, a row's fractional rank i
 (rank - 1/2) / rows of the source, and the table in order of fractional rank is cut into shards
 whose sizes differ by one row at most (the law is `rows`).
 
-No window holds a source or the table. Ranks are counted in two steps: the range of the hash (then
-of the fractional rank) is cut into equal parts, a small table of counts per part gives each part
-its offset, and row_number runs inside a part of about rows_per_part rows. A hot source only has
-more parts with rows in them. Only ids, sizes, checksums and sources are shuffled, never texts.
-The order within a part is streamed, never gathered; rows equal in id, size and checksum are
-interchangeable there.
+No window holds a source or the table. Ranks are counted in two steps: the range of the hash is cut
+into equal parts, a small table of counts per part gives each part its offset, and row_number runs
+inside a part of about rows_per_part rows. A hot source only has more parts with rows in them. The
+second ranking, by fractional rank, deals the rows by ranges of (fraction, seeded hash of source and
+rank): sources of equal size have equal fractions, and the hash spreads these. Only ids, sizes,
+checksums and sources are shuffled, never texts. The order within a part is streamed, never gathered;
+rows equal in id, size and checksum are interchangeable there.
 
 Cases: a null source is a source of its own. A null text has size 1 and the checksum 0 of no bytes.
 Repeated rows each get a place of their own. An empty table gives an empty result; with fewer rows
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.llm.merkle import placed
+
 
 def _placed(df: DataFrame, group: list[str], part: str, order: list[str], out: str) -> DataFrame:
     """df with out: the row's place from 1 within its group, where part is an ascending function of the order."""
@@ -33,7 +36,7 @@ def _placed(df: DataFrame, group: list[str], part: str, order: list[str], out: s
 
 
 def interleave(
-    docs: DataFrame, shards: int = 8, seed: int = 42, rows_per_part: int = 20_000, id_col: str = "doc_id", source: str = "source", text: str = "text",
+    docs: DataFrame, shards: int = 8, seed: int = 42, rows_per_part: int = 4_000, id_col: str = "doc_id", source: str = "source", text: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, source, size, text_crc32, fraction, shard and slot (from 0, gapless in each shard)."""
     total = docs.count()
@@ -51,8 +54,8 @@ def interleave(
     rows = _placed(rows, ["source"], "__part", ["__u", "__h", "doc_id", "size", "text_crc32"], "__rank")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("__rows"))
     rows = rows.join(sizes, "source").withColumn("fraction", (F.col("__rank") - 0.5) / F.col("__rows"))
-    rows = rows.withColumn("__all", F.lit(0)).withColumn("__part", F.floor(F.col("fraction") * parts))
-    rows = _placed(rows, ["__all"], "__part", ["fraction", "source", "__rank"], "__place")
+    rows = rows.withColumn("__all", F.lit("")).withColumn("__tie", F.xxhash64("source", "__rank", F.lit(seed)))
+    rows = placed(rows, "__all", ["fraction", "__tie", "source", "__rank"], "__total").withColumn("__place", F.col("place") + 1)
     # Shard s holds the places from floor(s * total / shards) on, up to the next shard's first.
     n = F.lit(max(total, 1)).cast("long")
     shard = F.expr(f"(({shards}L * __place) - 1L) div {max(total, 1)}L").cast("int")
