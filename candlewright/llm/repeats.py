@@ -15,8 +15,10 @@ entry per group of documents (see exchange.py). Anchor hashes may meet by chance
 step undoes; windows are compared by 62 bits of their hash. The texts are shuffled once; the three
 steps that read them reuse that exchange, and no executor needs another's local files.
 
-Cases: null and empty texts have no words and stay as they are (kept text empty). Texts are read
-whole, whatever their length. Repeated rows repeat each other's windows and lose them all. Rows are
+What is left of a text is the text without the removed words and the white space after each; a text
+that loses no word stays as it is, to the byte. The digest is of the kept words joined by one space.
+
+Cases: null and empty texts have no words and stay as they are. Texts are read whole, whatever their length. Repeated rows repeat each other's windows and lose them all. Rows are
 dealt by id, text and their number in the input, so no null or repeated id fills a group. An empty table gives an empty result. Further columns pass
 through; one called like an output column is replaced.
 """
@@ -38,12 +40,12 @@ WINDOW_BITS = 62
 
 
 def _hashed(column):
-    """Bytes and, slice by slice, spans and word hashes of a group's texts."""
+    """Slice by slice: bytes of a group's texts, first byte of each, and spans and hashes of their words."""
     buf, offsets = W.text_buffer(column)
     for lo, hi in W.slices(offsets):
         own, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = W.word_spans(own, off)
-        yield own, starts, ends, first, W.span_hashes(own, starts, ends)
+        yield own, off, starts, ends, first, W.span_hashes(own, starts, ends)
 
 
 def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
@@ -62,8 +64,21 @@ def _kept_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np
     return [raw[a : b - 1] if b > a else b"" for a, b in zip(at[count[:-1]], at[count[1:]], strict=True)]
 
 
+def _cut(buf: np.ndarray, off: np.ndarray, starts: np.ndarray, first: np.ndarray, keep: np.ndarray) -> list[bytes]:
+    """The texts without the bytes of removed words and of the white space after them."""
+    after = np.append(starts[1:], len(buf))
+    last = first[1:][np.diff(first) > 0] - 1
+    after[last] = off[1:][np.diff(first) > 0]
+    gone = np.zeros(len(buf) + 1, np.int64)
+    np.add.at(gone, starts[~keep], 1)
+    np.add.at(gone, after[~keep], -1)
+    left = np.cumsum(gone)[:-1] == 0
+    raw, at = buf[left].tobytes(), np.concatenate([[0], np.cumsum(left)])[off]
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
-    """docs (without the text, or with the kept words in its place) and n_words, n_removed, kept_sha256."""
+    """docs (without the text, or with what is left of it) and n_words, n_removed, kept_sha256."""
     block = (window + 1) // 2
     _, size = text_size(docs, text)
     groups, buckets = X.group_count(size), X.bucket_count(size)
@@ -78,7 +93,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", id_col
     def runs(key: tuple, group: pa.Table) -> pa.Table:
         """Different rolling runs of a group: 1 stands for a block of the index, 2 for a run that occurs twice here."""
         found, blocks = [], []
-        for _, _, _, first, h in _hashed(group[text]):
+        for _, _, _, _, first, h in _hashed(group[text]):
             w, at = W.windows(h, first, block)
             w >>= np.uint64(64 - bits)
             start = np.repeat(first[:-1], np.diff(first))[at]
@@ -100,7 +115,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", id_col
         hits, _ = X.received(sent, near)
         found = []
         if len(hits):
-            for _, _, _, first, h in _hashed(group[text]):
+            for _, _, _, _, first, h in _hashed(group[text]):
                 w, at = W.windows(h, first, block)
                 on = np.zeros(len(h) + 1, np.int64)
                 on[at + 1] = X.found_in(hits, w >> np.uint64(64 - bits))
@@ -117,18 +132,20 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", id_col
 
     def removed(key: tuple, group: pa.Table, sent: pa.Table) -> pa.Table:
         hits, _ = X.received(sent, exact)
-        texts, total, gone = [], [], []
-        for buf, starts, ends, first, h in _hashed(group[text]):
+        texts, left, total, gone = [], [], [], []
+        for buf, off, starts, ends, first, h in _hashed(group[text]):
             w, at = W.windows(h, first, window)
             at = at[X.found_in(hits, w >> np.uint64(64 - WINDOW_BITS))]
             cover = np.bincount(at, minlength=len(h) + 1) - np.bincount(at + window, minlength=len(h) + 1)
             keep = np.cumsum(cover)[: len(h)] == 0
             texts += _kept_words(buf, starts, ends, first, keep)
+            left += _cut(buf, off, starts, first, keep) if keep_text else []
             total.append(np.diff(first))
             gone.append(np.diff(np.concatenate([[0], np.cumsum(~keep)])[first]))
         out = group.select(others) if len(group) else group.slice(0, 0).select(others)
         if keep_text:
-            out = out.set_column(out.column_names.index(text), text, pa.array(texts, pa.binary()).cast(pa.string()))
+            was_null = np.asarray(group[text].is_null()) if len(group) else np.zeros(0, bool)
+            out = out.set_column(out.column_names.index(text), text, pa.array(left, pa.binary(), mask=was_null).cast(pa.string()))
         out = out.append_column("n_words", pa.array(_joined(total, np.int64), pa.int64())).append_column("n_removed", pa.array(_joined(gone, np.int64), pa.int64()))
         return out.append_column("kept_sha256", pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
 
