@@ -75,6 +75,6 @@ def exact_quantiles(df: DataFrame, keys, quantiles: dict[str, tuple[Column | str
         target = target.where("lo = hi").unionByName(found.select(*group, (c("rank") - c("under")).alias("rank"), "part", c("b_lo").alias("lo"), c("b_hi").alias("hi")))
     value = lambda n, s: F.max(F.when((c("q") == n) & (c("side") == s), c("lo")))
     part = lambda n: F.max(F.when(c("q") == n, c("part")))
-    found = target.groupBy(*keys).agg(*[(value(n, 0) + (value(n, 1) - value(n, 0)) * part(n)).alias(n) for n in quantiles])
+    found = target.groupBy(*keys).agg(*[F.when(part(n) == 0, value(n, 0)).otherwise(value(n, 0) + (value(n, 1) - value(n, 0)) * part(n)).alias(n) for n in quantiles])
     groups = df.select(*keys).distinct()
     return groups.join(found, keys, "left") if keys else found
