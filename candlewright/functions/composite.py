@@ -55,4 +55,5 @@ def define(cat: Catalogue, s: float) -> None:
                    + clip(1 - F.abs(c("hurst_60") - 0.5) * 4, 0, 1), 0, 10))
 
 
-NAMES = ["dna_code", "regime", "trend_score", "momentum_score", "move_readiness"]
+# The names of the columns.
+NAMES = ("dna_code", "regime", "trend_score", "momentum_score", "move_readiness")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from candlewright.functions.registry import BASE, USER_FEATURES, Catalogue, Feat
 from candlewright.operators import chunks
 from candlewright.operators.chunks import CHUNK_KEY
 
-ALL_FEATURES = technical.NAMES + physics.NAMES + structure.NAMES + volume.NAMES + composite.NAMES
+ALL_FEATURES = [*technical.NAMES, *physics.NAMES, *structure.NAMES, *volume.NAMES, *composite.NAMES]
 TEXT_FEATURES = ("dna_code", "regime")
 # Running totals depend on where the table starts, so they are never candidates.
 BARRED_FEATURES = ("cvd", "obv")
@@ -169,7 +170,7 @@ def catalogue_closure(jobs: list[Feature], names) -> list[Feature]:
 def compute_features(
     bars: DataFrame,
     names=None,
-    timeframe: str = "1h",
+    timeframe: str | Sequence[str] = "1h",
     scale_multiplier: float = 1.0,
     min_bars: int = 0,
     chunk: int | None = None,
@@ -178,8 +179,12 @@ def compute_features(
     """Bars plus bar_idx plus the named columns (all of them by default).
 
     `bars` holds any number of series of one `timeframe`; periods are scaled from their
-    one-hour values. Only what the names need is computed.
+    one-hour values. Only what the names need is computed. Given several timeframes, the
+    bars of each are scaled by their own and those of no other are returned.
     """
+    if not isinstance(timeframe, str):
+        parts = [compute_features(bars.where(F.col("timeframe") == t), names, t, scale_multiplier, min_bars, chunk, halo) for t in dict.fromkeys(timeframe)]
+        return reduce(DataFrame.unionByName, parts)
     scale = period_scale(timeframe, scale_multiplier)
     names = list(names or ALL_FEATURES)
     cat = catalogue(scale)

@@ -24,19 +24,34 @@ def _spread(values: np.ndarray, size: int, n: int) -> np.ndarray:
     return out
 
 
+#: Numbers copied at once for windows that are worked through together.
+BLOCK_VALUES = 1 << 18
+
+
+def _in_blocks(block, *windows: np.ndarray) -> np.ndarray:
+    """block over all windows (views of one length), a bounded number of rows at a time."""
+    rows, n = windows[0].shape
+    step = max(1, BLOCK_VALUES // max(n, 1))
+    parts = [block(*(w[lo : lo + step] for w in windows)) for lo in range(0, rows, step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def _per_window(x: np.ndarray, n: int, block, min_valid: int) -> np.ndarray:
-    """Applies `block` to complete windows at once and to gappy ones one by one."""
-    w = _before(x, n)
-    out = np.full(len(w), np.nan)
-    gaps = np.isnan(w).any(axis=1)
-    full = ~gaps
-    if full.any():
-        out[full] = block(w[full])
-    for j in np.flatnonzero(gaps):
-        v = w[j][~np.isnan(w[j])]
-        if len(v) >= min_valid:
-            out[j] = block(v[None, :])[0]
-    return _spread(out, len(x), n)
+    """Applies `block` to complete windows together and to gappy ones one by one."""
+
+    def some(w):
+        out = np.full(len(w), np.nan)
+        gaps = np.isnan(w).any(axis=1)
+        full = ~gaps
+        if full.any():
+            out[full] = block(w[full])
+        for j in np.flatnonzero(gaps):
+            v = w[j][~np.isnan(w[j])]
+            if len(v) >= min_valid:
+                out[j] = block(v[None, :])[0]
+        return out
+
+    return _spread(_in_blocks(some, _before(x, n)), len(x), n)
 
 
 def _slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -79,26 +94,29 @@ def rescaled_range(data, column, n):
 
 def higuchi(data, column, n, kmax):
     """Fractal dimension from mean curve lengths at strides 1..kmax."""
-    w = _before(data[column], n)
-    lengths = []
-    for k in range(1, kmax + 1):
-        per_start = []
-        for start in range(k):
-            pts = w[:, start::k]
-            steps = pts.shape[1] - 1
-            if steps >= 1:
-                per_start.append(np.abs(np.diff(pts, axis=1)).sum(axis=1) * (n - 1) / (steps * k))
-        lengths.append(np.mean(per_start, axis=0) if per_start else np.full(len(w), np.nan))
-    ln = np.array(lengths).T.reshape(len(w), kmax)
-    out = np.full(len(w), np.nan)
-    usable = ~np.isnan(ln) & (ln > 0)
     logk = np.log(np.arange(1, kmax + 1))
-    for pattern in np.unique(usable, axis=0):
-        rows = (usable == pattern).all(axis=1)
-        if pattern.sum() >= 2:
-            out[rows] = -_slope(logk[pattern], np.log(ln[rows][:, pattern]))
-    out[np.isnan(w).any(axis=1)] = np.nan
-    return _spread(out, len(data[column]), n)
+
+    def block(w):
+        lengths = []
+        for k in range(1, kmax + 1):
+            per_start = []
+            for start in range(k):
+                pts = w[:, start::k]
+                steps = pts.shape[1] - 1
+                if steps >= 1:
+                    per_start.append(np.abs(np.diff(pts, axis=1)).sum(axis=1) * (n - 1) / (steps * k))
+            lengths.append(np.mean(per_start, axis=0) if per_start else np.full(len(w), np.nan))
+        ln = np.array(lengths).T.reshape(len(w), kmax)
+        out = np.full(len(w), np.nan)
+        usable = ~np.isnan(ln) & (ln > 0)
+        for pattern in np.unique(usable, axis=0):
+            rows = (usable == pattern).all(axis=1)
+            if pattern.sum() >= 2:
+                out[rows] = -_slope(logk[pattern], np.log(ln[rows][:, pattern]))
+        out[np.isnan(w).any(axis=1)] = np.nan
+        return out
+
+    return _spread(_in_blocks(block, _before(data[column], n)), len(data[column]), n)
 
 
 def detrended_fluctuation(data, column, n):
@@ -138,52 +156,64 @@ def variance_ratio(data, column, n, q):
 
 def dominant_period(data, column, n):
     """Period of the strongest non-zero frequency."""
-    w = _before(data[column], n)
-    mag = np.abs(np.fft.rfft(w - w.mean(axis=1, keepdims=True), axis=1))[:, 1:]
-    if mag.shape[1] == 0:
+    periods = 1.0 / np.fft.rfftfreq(n)[1:]
+    if len(periods) == 0:
         return np.full(len(data[column]), np.nan)
-    out = 1.0 / np.fft.rfftfreq(n)[1:][np.argmax(mag, axis=1)] if len(w) else np.empty(0)
-    return _spread(out, len(data[column]), n)
+
+    def block(w):
+        mag = np.abs(np.fft.rfft(w - w.mean(axis=1, keepdims=True), axis=1))[:, 1:]
+        return periods[np.argmax(mag, axis=1)]
+
+    return _spread(_in_blocks(block, _before(data[column], n)), len(data[column]), n)
 
 
 def hilbert_phase(data, column, n):
     """Angle of the analytic signal at the window's last bar, by FFT."""
-    w = _before(data[column], n)
-    d = w - w.mean(axis=1, keepdims=True)
     gain = np.zeros(n)
     gain[0] = 1.0
     gain[1 : (n + 1) // 2] = 2.0
     if n % 2 == 0:
         gain[n // 2] = 1.0
-    last = np.fft.ifft(np.fft.fft(d, axis=1) * gain, axis=1)[:, -1]
-    return _spread(np.where(d.std(axis=1) < 1e-10, np.nan, np.angle(last)), len(data[column]), n)
+
+    def block(w):
+        d = w - w.mean(axis=1, keepdims=True)
+        last = np.fft.ifft(np.fft.fft(d, axis=1) * gain, axis=1)[:, -1]
+        return np.where(d.std(axis=1) < 1e-10, np.nan, np.angle(last))
+
+    return _spread(_in_blocks(block, _before(data[column], n)), len(data[column]), n)
 
 
 def lyapunov(data, column, n):
     """Mean log step of the standardised window, zero steps left out."""
-    w = _before(data[column], n)
-    sd = w.std(axis=1)
-    live = sd >= 1e-10
-    step = np.abs(np.diff((w - w.mean(axis=1, keepdims=True)) / np.where(live, sd, 1.0)[:, None], axis=1))
-    moved = step > 0
-    total = np.where(moved, np.log(step + 1e-10), 0.0).sum(axis=1)
-    count = moved.sum(axis=1)
-    ok = live & (count > 0) & ~np.isnan(w).any(axis=1)
-    return _spread(np.where(ok, total / np.maximum(count, 1), np.nan), len(data[column]), n)
+
+    def block(w):
+        sd = w.std(axis=1)
+        live = sd >= 1e-10
+        step = np.abs(np.diff((w - w.mean(axis=1, keepdims=True)) / np.where(live, sd, 1.0)[:, None], axis=1))
+        moved = step > 0
+        total = np.where(moved, np.log(step + 1e-10), 0.0).sum(axis=1)
+        count = moved.sum(axis=1)
+        ok = live & (count > 0) & ~np.isnan(w).any(axis=1)
+        return np.where(ok, total / np.maximum(count, 1), np.nan)
+
+    return _spread(_in_blocks(block, _before(data[column], n)), len(data[column]), n)
 
 
 def point_of_control(data, n, bins):
     """Middle of the price bin that traded most volume; the lowest bin wins ties."""
-    cl, vol = _before(data["close"], n), _before(data["volume"], n)
-    lo, hi = _before(data["low"], n).min(axis=1, initial=np.inf), _before(data["high"], n).max(axis=1, initial=-np.inf)
-    span = hi - lo
-    ok = span > 0
-    safe = np.where(ok, span, 1.0)
-    b = np.clip(((cl - lo[:, None]) / safe[:, None] * bins).astype(np.int64), 0, bins - 1)
-    level = np.zeros((len(cl), bins))
-    np.add.at(level, (np.arange(len(cl))[:, None], b), vol)
-    top = np.argmax(level, axis=1)
-    return _spread(np.where(ok, lo + span / bins * (top + 0.5), np.nan), len(data["close"]), n)
+
+    def block(cl, vol, low, high):
+        lo, hi = low.min(axis=1, initial=np.inf), high.max(axis=1, initial=-np.inf)
+        span = hi - lo
+        ok = span > 0
+        safe = np.where(ok, span, 1.0)
+        b = np.clip(((cl - lo[:, None]) / safe[:, None] * bins).astype(np.int64), 0, bins - 1)
+        level = np.zeros((len(cl), bins))
+        np.add.at(level, (np.arange(len(cl))[:, None], b), vol)
+        top = np.argmax(level, axis=1)
+        return np.where(ok, lo + span / bins * (top + 0.5), np.nan)
+
+    return _spread(_in_blocks(block, *(_before(data[k], n) for k in ("close", "volume", "low", "high"))), len(data["close"]), n)
 
 
 def kalman_velocity(data, column, q, r):

@@ -78,8 +78,10 @@ def define(cat: Catalogue, s: float) -> None:
     col("entropy_slope", ["entropy_20"], lambda: diff("entropy_20", p(3, 1)), p(3, 1))
 
 
+# The names of the columns.
 NAMES = (
-    "velocity acceleration jerk energy entropy_10 entropy_20 entropy_40 hurst_30 hurst_60 hurst_100 higuchi_fd dfa_alpha "
-    "kalman_vel autocorr_1 autocorr_5 autocorr_10 variance_ratio wpi memory_pressure cct fft_dominant_period hilbert_phase "
-    "hilbert_phase_cos hilbert_phase_sin ear_entropy phase_regime lyapunov energy_z entropy_squeeze entropy_slope"
-).split()
+    "velocity", "acceleration", "jerk", "energy", "entropy_10", "entropy_20", "entropy_40", "hurst_30", "hurst_60",
+    "hurst_100", "higuchi_fd", "dfa_alpha", "kalman_vel", "autocorr_1", "autocorr_5", "autocorr_10", "variance_ratio",
+    "wpi", "memory_pressure", "cct", "fft_dominant_period", "hilbert_phase", "hilbert_phase_cos", "hilbert_phase_sin",
+    "ear_entropy", "phase_regime", "lyapunov", "energy_z", "entropy_squeeze", "entropy_slope",
+)

@@ -81,9 +81,11 @@ def define(cat: Catalogue, s: float) -> None:
         / (rolling(F.max, "high", n50) - rolling(F.min, "low", n50) + EPS), n50)
 
 
+# The names of the columns.
 NAMES = (
-    "swing_high swing_low struct_hh struct_hl struct_ll struct_lh struct_score dist_to_nearest_resistance "
-    "dist_to_nearest_support fvg_bull fvg_bear in_fvg bull_ob bear_ob breakout_up_10 breakout_down_10 breakout_up_20 "
-    "breakout_down_20 gap_up gap_down gap_pct vwap_20 price_vs_vwap range_compression_10 range_compression_20 inside_bar "
-    "outside_bar pin_bar_bull pin_bar_bear bull_engulf bear_engulf range_position_50"
-).split()
+    "swing_high", "swing_low", "struct_hh", "struct_hl", "struct_ll", "struct_lh", "struct_score",
+    "dist_to_nearest_resistance", "dist_to_nearest_support", "fvg_bull", "fvg_bear", "in_fvg", "bull_ob", "bear_ob",
+    "breakout_up_10", "breakout_down_10", "breakout_up_20", "breakout_down_20", "gap_up", "gap_down", "gap_pct",
+    "vwap_20", "price_vs_vwap", "range_compression_10", "range_compression_20", "inside_bar", "outside_bar",
+    "pin_bar_bull", "pin_bar_bear", "bull_engulf", "bear_engulf", "range_position_50",
+)

@@ -178,13 +178,16 @@ def define(cat: Catalogue, s: float) -> None:
     col("ichi_tk_cross", ["_tk_sign"], lambda: c("_tk_sign") - lag("_tk_sign"))
 
 
+# The names of the columns.
 NAMES = (
-    "sma_10 ema_10 sma_20 ema_20 sma_50 ema_50 sma_100 ema_100 sma_200 ema_200 wma_14 hma_14 ema_9 dist_ema_9 ema_21 "
-    "dist_ema_21 dist_ema_50 dist_ema_200 ema_alignment rsi_7 rsi_14 rsi_21 rsi_divergence macd macd_signal macd_hist "
-    "macd_hist_slope bb_upper bb_lower bb_width bb_position bb_squeeze atr_14 kc_upper kc_lower kc_squeeze atr_7 atr_21 "
-    "atr_pct atr_z adx di_plus di_minus di_delta supertrend supertrend_dir cci_20 willr_14 roc_5 roc_10 roc_20 "
-    "momentum_10 donchian_high_20 donchian_low_20 donchian_mid_20 donchian_width donchian_pos at_donchian_high "
-    "at_donchian_low stoch_k stoch_d stoch_cross mfi_14 log_return_1 log_return_3 log_return_5 log_return_10 "
-    "realized_vol_20 body body_ratio upper_wick lower_wick candle_dir consec_bull consec_bear ichi_tenkan ichi_kijun "
-    "ichi_above_cloud ichi_tk_cross"
-).split()
+    "sma_10", "ema_10", "sma_20", "ema_20", "sma_50", "ema_50", "sma_100", "ema_100", "sma_200", "ema_200", "wma_14",
+    "hma_14", "ema_9", "dist_ema_9", "ema_21", "dist_ema_21", "dist_ema_50", "dist_ema_200", "ema_alignment", "rsi_7",
+    "rsi_14", "rsi_21", "rsi_divergence", "macd", "macd_signal", "macd_hist", "macd_hist_slope", "bb_upper",
+    "bb_lower", "bb_width", "bb_position", "bb_squeeze", "atr_14", "kc_upper", "kc_lower", "kc_squeeze", "atr_7",
+    "atr_21", "atr_pct", "atr_z", "adx", "di_plus", "di_minus", "di_delta", "supertrend", "supertrend_dir", "cci_20",
+    "willr_14", "roc_5", "roc_10", "roc_20", "momentum_10", "donchian_high_20", "donchian_low_20", "donchian_mid_20",
+    "donchian_width", "donchian_pos", "at_donchian_high", "at_donchian_low", "stoch_k", "stoch_d", "stoch_cross",
+    "mfi_14", "log_return_1", "log_return_3", "log_return_5", "log_return_10", "realized_vol_20", "body",
+    "body_ratio", "upper_wick", "lower_wick", "candle_dir", "consec_bull", "consec_bear", "ichi_tenkan", "ichi_kijun",
+    "ichi_above_cloud", "ichi_tk_cross",
+)

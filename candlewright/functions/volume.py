@@ -51,8 +51,10 @@ def define(cat: Catalogue, s: float) -> None:
     col("vol_slope_10", ["volume"], lambda: diff("volume", p(10)), p(10))
 
 
+# The names of the columns.
 NAMES = (
-    "obv obv_slope obv_z volume_ratio volume_z volume_surge volume_dry_up vol_declining_3 cvd cvd_slope cvd_divergence "
-    "vol_confirm volume_entropy vol_poc_20 price_vs_poc_20 vol_poc_50 price_vs_poc_50 mfi_divergence buy_pressure "
-    "sell_pressure pressure_ratio cum_pressure_slope institutional_candle vol_slope_5 vol_slope_10"
-).split()
+    "obv", "obv_slope", "obv_z", "volume_ratio", "volume_z", "volume_surge", "volume_dry_up", "vol_declining_3",
+    "cvd", "cvd_slope", "cvd_divergence", "vol_confirm", "volume_entropy", "vol_poc_20", "price_vs_poc_20",
+    "vol_poc_50", "price_vs_poc_50", "mfi_divergence", "buy_pressure", "sell_pressure", "pressure_ratio",
+    "cum_pressure_slope", "institutional_candle", "vol_slope_5", "vol_slope_10",
+)

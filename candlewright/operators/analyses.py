@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -221,11 +220,12 @@ def significance(trades: DataFrame, min_trades: int = 10, alpha: float = 0.05, k
 
 @F.pandas_udf(T.DoubleType())
 def _binomial_tail(wins: pd.Series, n: pd.Series) -> pd.Series:
-    """P(X >= wins) for X ~ Binomial(n, 1/2), summed in logs from the tail inwards."""
+    """P(X >= wins) for X ~ Binomial(n, 1/2), from logs of the coefficients, smallest terms first."""
     out = []
-    for k, m in zip(wins, n):
-        i = range(int(m), int(k) - 1, -1)
-        out.append(min(1.0, sum(math.exp(math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1) - m * math.log(2.0)) for j in i)))
+    for k, m in zip(wins.astype(int), n.astype(int), strict=True):
+        i = np.arange(1, m + 1)
+        logs = np.concatenate([[0.0], np.cumsum(np.log(m - i + 1.0) - np.log(i))]) - m * np.log(2.0)
+        out.append(min(1.0, float(np.exp(logs[: max(k, 0) - 1 if k > 0 else None : -1]).sum())))
     return pd.Series(out)
 
 

@@ -313,14 +313,16 @@ def _(spark, sf):
 
 
 @query("ps12_regime_profile", """
-SELECT symbol, move_type, first(regime ORDER BY k DESC, regime DESC) AS dominant_regime, round(max(k) * 100.0 / sum(k), 1) AS dominant_pct, round(sum(rs) / sum(k), 3) AS avg_rsi_14 FROM (
- SELECT symbol, move_type, regime, count(*) AS k, sum(s.rsi_14) AS rs FROM ev JOIN rgm USING (symbol, i) JOIN (SELECT symbol, i, rsi_14 FROM sf) s USING (symbol, i) GROUP BY ALL) GROUP BY ALL""", REG_EX)
-def _(spark, sf):
-    f = inputs.study(spark, sf).select(*KEY, "bar_idx", "rsi_14").join(regime_frame(spark, sf).select(*KEY, "bar_idx", "regime"), [*KEY, "bar_idx"])
-    null = F.lit(None).cast("double")
-    ev = inputs.movements(spark, sf).join(f, [*KEY, "bar_idx"]).withColumn("context", F.struct("regime", "rsi_14", null.alias("adx"), null.alias("entropy_20"), null.alias("hurst_60")))
-    r = reports.regime_profile(ev)
-    return r.select(*TK, "dominant_regime", c("regime_distribution")[c("dominant_regime")].alias("dominant_pct"), "avg_rsi_14")
+SELECT symbol, move_type, first(regime ORDER BY k DESC, regime DESC) AS dominant_regime, round(max(k) * 100.0 / sum(k), 1) AS dominant_pct, round(sum(rs) / sum(k), 3) AS avg_rsi_14,
+ round(sum(ad) / sum(n_ad), 3) AS avg_adx, round(sum(en) / sum(n_en), 3) AS avg_entropy_20, round(sum(hu) / sum(n_hu), 3) AS avg_hurst_60 FROM (
+ SELECT symbol, move_type, regime, count(*) AS k, sum(s.rsi_14) AS rs, sum(e.adx) AS ad, count(e.adx) AS n_ad, sum(t.h20) AS en, count(t.h20) AS n_en, sum(u.h) AS hu, count(u.h) AS n_hu
+ FROM ev JOIN rgm USING (symbol, i) JOIN (SELECT symbol, i, rsi_14 FROM sf) s USING (symbol, i) JOIN (SELECT symbol, i, adx FROM ema) e USING (symbol, i)
+ LEFT JOIN (SELECT symbol, i, h20 FROM ent4) t USING (symbol, i) LEFT JOIN (SELECT symbol, i, h FROM hu3 WHERE n = 60) u USING (symbol, i) GROUP BY ALL) GROUP BY ALL""", REG_EX)
+def _(spark, sf):
+    state = ["regime", "rsi_14", "adx", "entropy_20", "hurst_60"]
+    f = inputs.once(spark, sf, "event_state", lambda: inputs.features(spark, sf, state).select(*KEY, "bar_idx", *state))
+    r = reports.regime_profile(inputs.movements(spark, sf).join(f, [*KEY, "bar_idx"]).withColumn("context", F.struct(*state)))
+    return r.select(*TK, "dominant_regime", c("regime_distribution")[c("dominant_regime")].alias("dominant_pct"), *[f"avg_{x}" for x in state[1:]])
 
 
 @query("ps13_series_status", "SELECT symbol, timeframe, move_type, direction, count(*) AS n_events, epoch(min(ts))::BIGINT AS first_s, epoch(max(ts))::BIGINT AS last_s FROM ev GROUP BY ALL")

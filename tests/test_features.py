@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 
+from candlewright.functions import kernels
 from candlewright.functions.features import ALL_FEATURES, LOOK_AHEAD_FEATURES, compute_features
 from candlewright.functions.registry import register_feature
 from helpers import order_blocks, to_spark, walk
@@ -99,3 +100,27 @@ def test_user_column(spark):
     register_feature("close_over_sma", ["sma_10"], lambda: F.col("close") / F.col("sma_10"))
     got = frame(compute_features(to_spark(spark, walk(300, symbols=("A",))), ["close_over_sma"]))
     assert got["close_over_sma"].notna().sum() == 291
+
+
+def test_several_timeframes_in_one_call(spark):
+    hour, quarter = walk(300, symbols=("A",)), walk(400, symbols=("A", "B"), timeframe="15m", freq="15min")
+    names = ["sma_20", "ema_9", "rsi_14"]
+    both = compute_features(to_spark(spark, pd.concat([hour, quarter])), names, ["1h", "15m"])
+    for pdf, t in ((hour, "1h"), (quarter, "15m")):
+        want = frame(compute_features(to_spark(spark, pdf), names, t))
+        got = frame(both.where(f"timeframe = '{t}'"))
+        assert len(got) == len(want) and all(same(got[n], want[n]) for n in names)
+
+
+def test_kernels_do_not_depend_on_blocks_of_windows(monkeypatch):
+    rng = np.random.default_rng(2)
+    close = 100 + rng.normal(0, 1, 900).cumsum()
+    data = {"close": close, "high": close + rng.random(900), "low": close - rng.random(900), "volume": rng.random(900), "_logret": np.diff(np.log(close), prepend=np.nan)}
+    jobs = [
+        (kernels.histogram_entropy, "_logret", 20, 10, False), (kernels.rescaled_range, "_logret", 30), (kernels.higuchi, "close", 30, 6), (kernels.detrended_fluctuation, "_logret", 60),
+        (kernels.variance_ratio, "_logret", 40, 4), (kernels.dominant_period, "close", 64), (kernels.hilbert_phase, "close", 32), (kernels.lyapunov, "close", 30), (kernels.point_of_control, 20, 20),
+    ]
+    whole = [fn(data, *args) for fn, *args in jobs]
+    monkeypatch.setattr(kernels, "BLOCK_VALUES", 200)
+    for (fn, *args), want in zip(jobs, whole, strict=True):
+        assert same(fn(data, *args), want), fn.__name__

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candlewright.operators import ledger, outcomes
+from candlewright.operators import ledger, outcomes, touch
 from candlewright.operators.chunks import index_bars
 from helpers import to_spark, trades_one_by_one, walk
 
@@ -69,6 +69,43 @@ def test_chain_across_chunks(spark):
     assert pick(64) == pick(100000)
 
 
+def test_sweep_does_not_depend_on_chunks_or_blocks_of_sets(spark):
+    feats, conds = setup(spark, noisy(1500, 5))
+    rows = [{**r, "min_score": 2.0 + i % 4, "max_hold_bars": 5 + 9 * (i % 4)} for i, r in enumerate(outcomes.random_grid(9))]
+    grid = outcomes.grid(spark, rows)
+    read = lambda **kw: sorted(map(tuple, outcomes.simulate(feats, conds, NAMES, grid, 40, **kw).select("param_id", "entry_idx", "exit_idx", "close_reason", "raw_pnl").collect()))
+    whole = read()
+    assert len(whole) > 100 and read(chunk=64, sets_per_task=2) == whole
+
+
+def test_first_touch_by_plain_search():
+    rng = np.random.default_rng(9)
+    n = 700
+    index = np.cumsum(rng.integers(1, 3, n))  # some bars cannot be traded
+    close = 100 + rng.normal(0, 1, n).cumsum()
+    high, low = close + rng.random(n), close - rng.random(n)
+    path = touch.Bars(index, high, low, 40)
+    at = rng.integers(0, n, 2000)
+    hold = rng.integers(1, 41, 2000)
+    long = rng.random(2000) < 0.5
+    side = np.where(long, 1.0, -1.0)
+    stop, target = close[at] - side * rng.random(2000) * 6, close[at] + side * rng.random(2000) * 6
+    place, why = path.exits(at, long, stop, target, hold)
+    for i in range(2000):
+        want = (n, 3)
+        for j in range(at[i] + 1, min(at[i] + hold[i] + 1, n)):
+            if (low[j] <= stop[i]) if long[i] else (high[j] >= stop[i]):
+                want = (j, 1)
+            elif (high[j] >= target[i]) if long[i] else (low[j] <= target[i]):
+                want = (j, 2)
+            elif index[j] - index[at[i]] >= hold[i]:
+                want = (j, 0)
+            else:
+                continue
+            break
+        assert (place[i], why[i]) == want
+
+
 def test_single_take_profit(spark):
     pdf = walk(30, symbols=("A",))
     pdf[["open", "close"]] = 100.0
