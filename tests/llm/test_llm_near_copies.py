@@ -38,7 +38,7 @@ def components_of(rows, k, p):
         label = new
 
 
-@pytest.mark.parametrize("n", [500, 1000, 4000])
+@pytest.mark.parametrize("n", [500, 4000])
 @pytest.mark.parametrize(("k", "p"), [(5, 80)])
 def test_links_of_near_copies_are_linear(spark, n, k, p):
     rows = near_copies(n)
@@ -47,7 +47,7 @@ def test_links_of_near_copies_are_linear(spark, n, k, p):
     made, there = links.count(), nodes.count()
     print(n, k, p, made, there)
     assert made <= 2 * there
-    if n == 1000:
+    if n == 500:
         got = {r["doc_id"]: r["component_id"] for r in shingle_join.join_documents(df, k=k, threshold=(p, 100), block=300).collect()}
         want = components_of(rows, k, p)
         assert [got[i] for i in range(n)] == want.tolist()
