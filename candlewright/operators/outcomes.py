@@ -408,9 +408,11 @@ def simulate(
             exits = np.where(place < path.n, base + place, touch.NEVER)
             yield h, group, path, p, scored, (at, score, share, kind, count), lv, place, why, base + at, exits
 
+    no_effects = to_arrow_schema(_parse_datatype_string(EFFECTS))
+
     def effects(key: tuple, group: pa.Table, head: pa.Table) -> pa.Table:
         if not len(group) or not len(head):
-            return to_arrow_schema(_parse_datatype_string(EFFECTS)).empty_table()
+            return no_effects.empty_table()
         ids, found = [], []
         for h, _, _, p, *_, starts, exits in signals(group, head):
             ids.append(p["param_id"])
