@@ -86,8 +86,8 @@ def _arrays(pdf: pd.DataFrame, jobs: list[Feature]) -> dict:
     return data
 
 
-def _in_order(todo: dict[str, Feature]) -> list[Feature]:
-    jobs, placed = [], BASE | {f.name for f in todo.values() if f.stage == "scan"}
+def _in_order(todo: dict[str, Feature], known: Sequence[str] = ()) -> list[Feature]:
+    jobs, placed = [], BASE | set(known) | {f.name for f in todo.values() if f.stage == "scan"}
     waiting = [f for f in todo.values() if f.stage == "array"]
     while waiting:
         ready = [f for f in waiting if set(f.deps) <= placed]
@@ -175,21 +175,23 @@ def compute_features(
     min_bars: int = 0,
     chunk: int | None = None,
     halo: int | None = None,
+    known: Sequence[str] = (),
 ) -> DataFrame:
     """Bars plus bar_idx plus the named columns (all of them by default).
 
     `bars` holds any number of series of one `timeframe`; periods are scaled from their
     one-hour values. Only what the names need is computed. Given several timeframes, the
-    bars of each are scaled by their own and those of no other are returned.
+    bars of each are scaled by their own and those of no other are returned. `known`
+    columns stand in `bars` already, as those a stream carries, and are not computed.
     """
     if not isinstance(timeframe, str):
-        parts = [compute_features(bars.where(F.col("timeframe") == t), names, t, scale_multiplier, min_bars, chunk, halo) for t in dict.fromkeys(timeframe)]
+        parts = [compute_features(bars.where(F.col("timeframe") == t), names, t, scale_multiplier, min_bars, chunk, halo, known) for t in dict.fromkeys(timeframe)]
         return reduce(DataFrame.unionByName, parts)
     scale = period_scale(timeframe, scale_multiplier)
     names = list(names or ALL_FEATURES)
     cat = catalogue(scale)
-    todo = cat.closure([n for n in names if n not in BASE])
-    jobs = _in_order(todo)
+    todo = cat.closure(names, known)
+    jobs = _in_order(todo, known)
     ahead = scaled(3, scale, 1)
 
     idx = bars if "bar_idx" in bars.columns else chunks.index_bars(bars)
@@ -197,10 +199,10 @@ def compute_features(
         keep = idx.groupBy(*KEY).agg(F.max("bar_idx").alias("_m")).where(F.col("_m") + 1 >= min_bars).select(*KEY)
         idx = idx.join(keep, KEY, "left_semi")
     base_cols = [c for c in (*KEY, "ts", "open", "high", "low", "close", "volume", "bar_idx") if c in idx.columns]
-    df = idx.select(*base_cols)
+    df = idx.select(*base_cols, *known)
 
-    have = set(BASE)
-    pre = cat.closure([f.name for f in todo.values() if f.stage == "scan"])
+    have = BASE | set(known)
+    pre = cat.closure([f.name for f in todo.values() if f.stage == "scan"], known)
     later = [f for f in todo.values() if f.name not in pre and f.stage == "column"]
     look = max([f.lookback for f in later], default=1) + scaled(52, scale) + scaled(26, scale)
     near = max([f.lookback for f in (*jobs, *pre.values())], default=1)

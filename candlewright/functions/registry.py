@@ -42,13 +42,13 @@ class Catalogue:
         """y = decay * y + gain * source, started with first * source on a series' first bar."""
         self.features[name] = Feature(name, (source,), None, "scan", (decay, gain, first))
 
-    def closure(self, names) -> dict[str, Feature]:
-        """The requested features and everything they need."""
+    def closure(self, names, known=()) -> dict[str, Feature]:
+        """The requested features and everything they need that is not known."""
         out: dict[str, Feature] = {}
         todo = list(names)
         while todo:
             n = todo.pop()
-            if n in BASE or n in out:
+            if n in BASE or n in known or n in out:
                 continue
             if n not in self.features:
                 raise KeyError(f"unknown feature {n!r}")

@@ -12,7 +12,7 @@ from candlewright.operators.detect import DetectorSettings, detect_movements
 from candlewright.plans import inputs, sql_study
 from candlewright.plans.feature_queries import EXTRA as FEATURE_EX
 from candlewright.plans.inputs import LEADING, STUDY
-from candlewright.plans.sql_features import P, div_sign, oracle, prev
+from candlewright.plans.sql_features import P, div_sign, oracle, prev, roll, z
 from candlewright.sources import tables
 from candlewright.sources.ticks import rollup_bars
 from candlewright.streaming import live
@@ -310,44 +310,55 @@ def _(spark, sf):
 QUERIES["l03_closed_candles"], ORACLES["l03_closed_candles"] = QUERIES["l01_stream_candles"], ORACLES["l01_stream_candles"]
 
 
-def stored_bar_stream(spark, sf):
-    """Bars of the line table replayed as a stream of files."""
-    def build():
-        return inputs.bars(spark, sf).select(*KEY, "ts", "open", "high", "low", "close", "volume")
+CARRY_FEATURES = {  # columns whose state crosses polls, windows over them, and plain windows
+    "ema_200": ("e200", 4), "dist_ema_50": ("(close - e50) / (e50 + 1e-10)", 6), "macd_hist_slope": (f"(macd - sig) - lag(macd - sig) OVER ({P})", 3),
+    "atr_14": ("a14", 4), "atr_z": (z("a14", 50), 6), "adx": ("adx", 6), "memory_pressure": ("mp", 6), "obv": ("obv", 2), "obv_z": (z("obv", 20), 6), "cvd": ("cvd", 2),
+    "consec_bull": ("i - bb", 0), "consec_bear": ("i - sb", 0), "rsi_14": ("rsi_14", 6), "stoch_k": ("stoch_k", 6), "sma_200": (roll("avg", "close", 200), 4)}
+CARRY = {"cvs": FEATURE_EX["cv"], "iso": FEATURE_EX["isl"],
+         "lst": "SELECT ema.*, cvs.obv, cvs.cvd, iso.bb, iso.sb FROM ema JOIN cvs USING (symbol, i) JOIN iso USING (symbol, i)"}
+
 
-    inputs.once(spark, sf, "bar_files", build)
-    path = inputs._TABLES[(spark.sparkContext.applicationId, sf, "bar_files")][0]
-    return spark.readStream.schema(build().schema).parquet(path)
+def bar_polls(spark, sf, each, name):
+    """Stored bars arrive in four polls by time; every bar of the last tenth of a poll comes again in the next one. `each` gets the new bars with their state."""
+    b = inputs.bars(spark, sf).select(*KEY, "ts", "open", "high", "low", "close", "volume")
+    t = b.agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    at = F.datediff("ts", "_a") * POLLS / (F.datediff("_b", "_a") + 1)
+    b = b.crossJoin(F.broadcast(t)).withColumn("_at", at).drop("_a", "_b")
+    source, ckpt = (tables.scratch_path(spark, f"{name}_{x}") for x in ("in", "ckpt"))
+    for i in range(POLLS):
+        b.where((c("_at") >= (i - 0.1 if i else 0)) & (c("_at") < i + 1)).drop("_at").write.mode("append").parquet(source)
+        stream = live.with_state(spark.readStream.schema(b.drop("_at").schema).parquet(source), "1d", STUDY, 24.0)
+        stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
 
 
-@query("l04_stream_features", "SELECT symbol, epoch(ts)::BIGINT AS ts_s, round(rsi_14, 6) AS rsi_14, round(stoch_k, 6) AS stoch_k FROM sf")
+@query("l04_stream_features", "SELECT symbol, i AS bar_idx, " + ", ".join(f"round(CAST({e} AS DOUBLE), {d}) AS {k}" for k, (e, d) in CARRY_FEATURES.items()) + " FROM lst", CARRY)
 def _(spark, sf):
+    """Features over four polls equal those of the whole table, long means and totals too."""
     path = tables.scratch_path(spark, "stream_features")
 
     def each(batch, batch_id):
         with live.kept(batch):
-            live.batch_features(batch, ["rsi_14", "stoch_k"], "1d", 24.0).write.mode("append").parquet(path)
+            live.batch_features(batch, list(CARRY_FEATURES), "1d", 24.0).write.mode("append").parquet(path)
 
-    q = live.with_history(stored_bar_stream(spark, sf)).writeStream.foreachBatch(each).option("checkpointLocation", tables.scratch_path(spark, "sf-ckpt")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(path).select("symbol", F.unix_seconds("ts").alias("ts_s"), F.round("rsi_14", 6).alias("rsi_14"), F.round("stoch_k", 6).alias("stoch_k"))
+    bar_polls(spark, sf, each, "features")
+    return spark.read.parquet(path).select("symbol", "bar_idx", *[F.round(c(k).cast("double"), d).alias(k) for k, (_, d) in CARRY_FEATURES.items()])
 
 
 @query("l05_stream_signals", "SELECT symbol, i AS bar_idx, move_type, round(score, 4) AS score FROM bs")
 def _(spark, sf):
-    """Stored features arrive as files and meet the stored conditions."""
+    """Bars of four polls, their live features, and the stored conditions: the signals after the split."""
     from candlewright.operators import outcomes
 
-    inputs.once(spark, sf, "test_feature_files", lambda: inputs.test_bars(spark, sf))
-    path, schema = inputs._TABLES[(spark.sparkContext.applicationId, sf, "test_feature_files")]
     out = tables.scratch_path(spark, "stream_signals")
     grid = outcomes.grid(spark, [{**inputs.BASE_PARAMS, "param_id": 0}])
+    split = inputs.test_bars(spark, sf).groupBy(*KEY).agg(F.min("ts").alias("_from"))
 
     def each(batch, batch_id):
-        live.live_signals(batch, inputs.conditions(spark, sf), STUDY, grid).select(*KEY, "bar_idx", "move_type", "score").write.mode("append").parquet(out)
+        with live.kept(batch):
+            f = live.batch_features(batch, STUDY, "1d", 24.0).join(split, KEY).where("ts >= _from").drop("_from")
+            live.live_signals(f, inputs.conditions(spark, sf), STUDY, grid).select(*KEY, "bar_idx", "move_type", "score").write.mode("append").parquet(out)
 
-    q = spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(each).option("checkpointLocation", tables.scratch_path(spark, "sig-ckpt")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    bar_polls(spark, sf, each, "signals")
     return spark.read.parquet(out).select("symbol", "bar_idx", "move_type", F.round("score", 4).alias("score"))
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from candlewright.core import KEY, TIMEFRAME_MINUTES
+from candlewright.core import KEY, TIMEFRAME_MINUTES, period_scale
 from candlewright.functions.features import compute_features
 from candlewright.operators import outcomes
 from candlewright.operators.detect import DetectorSettings, detect_movements
 from candlewright.sources.bars import recent_bars
+from candlewright.streaming.recurrent import carried_columns, with_state
 
 c = F.col
 
@@ -68,41 +69,15 @@ class DroppedRows(StreamingQueryListener):
             self.spark.createDataFrame(row, "query string, batch_id long, dropped long").write.mode("append").parquet(self.path)
 
 
-RING_SCHEMA = "ts array<timestamp>, open array<double>, high array<double>, low array<double>, close array<double>, volume array<double>"
-
-
-def with_history(bars: DataFrame, keep: int = 250, fields=("ts", "open", "high", "low", "close", "volume")) -> DataFrame:
-    """Each new bar together with its last `keep` bars, from per-series ring buffers.
+def batch_features(history: DataFrame, names, timeframe: str, scale_multiplier: float = 1.0) -> DataFrame:
+    """Features of the new bars in a micro-batch of `with_state`, by the same code as in batch mode.
 
-    The state of a series is `keep` bars whatever its length. Rows of one update carry
-    the update's newest time in `as_of`.
+    Columns that state carries are taken as they are. The columns that fold other state
+    (supertrend, order-block zones, latest pivots, level distances) see the ring only.
     """
-    fields = list(fields)
-    out = "symbol string, timeframe string, as_of timestamp, ts timestamp, open double, high double, low double, close double, volume double, is_new boolean"
-
-    def update(key, batches, state):
-        old = pd.DataFrame(dict(zip(fields, state.get))) if state.exists else pd.DataFrame(columns=fields)
-        new = pd.concat(list(batches), ignore_index=True)[fields]
-        new["is_new"] = True
-        if not old.empty:
-            old["ts"] = pd.to_datetime(old["ts"])
-            old["is_new"] = False
-            new = pd.concat([old, new], ignore_index=True)
-        ring = new.drop_duplicates("ts", keep="first").sort_values("ts", ignore_index=True)
-        start = max(0, min(int(ring["is_new"].to_numpy().argmax()), len(ring)) - keep + 1) if ring["is_new"].any() else max(0, len(ring) - keep)
-        send = ring.iloc[start:]
-        tail = ring.tail(keep)
-        state.update(tuple([v.to_pydatetime() for v in tail[f]] if f == "ts" else [float(v) for v in tail[f]] for f in fields))
-        yield send.assign(symbol=key[0], timeframe=key[1], as_of=ring["ts"].iloc[-1])[["symbol", "timeframe", "as_of", *fields, "is_new"]]
-
-    return bars.groupBy(*KEY).applyInPandasWithState(update, out, RING_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def batch_features(history: DataFrame, names, timeframe: str, scale_multiplier: float = 1.0) -> DataFrame:
-    """Features of the new bars in a micro-batch, by the same code as in batch mode."""
-    bars = history.select(*KEY, "ts", "open", "high", "low", "close", "volume", "is_new")
-    f = compute_features(bars.drop("is_new"), names, timeframe, scale_multiplier)
-    return f.join(bars.where("is_new").select(*KEY, "ts"), [*KEY, "ts"], "left_semi")
+    known = carried_columns(period_scale(timeframe, scale_multiplier))
+    f = compute_features(history.drop("is_new", "as_of"), names, timeframe, scale_multiplier, known=known)
+    return f.join(history.where("is_new").select(*KEY, "bar_idx"), [*KEY, "bar_idx"], "left_semi")
 
 
 @contextmanager
@@ -124,14 +99,14 @@ def live_signals(features: DataFrame, conditions: DataFrame, names, params: Data
 def start_signals(bars: DataFrame, conditions: DataFrame, names, params: DataFrame, timeframe: str, sink: str, checkpoint: str, scale_multiplier: float = 1.0):
     """Running query: new candles -> features -> signals -> an append-only table.
 
-    A batch id column makes replays after a failure recognisable.
+    A batch id column makes replays after a failure recognisable. `bars` holds one timeframe.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         with kept(batch):
             f = batch_features(batch, names, timeframe, scale_multiplier)
             live_signals(f, conditions, names, params).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
 
-    return with_history(bars).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append").start()
+    return with_state(bars, timeframe, names, scale_multiplier).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
 def write_alerts(alerts: DataFrame, path: str, checkpoint: str, available_now: bool = False):
