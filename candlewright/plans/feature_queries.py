@@ -187,7 +187,7 @@ def _plain(names):
     return lambda spark, sf_dir: inputs.features(spark, sf_dir, names).select(*KEY, "bar_idx", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
 
 
-def _sql_value(name: str, expr: str, d: int) -> str:
+def sql_value(name: str, expr: str, d: int) -> str:
     if d == -99:
         return f"{expr} AS {name}"
     if d < 0:
@@ -197,6 +197,6 @@ def _sql_value(name: str, expr: str, d: int) -> str:
 
 QUERIES = {name: _query(cols) for name, (_, cols) in SPEC.items()} | {n: _plain(c) for n, c in ROWS_ONLY.items()}
 ORACLES = {
-    name: oracle("SELECT symbol, i AS bar_idx, " + ", ".join(_sql_value(k, e, d) for k, (e, d) in cols.items()) + f" FROM {source}", EXTRA)
+    name: oracle("SELECT symbol, i AS bar_idx, " + ", ".join(sql_value(k, e, d) for k, (e, d) in cols.items()) + f" FROM {source}", EXTRA)
     for name, (source, cols) in SPEC.items()
 }

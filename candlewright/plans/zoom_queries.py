@@ -10,7 +10,7 @@ from candlewright.operators import drilldown as dd, ledger, mining, validate
 from candlewright.operators.clusters import outlook, similar_events
 from candlewright.operators.detect import DetectorSettings, detect_movements
 from candlewright.plans import inputs, sql_study
-from candlewright.plans.feature_queries import EXTRA as FEATURE_EX
+from candlewright.plans.feature_queries import EXTRA as FEATURE_EX, SPEC, sql_value
 from candlewright.plans.inputs import LEADING, STUDY
 from candlewright.plans.sql_features import P, div_sign, oracle, prev, roll, z
 from candlewright.sources import tables
@@ -206,10 +206,17 @@ def _(spark, sf):
     return outlook(similar_events(v.join(last, [*KEY, "bar_idx"]), v, STUDY, 10))
 
 
-@query("l09_current_state", "SELECT symbol, epoch(ts)::BIGINT AS ts_s, round(close, 9) AS close, round(rsi_14, 6) AS rsi_14, round(bb_position, 6) AS bb_position, round(volume_ratio, 6) AS volume_ratio FROM sf WHERE i = n - 1")
+# Fields of a series' state that plain SQL has over one source, from the twins of their families.
+STATE_FIELDS = {k: SPEC[family][1][k] for family, names in {
+    "t10_bollinger": ("bb_position",), "t15_adx": ("adx",), "t14_atr_pct_z": ("atr_pct",), "v02_volume_ratio": ("volume_ratio",), "t04_ema_alignment": ("ema_alignment",),
+    "t09_macd": ("macd_hist",), "t07_rsi": ("rsi_14",), "ph09_wpi": ("wpi",), "ph10_memory_pressure": ("memory_pressure",), "ph15_phase_regime": ("phase_regime",), "c01_dna_code": ("dna_code",)}.items() for k in names}
+
+
+@query("l09_current_state", "SELECT symbol, epoch(ts)::BIGINT AS ts_s, round(close, 9) AS close, " + ", ".join(STATE_FIELDS) + " FROM (SELECT symbol, i, ts, close, max(i) OVER (PARTITION BY symbol) AS last, "
+       + ", ".join(sql_value(k, e, d) for k, (e, d) in STATE_FIELDS.items()) + " FROM ema) WHERE i = last", FEATURE_EX)
 def _(spark, sf):
-    s = live.current_state(inputs.study(spark, sf))
-    return s.select("symbol", F.unix_seconds("ts").alias("ts_s"), F.round("close", 9).alias("close"), *[F.round(x, 6).alias(x) for x in ("rsi_14", "bb_position", "volume_ratio")])
+    s = live.current_state(inputs.features(spark, sf, list(STATE_FIELDS)))
+    return s.select("symbol", F.unix_seconds("ts").alias("ts_s"), F.round("close", 9).alias("close"), *[c(k) if d == -99 else F.round(c(k).cast("double"), d).alias(k) for k, (_, d) in STATE_FIELDS.items()])
 
 
 def tick_stream(spark, sf):
