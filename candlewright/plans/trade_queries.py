@@ -124,6 +124,21 @@ def _(spark, sf):
     return ledger.best_parameters(kept).select("symbol", "param_id", "pnl_pct").join(n, "symbol")
 
 
+HOLD_OUT = {"tsrc": "SELECT symbol || CASE WHEN is_train THEN '@a' ELSE '@b' END AS symbol, sf.* EXCLUDE (symbol), symbol AS base FROM sf"}
+
+
+@query("out07b_choose_then_hold_out", """
+SELECT t.symbol, t.param_id, t.pnl_pct AS train_pnl_pct, s.n_trades, s.win_rate, s.pnl_pct FROM (
+ SELECT split_part(symbol, '@', 1) AS symbol, first(param_id ORDER BY pnl_pct DESC, param_id) AS param_id, max(pnl_pct) AS pnl_pct FROM summ WHERE symbol LIKE '%@a' AND n_trades >= 10 AND max_drawdown <= 50 GROUP BY ALL) t
+LEFT JOIN summ s ON s.symbol = t.symbol || '@b' AND s.param_id = t.param_id""", {**grid_ex(GRID), **HOLD_OUT})
+def _(spark, sf):
+    """The grid is swept on the training bars only; the set chosen there is reported on the hold-out."""
+    found = grid_summary(spark, sf, "grid_train", GRID, inputs.study(spark, sf).where("is_train"))
+    best = ledger.best_parameters(ledger.prune(found, 10, 50.0)).select(*KEY, "param_id", c("pnl_pct").alias("train_pnl_pct"))
+    held = grid_summary(spark, sf, "grid", GRID).select(*KEY, "param_id", "n_trades", "win_rate", "pnl_pct")
+    return best.join(held, [*KEY, "param_id"], "left").drop("timeframe")
+
+
 LEVEL_FEATURES = ["atr_14", "vwap_20", "vol_poc_20", "ema_20", "bb_upper", "bb_lower", "last_swing_low", "last_swing_high"]
 
 
