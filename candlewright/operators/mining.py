@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from candlewright.core import KEY, ratio
 from candlewright.operators import chunks, joins
 from candlewright.operators.chunks import order
+from candlewright.sources.tables import written
 
 TYPE_KEY = [*KEY, "move_type"]
 MIN_EVENTS = 20
@@ -69,6 +71,22 @@ def background(features: DataFrame, events: DataFrame, names, lookback: int = 5,
     )
 
 
+def _compared(st: DataFrame) -> DataFrame:
+    """Statistics of each (series, type, feature) from the moments of its event vectors and its background."""
+    c = F.col
+    st = st.where((c("n_ev") >= 2) & (c("n_bg") >= 2) & ~((c("std_ev") < 1e-10) & (c("std_bg") < 1e-10)))
+    a, b = c("var_ev") / c("n_ev"), c("var_bg") / c("n_bg")
+    diff = c("mean_ev") - c("mean_bg")
+    return st.select(
+        *TYPE_KEY, "feature", c("n_ev").alias("n_events"), c("n_bg").alias("n_background"),
+        c("mean_ev").alias("mean_before"), c("std_ev").alias("std_before"), c("mean_bg").alias("mean_all"), c("std_bg").alias("std_all"),
+        ratio(diff, F.sqrt(a + b)).alias("t_statistic"),
+        ratio((a + b) * (a + b), a * a / (c("n_ev") - 1) + b * b / (c("n_bg") - 1)).alias("dof"),
+        (diff / (F.sqrt((c("std_ev") * c("std_ev") + c("std_bg") * c("std_bg")) / 2) + 1e-10)).alias("cohens_d"),
+        (diff / (F.abs(c("mean_bg")) + 1e-10)).alias("lift_factor"),
+    ).withColumn("threshold", c("mean_all") + F.signum("t_statistic") * c("std_all"))
+
+
 def welch(event_vectors: DataFrame, bg: DataFrame, names) -> DataFrame:
     """Welch t, effect size, lift, threshold and hit rate per (series, type, feature)."""
     ids = [*TYPE_KEY, "bar_idx"]
@@ -79,19 +97,8 @@ def welch(event_vectors: DataFrame, bg: DataFrame, names) -> DataFrame:
             F.count("*").alias(f"n_{tag}"), F.avg("value").alias(f"mean_{tag}"),
             F.stddev_pop("value").alias(f"std_{tag}"), F.var_samp("value").alias(f"var_{tag}"))
 
-    st = moments(event_vectors, "ev").join(moments(bg, "bg"), key)
+    st = _compared(moments(event_vectors, "ev").join(moments(bg, "bg"), key))
     c = F.col
-    st = st.where((c("n_ev") >= 2) & (c("n_bg") >= 2) & ~((c("std_ev") < 1e-10) & (c("std_bg") < 1e-10)))
-    a, b = c("var_ev") / c("n_ev"), c("var_bg") / c("n_bg")
-    diff = c("mean_ev") - c("mean_bg")
-    st = st.select(
-        *key, c("n_ev").alias("n_events"), c("n_bg").alias("n_background"),
-        c("mean_ev").alias("mean_before"), c("std_ev").alias("std_before"), c("mean_bg").alias("mean_all"), c("std_bg").alias("std_all"),
-        ratio(diff, F.sqrt(a + b)).alias("t_statistic"),
-        ratio((a + b) * (a + b), a * a / (c("n_ev") - 1) + b * b / (c("n_bg") - 1)).alias("dof"),
-        (diff / (F.sqrt((c("std_ev") * c("std_ev") + c("std_bg") * c("std_bg")) / 2) + 1e-10)).alias("cohens_d"),
-        (diff / (F.abs(c("mean_bg")) + 1e-10)).alias("lift_factor"),
-    ).withColumn("threshold", c("mean_all") + F.signum("t_statistic") * c("std_all"))
     beyond = F.when(c("t_statistic") > 0, c("value") > c("threshold")).otherwise(c("value") < c("threshold"))
     hits = (
         unpivot(event_vectors, ids, names).join(st.select(*key, "t_statistic", "threshold"), key)
@@ -100,6 +107,118 @@ def welch(event_vectors: DataFrame, bg: DataFrame, names) -> DataFrame:
     return st.join(hits, key)
 
 
+def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean and sum of squared distances from the mean of each column; NaN does not count."""
+    there, finite = ~np.isnan(x), np.isfinite(x)
+    n = there.sum(axis=0)
+    # Distances from one of the values, so a column of equal values has exactly that value as its mean.
+    shift = np.where(finite.any(axis=0), x[finite.argmax(axis=0), np.arange(x.shape[1])], 0.0)
+    with np.errstate(all="ignore"):
+        mean = shift + np.where(there, x - shift, 0.0).sum(axis=0) / n
+        return n, mean, np.where(there, (x - mean) ** 2, 0.0).sum(axis=0)
+
+
+def _chunk_parts(features: DataFrame, events: DataFrame, names: list[str], lookback: int) -> DataFrame:
+    """What each chunk hands on, in one pass over its bars, whatever the number of types.
+
+    A `vector` row holds an event's means over the bars before it; per type an `ev` and a `bg` row
+    hold the moments of these vectors and of the bars away from its events.
+    """
+    reach = lookback + 2
+    size, _ = chunks.chunk_rows(reach)
+    bars = chunks.with_halo(features.select(*KEY, "bar_idx", *[F.col(n).cast("double").alias(n) for n in names]), reach)
+    near = F.array_distinct(F.array(*[F.floor((F.col("bar_idx") + d) / size) for d in (-reach, 0, reach)]))
+    at = events.select(*TYPE_KEY, "bar_idx", F.explode(near).alias("chunk"))
+    every = features.select(*KEY, F.floor(F.col("bar_idx") / size).alias("chunk")).distinct()
+    every = every.join(events.select(*TYPE_KEY).distinct(), KEY).select(*TYPE_KEY, F.lit(None).cast("long").alias("bar_idx"), "chunk")
+    schema = "symbol string, timeframe string, move_type string, part string, n array<bigint>, mean array<double>, m2 array<double>"
+    around, kinds = np.arange(-reach, reach + 1), pa.schema([
+        *[(k, pa.string()) for k in (*TYPE_KEY, "part")], ("n", pa.list_(pa.int64())), ("mean", pa.list_(pa.float64())), ("m2", pa.list_(pa.float64()))])
+
+    def reduce_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            idx = left["bar_idx"].to_numpy()
+            rank = np.argsort(idx)
+            idx, own = idx[rank], ~left["in_halo"].to_numpy()[rank]
+            x = np.column_stack([left[n].to_numpy() for n in names])[rank]
+            given = ~np.column_stack([left[n].is_null().to_numpy() for n in names])[rank]
+            series = left["symbol"][0].as_py(), left["timeframe"][0].as_py()
+            types, bar = right["move_type"].to_numpy(), right["bar_idx"].to_numpy().astype(float)
+            for name in sorted(set(types)):
+                events = bar[(types == name) & ~np.isnan(bar)].astype(np.int64)
+                place = np.searchsorted(idx, events)
+                place = place[(place < len(idx)) & (idx[np.minimum(place, len(idx) - 1)] == events)]
+                place = place[own[place]]
+                if len(place):
+                    total, count = np.zeros((len(place), len(names))), np.zeros((len(place), len(names)))
+                    for back in range(lookback, 0, -1):
+                        row, inside = np.maximum(place - back, 0), (place >= back)[:, None]
+                        total += np.where(given[row] & inside, x[row], 0.0)
+                        count += given[row] & inside
+                    with np.errstate(all="ignore"):
+                        vectors = total / count
+                    rows += [(*series, name, "vector", None, v, None) for v in vectors]
+                    rows.append((*series, name, "ev", *_moments(vectors)))
+                away = own & (idx >= 50) & ~np.isin(idx, (events[:, None] + around).ravel())
+                if away.any():
+                    rows.append((*series, name, "bg", *_moments(x[away])))
+        return pa.table([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds.types)], schema=kinds)
+
+    return bars.groupBy(*chunks.CHUNK_KEY).cogroup(at.unionByName(every).groupBy(*chunks.CHUNK_KEY)).applyInArrow(reduce_chunk, schema)
+
+
+def _hits(vectors: DataFrame, limits: DataFrame, width: int) -> DataFrame:
+    """Per (series, type, column's place): values beyond the limit in per cent. Tasks hand on counts."""
+    def counts(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            value, level, above = (batch[k].flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for k in ("mean", "level", "above"))
+            beyond = np.where(above, value > level, value < level)
+            keys = pd.MultiIndex.from_arrays([batch[k].to_pandas() for k in TYPE_KEY])
+            code, found = pd.factorize(keys)
+            for j, key in enumerate(found):
+                own = code == j
+                there = ~np.isnan(value[own])
+                out = {**dict(zip(TYPE_KEY, key)), "pos": np.arange(width, dtype=np.int32), "n": there.sum(axis=0), "hits": (there & beyond[own]).sum(axis=0)}
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
+
+    both = vectors.join(limits, TYPE_KEY).select(*TYPE_KEY, "mean", "level", "above")
+    per_batch = both.mapInArrow(counts, "symbol string, timeframe string, move_type string, pos int, n long, hits long")
+    return per_batch.groupBy(*TYPE_KEY, "pos").agg((F.sum("hits") / F.sum("n") * 100).alias("predictive_pct"))
+
+
+def welch_of_bars(features: DataFrame, events: DataFrame, names, lookback: int = 5) -> DataFrame:
+    """`welch` of the event vectors and the whole background, from the bars themselves.
+
+    Neither the background rows of a type nor a row per value are made: every chunk hands on
+    moments per type, which are merged by their counts.
+    """
+    c, names = F.col, list(names)
+    parts = written(_chunk_parts(features, events, names, lookback), "welch_parts")
+    one = parts.where("part <> 'vector'").select(*TYPE_KEY, "part", F.posexplode(F.arrays_zip("n", "mean", "m2")).alias("pos", "m"))
+    one = one.select(*TYPE_KEY, "part", "pos", "m.*").where("n > 0")
+    group = Window.partitionBy(*TYPE_KEY, "part", "pos")
+    shift = F.coalesce(F.min(F.when(F.abs("mean") < float("inf"), c("mean"))).over(group), F.lit(0.0))
+    whole = shift + F.sum(c("n") * (c("mean") - shift)).over(group) / F.sum("n").over(group)
+    one = one.withColumn("whole", whole).groupBy(*TYPE_KEY, "part", "pos").agg(
+        F.sum("n").alias("n"), F.max("whole").alias("mean"), F.sum(c("m2") + c("n") * (c("mean") - c("whole")) * (c("mean") - c("whole"))).alias("m2"))
+
+    def of(tag):
+        part = one.where(c("part") == tag)
+        return part.select(*TYPE_KEY, "pos", c("n").alias(f"n_{tag}"), c("mean").alias(f"mean_{tag}"), F.sqrt(c("m2") / c("n")).alias(f"std_{tag}"),
+                           F.when(c("n") > 1, F.try_divide(c("m2"), c("n") - 1)).alias(f"var_{tag}"))
+
+    place = F.element_at(F.array(*[F.lit(n) for n in names]), c("pos") + 1)
+    st = written(_compared(of("ev").join(of("bg"), [*TYPE_KEY, "pos"]).withColumn("feature", place)), "welch")
+    found = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("threshold", "t_statistic"))))
+    at = lambda field: F.array(*[F.try_element_at("_m", F.lit(n)).getField(field) for n in names])
+    limits = st.groupBy(*TYPE_KEY).agg(found.alias("_m")).select(*TYPE_KEY, at("threshold").alias("level"), F.transform(at("t_statistic"), lambda t: F.coalesce(t > 0, F.lit(False))).alias("above"))
+    hits = _hits(parts.where("part = 'vector'"), limits, len(names)).withColumn("feature", place).drop("pos")
+    return st.join(hits, [*TYPE_KEY, "feature"])
+
+
 def _log_beta(a, b):
     from math import lgamma
     g = np.vectorize(lgamma, otypes=[float])

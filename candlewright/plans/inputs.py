@@ -82,11 +82,15 @@ def train(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return study(spark, sf_dir).where("is_train"), movements(spark, sf_dir).where("is_train").drop("is_train")
 
 
+def enough_train(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Training bars, and the training events of types with enough of them."""
+    f, ev = train(spark, sf_dir)
+    return f, ev.join(mining.enough_events(ev).select(*mining.TYPE_KEY), mining.TYPE_KEY, "left_semi")
+
+
 def event_vectors(spark, sf_dir) -> DataFrame:
     def build():
-        f, ev = train(spark, sf_dir)
-        enough = mining.enough_events(ev).select(*mining.TYPE_KEY)
-        return mining.precondition_vectors(f, ev.join(enough, mining.TYPE_KEY, "left_semi"), STUDY, 5)
+        return mining.precondition_vectors(*enough_train(spark, sf_dir), STUDY, 5)
 
     return once(spark, sf_dir, "event_vectors", build)
 
@@ -100,7 +104,7 @@ def background(spark, sf_dir) -> DataFrame:
 
 
 def statistics(spark, sf_dir) -> DataFrame:
-    return once(spark, sf_dir, "statistics", lambda: mining.welch(event_vectors(spark, sf_dir), background(spark, sf_dir), STUDY))
+    return once(spark, sf_dir, "statistics", lambda: mining.welch_of_bars(*enough_train(spark, sf_dir), STUDY, 5))
 
 
 def predictors(spark, sf_dir) -> DataFrame:
@@ -115,11 +119,8 @@ def full_study(spark, sf_dir) -> DataFrame:
 def full_statistics(spark, sf_dir) -> DataFrame:
     """Which of all candidate columns differ before a movement: the statistics over the whole catalogue."""
     def build():
-        names = candidate_features()
-        f, ev = full_study(spark, sf_dir).where("is_train"), train(spark, sf_dir)[1]
-        enough = mining.enough_events(ev).select(*mining.TYPE_KEY)
-        vectors = mining.precondition_vectors(f, ev.join(enough, mining.TYPE_KEY, "left_semi"), names, 5)
-        return mining.welch(vectors, mining.background(f, ev, names, 5), names)
+        f, ev = full_study(spark, sf_dir).where("is_train"), enough_train(spark, sf_dir)[1]
+        return mining.welch_of_bars(f, ev, candidate_features(), 5)
 
     return once(spark, sf_dir, "full_statistics", build)
 
