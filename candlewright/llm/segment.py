@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +81,18 @@ class Vocabulary:
         self.start = np.cumsum(self.size) - self.size
         self.raw = np.frombuffer(b"".join(self.pieces), np.uint8)
 
-    def text_of(self, ids: np.ndarray) -> bytes:
-        """Bytes that the ids stand for, without the space put first."""
+    def text_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes that the ids stand for, and the place after each id's."""
         size = self.size[ids]
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - self.start[ids], size)
-        return self.raw[at].tobytes()[1:]
+        ends = np.cumsum(size)
+        at = np.arange(int(size.sum())) - np.repeat(ends - size - self.start[ids], size)
+        return self.raw[at].tobytes(), ends
+
+
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """Read once per Python worker."""
+    return Vocabulary(path)
 
 
 class Lattice:
@@ -228,6 +236,42 @@ class _Slice:
         return out, taken
 
 
+def _exits(
+    lat: Lattice, edges: np.ndarray, sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, offset: np.ndarray, begin: np.ndarray, bound: np.ndarray, noise: np.ndarray, m: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of each walk edges[lo:hi] the m largest perturbed maxima of the sets that leave it, largest first, and where they leave its path.
+
+    A noise term is below 38, and the log-probability of what comes before falls, so elements beyond the point where it
+    cannot make up for that need none drawn. The walks advance in step, a block at a time.
+    """
+    best, place = np.full((len(lo), m), -np.inf), np.zeros((len(lo), m), np.int64)
+    at, live, block, shift = lo.copy(), np.flatnonzero(lo < hi), 64, begin - sums[lo]
+    while len(live):
+        count = np.minimum(hi[live] - at[live], block)
+        first = np.cumsum(count) - count
+        walk = np.repeat(live, count)
+        i = np.arange(len(walk)) + np.repeat(at[live] - first, count)
+        edge = edges[i]
+        location = sums[i] + shift[walk] + np.log(np.where(lat.edges[lat.node[edge]] > 1, -np.expm1(np.minimum(lat.logp[edge], -1e-16)), 0.0))
+        element = i + (offset - lo)[walk]
+        own = _cut_gumbel(location, bound[walk], _uniform(noise[walk] + element.astype(np.uint64) * _STEP))
+        values, places = [best[live]], [place[live]]
+        for _ in range(m):
+            most = np.maximum.reduceat(own, first)
+            hit = np.flatnonzero(own == np.repeat(most, count))
+            hit = hit[np.unique(walk[hit], return_index=True)[1]]
+            values.append(most[:, None])
+            places.append(element[hit][:, None])
+            own[hit] = -np.inf
+        values, places = np.hstack(values), np.hstack(places)
+        top = np.argsort(-values, axis=1, kind="stable")[:, :m]
+        best[live], place[live] = np.take_along_axis(values, top, 1), np.take_along_axis(places, top, 1)
+        at[live] += count
+        live = live[(at[live] < hi[live]) & (begin[live] + sums[at[live]] - sums[lo[live]] + 38 > best[live, m - 1])]
+        block = min(2 * block, 1024)
+    return best, place
+
+
 def _top_k(s: _Slice, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
     """Document, sample (from 1), edges, log-probability, perturbed value and inclusion score."""
     lat, docs = s.lattice, len(s.offsets) - 1
@@ -239,43 +283,30 @@ def _top_k(s: _Slice, k: int) -> Iterator[tuple[int, int, np.ndarray, float, flo
     # The first round walks every text from its start; later ones from where a sample leaves an earlier one.
     jobs = [(d, np.zeros(0, np.int64), np.zeros(0, np.int64), int(s.first_word[d]), -1, 0, float(value[d])) for d in range(docs)]
     for sample in range(1, k + 1):
-        words, nodes, steps = [], [], []
-        for d, _, _, word, node, step, _ in jobs:
-            end = int(s.first_word[d + 1])
-            if node >= 0:
-                words.append(np.array([word - 1]))
-                nodes.append(np.array([node]))
-                steps.append(np.array([step]))
-            rest = np.arange(word, end)
-            words.append(rest)
-            nodes.append(lat.first[s.type[rest]])
-            steps.append(np.zeros(len(rest), np.int64))
-        words, nodes, steps = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, nodes, steps))
+        word, node, step = (np.array([job[j] for job in jobs], np.int64) for j in (3, 4, 5))
+        inside = node >= 0  # the walk starts within the word before
+        count = s.first_word[np.array([job[0] for job in jobs], np.int64) + 1] - word + inside
+        first = np.cumsum(count) - count
+        words = np.arange(int(count.sum())) + np.repeat(word - inside - first, count)
+        nodes, steps = lat.first[s.type[words]], np.zeros(len(words), np.int64)
+        nodes[first[inside]], steps[first[inside]] = node[inside], step[inside]
         edges, taken = s.walk(words, nodes, steps, sample)
         of_word = np.repeat(words, taken)
         ends = np.cumsum(np.bincount(s.doc[words], taken, docs)).astype(np.int64)
         sums = np.concatenate([[0.0], np.cumsum(lat.logp[edges])])
         noise_of, other = _base(s.keys, sample, 2), _base(s.keys, sample + 1, 3)
-        again = []
-        for d, head, head_word, _, _, _, bound in jobs:
-            lo, hi = (int(ends[d - 1]) if d else 0), int(ends[d])
-            offset, begin = len(head), float(lat.logp[head].sum()) if len(head) else 0.0
-            path, word_of = (np.concatenate([head, edges[lo:hi]]), np.concatenate([head_word, of_word[lo:hi]])) if offset else (edges[lo:hi], of_word[lo:hi])
-            paths[d].append((path, word_of, begin + float(sums[hi] - sums[lo]), bound))
-            # At most k + 1 - sample of these can still be popped or set the threshold. A noise term is below 38, and
-            # the log-probability of what comes before falls, so elements beyond the point where it cannot make up for
-            # that need none drawn.
-            m, at = k + 1 - sample, lo
-            best: list[tuple[float, int]] = []
-            while at < hi and (len(best) < m or begin + sums[at] - sums[lo] + 38 > best[-1][0]):
-                to = min(at + 64, hi)
-                edge = edges[at:to]
-                location = sums[at:to] + (begin - sums[lo]) + np.log(np.where(lat.edges[lat.node[edge]] > 1, -np.expm1(np.minimum(lat.logp[edge], -1e-16)), 0.0))
-                place = np.arange(offset + at - lo, offset + to - lo)
-                own = _cut_gumbel(location, bound, _uniform(noise_of[d] + place.astype(np.uint64) * _STEP))
-                top = np.argsort(-own)[:m]
-                best = sorted(best + [(v, j) for v, j in zip(own[top].tolist(), place[top].tolist(), strict=True) if v > -np.inf], reverse=True)[:m]
-                at = to
+        again, m = [], k + 1 - sample  # at most m of a path's sets can still be popped or set the threshold
+        own = np.array([job[0] for job in jobs], np.int64)
+        hi = ends[own]
+        lo = np.where(own > 0, ends[own - 1], 0)
+        offset = np.array([len(job[1]) for job in jobs], np.int64)
+        begin = np.array([lat.logp[job[1]].sum() if len(job[1]) else 0.0 for job in jobs])
+        top_value, top_place = _exits(lat, edges, sums, lo, hi, offset, begin, np.array([job[6] for job in jobs]), noise_of[own], m)
+        log_prob = (begin + (sums[hi] - sums[lo])).tolist()
+        for (d, head, head_word, _, _, _, bound), a, b, value_, v_, j_ in zip(jobs, lo.tolist(), hi.tolist(), log_prob, top_value.tolist(), top_place.tolist(), strict=True):
+            path, word_of = (np.concatenate([head, edges[a:b]]), np.concatenate([head_word, of_word[a:b]])) if len(head) else (edges[a:b], of_word[a:b])
+            paths[d].append((path, word_of, value_, bound))
+            best = [(v, j) for v, j in zip(v_, j_, strict=True) if v > -np.inf]
             waiting[d] += [(v, sample - 1, j, (int(path[j]),)) for v, j in best]
             if sample == k or not waiting[d]:
                 continue
@@ -305,14 +336,34 @@ def _top_k(s: _Slice, k: int) -> Iterator[tuple[int, int, np.ndarray, float, flo
 
 
 def _ids(s: _Slice, path: np.ndarray) -> np.ndarray:
-    lat = s.lattice
-    piece, width = lat.piece[path], lat.width[path]
+    return _ids_of(s, [path])[0]
+
+
+def _ids_of(s: _Slice, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the paths, one after another, and how many each has."""
+    lat, size = s.lattice, np.array([len(x) for x in paths], np.int64)
+    path = np.concatenate(paths)
+    piece = lat.piece[path]
     if (piece >= 0).all():
-        return piece
-    count = np.where(piece >= 0, 1, width)
+        return piece, size
+    count = np.where(piece >= 0, 1, lat.width[path])
     out = np.repeat(piece, count)
-    at = np.repeat(lat.node[path], count) + np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
-    return np.where(out >= 0, out, lat.bytes[np.minimum(at, len(lat.bytes) - 1)] + s.vocab.bytes_first)
+    at = np.repeat(lat.node[path] - (np.cumsum(count) - count), count) + np.arange(len(out))
+    ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum(size)]
+    return np.where(out >= 0, out, lat.bytes[np.minimum(at, len(lat.bytes) - 1)] + s.vocab.bytes_first), np.diff(ends, prepend=0)
+
+
+def _groups(rows: Iterator[tuple], most: int = 1 << 16) -> Iterator[list[tuple]]:
+    """Samples in groups of about as many elements; a longer one is a group of its own."""
+    group, size = [], 0
+    for row in rows:
+        if group and size + len(row[2]) > most:
+            yield group
+            group, size = [], 0
+        group.append(row)
+        size += len(row[2])
+    if group:
+        yield group
 
 
 def encode_top_k(
@@ -325,20 +376,27 @@ def encode_top_k(
 
     @F.arrow_udf(f"array<{fields}>")
     def samples(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        vocab = Vocabulary(model_path)
+        vocab = vocabulary(model_path)
         for column, row_key in batches:
             buf, offsets = W.text_buffer(column)
             row_key = row_key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             rows, ids, size = [], [], np.zeros(len(column), np.int64)
             for lo, hi in W.slices(offsets, 2 << 20):
                 s = _Slice(vocab, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], row_key[lo:hi])
-                for d, sample, path, log_prob, perturbed, score in _top_k(s, k):
-                    own = _ids(s, path)
-                    same = vocab.text_of(own) == s.text[s.offsets[d] + 1 : s.offsets[d + 1]].tobytes()
-                    rows.append((sample, len(own), zlib.crc32(own.astype("<u4").tobytes()), log_prob, perturbed, score, same))
-                    size[lo + d] += 1
-                    if keep_ids:
-                        ids.append(own.astype(np.int32))
+                original = s.text.tobytes()
+                for group in _groups(_top_k(s, k)):
+                    every, count = _ids_of(s, [x[2] for x in group])
+                    raw, places = vocab.text_of(every)
+                    ends = np.cumsum(count)
+                    cuts = np.concatenate([[0], places])[np.concatenate([[0], ends])].tolist()
+                    packed, bounds = every.astype("<u4").tobytes(), np.concatenate([[0], ends]).tolist()
+                    for j, (d, sample, _, log_prob, perturbed, score) in enumerate(group):
+                        # The space put first counts for neither.
+                        same = raw[cuts[j] + 1 : cuts[j + 1]] == original[s.offsets[d] + 1 : s.offsets[d + 1]]
+                        rows.append((sample, bounds[j + 1] - bounds[j], zlib.crc32(packed[4 * bounds[j] : 4 * bounds[j + 1]]), log_prob, perturbed, score, same))
+                        size[lo + d] += 1
+                        if keep_ids:
+                            ids.append(every[bounds[j] : bounds[j + 1]].astype(np.int32))
             cols = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
             if keep_ids:
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
