@@ -58,7 +58,8 @@ def event_bars(spark, sf_dir, timeframe="1h") -> DataFrame:
 def bars(spark, sf_dir) -> DataFrame:
     from candlewright.operators.chunks import index_bars
 
-    return once(spark, sf_dir, "bars", lambda: index_bars(line_bars(spark, sf_dir)))
+    # Indexing reads the bars twice, so they are written first: ticks are read and aggregated once.
+    return once(spark, sf_dir, "bars", lambda: index_bars(once(spark, sf_dir, "plain_bars", lambda: line_bars(spark, sf_dir))))
 
 
 def features(spark, sf_dir, names) -> DataFrame:
