@@ -1,20 +1,26 @@
 """Nearest neighbours by multiprobe p-stable hashing and exact distance reranking.
 
 The index holds every vector once in each table. A query visits buckets in falling order of the
-estimated probability that a neighbour at the near radius lies in them, until their total reaches
+estimated probability that a neighbour at its own distance lies in them, until their total reaches
 what its tables together need for the target success; candidates of all tables are merged and
-reranked by exact Euclidean distance. The near radius is the median distance to the k-th neighbour of
-at most `RADIUS_ROWS` different vectors of a bounded sample (`fit_rows`), measured against all rows.
+reranked by exact Euclidean distance.
 
-The radius only sets the bucket width and the first round. The k-th distance a query found there is
-at least its true one; where it is above the radius, the query goes on to the buckets that reach the
-target at its own distance, so a radius that does not fit a query costs time and not neighbours.
+The near radius sets the bucket width and the least distance probed for: it is the median distance to
+the k-th neighbour of at most `RADIUS_ROWS` different vectors of a bounded sample (`fit_rows`), measured
+against all rows. A query's own distance is that of its k-th neighbour among a hashed share of the rows
+(first round); it is at least the true one, so a radius that does not fit costs time and not neighbours.
+It also bounds the candidates: rows beyond it are never handed on.
 
-A bucket larger than `block` is dealt over several cells by a hash of the row and its queries visit
-all of them. A cell answers its queries with their k nearest candidates there, so what is shuffled
-on is at most k rows per query and cell. A query left with fewer than k candidates although there
-are more rows, or whose own distance needs far more buckets than there are, visits every bucket of
-the first table and is exact.
+Probes are not listed, as their number grows with a power of the rows. A query carries one number per
+table, the probability of the last bucket it visits (`cuts`), and a bucket sees by its own
+probability whether it is visited. Rows lie in cells of neighbouring buckets (ranges of the bucket
+coordinates; a bucket with too many rows is cut by a hash of the row), and a query goes to the cells
+that can hold a bucket it visits. A cell keeps its rows sorted by bucket, takes its queries a batch
+at a time and scores blocks of rows by one product in single precision, whose margin lets no
+neighbour through the sieve; what passes is scored exactly. So a task holds one cell and one batch,
+and hands on at most k rows per query and cell. More than k + 1 equal vectors of a cell count as k + 1.
+A query left with fewer than k candidates in the first round, or whose buckets are estimated to
+hold as many rows as the table, visits every bucket of the first table and is exact.
 
 Cases: vectors that are null, zero, of a length other than the table's commonest, or with null or non-finite
 components take no part, neither as query nor as candidate. Rows that repeat a vec_id are one vector
@@ -29,17 +35,30 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.llm import words as W
 from candlewright.llm.common import written
-from candlewright.llm.pstable import PStable, matrix, success
+from candlewright.llm.pstable import PStable, cuts, log_chances, matrix, reach_of
 
 
 #: Sampled vectors whose k-th neighbour is measured.
 RADIUS_ROWS = 128
-#: A query is exact where the cells it would visit are estimated at so many times the buckets there are.
-FAR_CELLS = 16
+#: A query's own distance comes from one row in so many.
+FIRST_SHARE = 64
+#: A query is exact where its neighbours spread over more widths.
+FAR_SPREAD = 4.0
+#: Bytes of the vectors of a cell, at most; rows scored by one product; blocks whose probabilities are summed at once.
+CELL_BYTES, BLOCK, BLOCKS = 64 << 20, 128, 512
+#: Pairs scored exactly at a time, and pairs that wait until the bounds are tightened.
+PAIRS, WAIT = 1 << 14, 1 << 17
+#: Sampled vectors by which a query's share of the rows is estimated, and sampled rows per cell.
+SHARE_ROWS, CELL_SAMPLE = 256, 128
+#: Bucket coordinates beyond count as this one in keys; components beyond are multiplied in double precision.
+EDGE, BIG = 1 << 30, 1e15
+FOUND = "query_id long, vec_id long, score double"
 
 
 def near_radius(base: DataFrame, sample: np.ndarray, k: int) -> float:
@@ -57,7 +76,8 @@ def near_radius(base: DataFrame, sample: np.ndarray, k: int) -> float:
             for lo in range(0, len(x), 4096):
                 y = x[lo : lo + 4096][ok[lo : lo + 4096]]
                 d2 = np.maximum((own * own).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * own @ y.T, 0)
-                best = np.sort(np.concatenate([best, d2], 1), 1)[:, : k + 1]  # itself and k others
+                best = np.concatenate([best, d2], 1)
+                best = np.partition(best, k, 1)[:, : k + 1] if best.shape[1] > k + 1 else best  # itself and k others
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(own)), pa.int64()), "d2": pa.array(list(best), pa.list_(pa.float64()))})
 
     parts = base.select("v").mapInArrow(nearest, "i long, d2 array<double>")
@@ -67,118 +87,257 @@ def near_radius(base: DataFrame, sample: np.ndarray, k: int) -> float:
     return float(np.median(far)) if len(far) else 1.0
 
 
+def bucket_keys(coords: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Bytes that sort as the bucket's coordinates, then as a hash of the row."""
+    salt = W.mix(ids.astype(np.int64).view(np.uint64)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    places = (np.clip(coords, -EDGE, EDGE).astype(np.int64) + EDGE).astype(">u4")
+    places = np.ascontiguousarray(places).view(np.uint8).reshape(len(coords), -1)
+    return np.ascontiguousarray(np.concatenate([places, salt], 1)).view(f"S{places.shape[1] + 8}").ravel()
+
+
+def cell_boxes(bounds: np.ndarray, projections: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest coordinates (cells x projections) between neighbouring bounds: equal ones up to the first that differs."""
+    lo, hi = np.full((len(bounds) + 1, projections), -np.inf), np.full((len(bounds) + 1, projections), np.inf)
+    width = 4 * projections
+    ends = [np.frombuffer(b.ljust(width + 8, b"\0")[:width], ">u4").astype(np.int64) - EDGE for b in bounds.tolist()]
+    for i in range(len(bounds) + 1):
+        for j in range(projections):
+            first, last = (ends[i - 1][j] if i else -EDGE), (ends[i][j] if i < len(bounds) else EDGE)
+            lo[i, j], hi[i, j] = (first if first > -EDGE else -np.inf), (last if last < EDGE else np.inf)
+            if first != last:
+                break
+    return lo, hi
+
+
+def native(column: pa.Array, dim: int) -> np.ndarray:
+    """Usable vectors as they are stored, rows x dim."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+class Cell:
+    """Rows of one cell, sorted by bucket, against batches of queries."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, hashing: PStable, t: int, k: int):
+        self.hashing, self.t, self.k, dim = hashing, t, k, x.shape[1]
+        pieces = [slice(lo, lo + (1 << 14)) for lo in range(0, len(x), 1 << 14)]
+        coords = np.concatenate([np.floor(hashing.slots(x[p].astype(float))[:, t]) for p in pieces])
+        odd = W.mix(np.arange(x.itemsize // 4 * dim, dtype=np.uint64)) | np.uint64(1)
+        marks = np.concatenate([(np.ascontiguousarray(x[p]).view(np.uint32).astype(np.uint64) * odd).sum(1) for p in pieces])
+        order = np.lexsort((ids, marks, *coords.T[::-1]))
+        same = np.concatenate([[False], *(((x[order[p]][1:] == x[order[p]][:-1]).all(1)) for p in (slice(lo, lo + (1 << 14) + 1) for lo in range(0, len(x), 1 << 14)))])[: len(x)]
+        place = np.arange(len(x))
+        order = order[place - np.maximum.accumulate(np.where(same, 0, place)) <= k]  # a query and k others of one vector are enough
+        self.ids, self.x, coords = ids[order], x[order], coords[order]
+        self.half = np.concatenate([(self.x[p].astype(float) ** 2).sum(1) / 2 for p in pieces])
+        self.narrow = bool(np.abs(self.x).max() < BIG)
+        self.starts = np.arange(0, len(order), BLOCK)
+        self.lo, self.hi = np.minimum.reduceat(coords, self.starts, 0), np.maximum.reduceat(coords, self.starts, 0)
+        self.sieve = self.wide(0, len(order), np.float32) if self.narrow else None
+
+    def wide(self, lo: int, hi: int, kind: type) -> np.ndarray:
+        """Rows with two more columns, so that a product is at least 0 where a pair may be within the query's bound."""
+        out = np.empty((hi - lo, self.x.shape[1] + 2), kind)
+        out[:, :-2], out[:, -2], out[:, -1] = self.x[lo:hi], self.half[lo:hi] * (1 - margin(kind, self.x.shape[1])), 1
+        return out
+
+    def visits(self, q: np.ndarray, spread: np.ndarray, cut: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Blocks x queries: whether the block may hold a bucket that the query visits."""
+        slots = self.hashing.slots(q)[:, self.t]
+        home = np.floor(slots)
+        far = reach_of(spread)
+        logs = log_chances(slots - home, spread, far)
+        total = np.zeros((len(lo), len(q)), np.float32)
+        for j in range(self.hashing.projections):
+            boxes, own = np.unique(np.stack([lo[:, j], hi[:, j]], 1), axis=0, return_inverse=True)
+            off = np.maximum(boxes[:, :1] - home[:, j], 0) + np.minimum(boxes[:, 1:] - home[:, j], 0)
+            off = np.clip(off, -far, far).astype(np.int64) + far
+            total += np.take_along_axis(logs[:, j].T, off, 0)[own.ravel()]
+        return total >= cut
+
+    def answer(self, me: np.ndarray, q: np.ndarray, bound: np.ndarray, cut: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The query, vec_id and distance of the k nearest of each query within its bound."""
+        kind = np.float32 if self.narrow and np.abs(q).max() < BIG else np.float64
+        bound, q, dim = bound.copy(), q.astype(float), self.x.shape[1]
+        slack, tiny = margin(kind, dim), 1e-37 if kind == np.float32 else 0.0
+        own = (q * q).sum(1) * (1 - slack)
+        probe = np.empty((len(q), dim + 2), kind)
+        probe[:, :-2], probe[:, -2] = q, -1
+        limit = lambda: np.divide(bound * bound * (1 + 1e-6) - own, 2) + tiny
+        with np.errstate(over="ignore", invalid="ignore"):
+            probe[:, -1] = limit()
+        held: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, row, distance
+        waits: list = []
+
+        def settle() -> None:
+            at, row = (np.concatenate(x) for x in zip(*waits, strict=True))
+            waits.clear()
+            other = self.ids[row] != me[at]
+            at, row = at[other], row[other]
+            d = np.concatenate([np.zeros(0), *(np.sqrt(((self.x[row[i : i + PAIRS]].astype(float) - q[at[i : i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(at), PAIRS))])
+            near = d <= bound[at]
+            at, row, d = (np.concatenate([a, b[near]]) for a, b in zip(held, (at, row, d), strict=True))
+            order = np.lexsort((self.ids[row], d, at))
+            at, row, d = at[order], row[order], d[order]
+            place = np.arange(len(at))
+            place -= np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1]][: len(at)], place, 0)) if len(at) else 0
+            last = place == self.k - 1
+            bound[at[last]] = d[last]
+            held[:] = (a[place < self.k] for a in (at, row, d))
+            with np.errstate(over="ignore", invalid="ignore"):
+                probe[:, -1] = limit()
+
+        everywhere = bool(np.isneginf(cut).all())
+        for first in range(0, len(self.starts), BLOCKS):
+            some = slice(first, first + BLOCKS)
+            mask = None if everywhere else self.visits(q, spread, cut, self.lo[some], self.hi[some])
+            for b, lo in enumerate(self.starts[some]):
+                at = np.arange(len(q)) if mask is None else np.flatnonzero(mask[b])
+                if not len(at):
+                    continue
+                hi = min(lo + BLOCK, len(self.ids))
+                rows = self.sieve[lo:hi] if kind == np.float32 else self.wide(lo, hi, kind)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    near = (probe[at] @ rows.T).ravel()
+                    hit = np.flatnonzero(near >= 0 if kind == np.float32 else ~(near < 0))  # what overflows is scored
+                if len(hit):
+                    waits.append((at[hit // (hi - lo)], lo + hit % (hi - lo)))
+                    if sum(len(x) for x, _ in waits) >= WAIT:
+                        settle()
+        if waits:
+            settle()
+        at, row, d = held
+        return me[at], self.ids[row], d
+
+
+def margin(kind: type, dim: int) -> float:
+    """More than the relative error of a product of dim terms."""
+    return (dim + 16) * float(np.finfo(kind).eps)
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 2, target: float = 0.96, fit_rows: int = 2000, rows_per_bucket: int = 64,
     block: int = 4096, rows_per_cell: int = 8192,
 ) -> DataFrame:
     """query_id, rank, vec_id and score (distance) for the rows of vectors (vec_id, embedding) that is_query selects."""
-    base = vectors.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("v"))
+    v = F.col("embedding")
+    if vectors.select(v).schema[0].dataType.simpleString() not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
+    base = vectors.where("vec_id IS NOT NULL").select("vec_id", v.alias("v"))
+    if not base.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        base = written(base.groupBy("vec_id").agg(F.min("v").alias("v")))
+    base = base.withColumn("asks", is_query)
     # Only usable vectors are sampled and counted, and all tasks go by one length.
     finite = F.forall("v", lambda e: F.coalesce(F.abs(e) < F.lit(float("inf")), F.lit(False)))
-    base = base.where((F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0))
-    sizes = base.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim, rows = (sizes.dim, sizes.n) if sizes else (0, 0)
-    base = base.where(F.size("v") == dim)
-    sample, good = matrix(base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toArrow()["v"], dim)
+    usable = (F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0)
+    sizes = base.where(usable).groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("asks"))
+    sizes = sizes.orderBy(F.desc("n"), "dim").first()
+    dim, rows, asking = (sizes.dim, sizes.n, sizes.asks) if sizes else (0, 0, 0)
+    ours = usable & (F.size("v") == dim)
+    chosen = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows // (8 * fit_rows)))) == 0).where(ours)
+    sample, good = matrix(chosen.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").toArrow()["v"], dim)
     sample = sample[good]
     radius = near_radius(base, sample, k)
     hashing = PStable(tables, max(1, min(12, ceil(log2(max(rows / rows_per_bucket, 2)) / 2.05))), radius)
     each = 1 - (1 - target) ** (1 / tables)
 
-    @F.arrow_udf("array<bigint>")
-    def buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            x, ok = matrix(column, dim)
-            keys = np.zeros((len(x), tables), np.int64)
-            if ok.any():
-                cells = np.floor(hashing.slots(x[ok]))
-                keys[ok] = np.stack([hashing.keys(cells[:, t]) for t in range(tables)], 1)
-            yield pa.array([list(r) if o else None for r, o in zip(keys, ok, strict=True)], pa.list_(pa.int64()))
-
-    @F.arrow_udf("array<struct<t:int,key:bigint>>")
-    def probes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            x, _ = matrix(column, dim)
-            out = []
-            for slots in hashing.slots(x):
-                found = [hashing.keys(success(slots[t], 1.0, each)[0]) for t in range(tables)]
-                out.append([{"t": t, "key": int(b)} for t, own in enumerate(found) for b in dict.fromkeys(own.tolist())])
-            yield pa.array(out, pa.list_(pa.struct([("t", pa.int32()), ("key", pa.int64())])))
-
-    def wider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets that a query visits at its own distance and has not visited; null where every bucket is cheaper."""
+    # Cells grow with the queries, so that those sent to all cells are about as many as the rows; small tables have 16 a table.
+    kind = base.schema["v"].dataType.simpleString()
+    largest = max(BLOCK, CELL_BYTES // ((4 if kind == "array<float>" else 8) * max(dim, 1)))
+    per_cell = min(largest, max(block // 8, min(rows // 16, max(rows_per_cell, 2 * asking)), 1))
+    cells = max(1, -(-rows // per_cell))
+    some = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows // (CELL_SAMPLE * cells)))) == 0).where(ours).select("vec_id", "v").toArrow()
+    some_ids, (places, _) = some["vec_id"].to_numpy(), matrix(some["v"], dim)
+    places = np.floor(hashing.slots(places))
+    ends = np.linspace(0, len(some_ids), cells + 1)[1:-1].astype(int)
+    bounds = [np.unique(np.sort(bucket_keys(places[:, t], some_ids))[ends]) if len(some_ids) else np.zeros(0, "S8") for t in range(tables)]
+    boxes = [cell_boxes(b, hashing.projections) for b in bounds]
+    share = np.floor(hashing.slots(sample[:SHARE_ROWS])) if len(sample) else np.zeros((0, tables, hashing.projections))
+
+    @F.arrow_udf("array<int>")
+    def cells_of(ids: pa.Array, v: pa.Array) -> pa.Array:
+        x, ok = matrix(v, dim)
+        out = np.zeros((len(x), tables), np.int32)
+        if ok.any():
+            places = np.floor(hashing.slots(x))
+            own = ids.to_numpy(zero_copy_only=False)
+            for t in range(tables):
+                out[:, t] = t * cells + np.searchsorted(bounds[t], bucket_keys(places[:, t], own), "right")
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tables * len(x) + 1, tables), pa.int32()), pa.array(out.ravel()))
+        return pc.if_else(pa.array(ok), lists, pa.scalar(None, lists.type))
+
+    def spreads(reach: np.ndarray) -> np.ndarray:
+        """Widths by which neighbours at the distance spread; vectors at no distance share all buckets."""
+        return np.where(reach > 0, np.clip(reach / radius, 1.0, FAR_SPREAD), 1 / 64)
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells that a query goes to, and for each table the log probability of the last bucket it visits."""
         for batch in batches:
-            x, _ = matrix(batch.column("q"), dim)
-            out: list = []
-            for slots, spread in zip(hashing.slots(x), batch.column("reach").to_numpy(zero_copy_only=False) / radius, strict=True):
-                # sqrt(2 pi e) spreads are the typical number of cells of a normal in one projection
-                if not (4.13 * max(spread, 1.0)) ** hashing.projections <= FAR_CELLS * most:
-                    out.append(None)
-                    continue
-                found = []
+            reach = batch.column("reach").to_numpy(zero_copy_only=False)
+            slots, spread = hashing.slots(matrix(batch.column("v"), dim)[0]), spreads(reach)
+            limits, goes = np.full((len(reach), tables), -np.inf), np.zeros((len(reach), tables * cells), bool)
+            for lo in range(0, len(reach), 64):
+                part = slice(lo, lo + 64)
+                held = np.zeros(len(reach[part]))
                 for t in range(tables):
-                    seen = set(hashing.keys(success(slots[t], 1.0, each)[0]).tolist())
-                    found += [{"t": t, "key": b} for b in dict.fromkeys(hashing.keys(success(slots[t], spread, each)[0]).tolist()) if b not in seen]
-                out.append(found)
-            kind = pa.list_(pa.struct([("t", pa.int32()), ("key", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(out, kind)], ["query_id", "p"])
-
-    hashed = written(base.select("vec_id", "v", buckets("v").alias("keys"), is_query.alias("asks")).where("keys IS NOT NULL"))
-    usable = hashed.count()
-    index = hashed.select("vec_id", "v", F.posexplode("keys").alias("t", "key"))
-    counts = written(index.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts")))
-    index = index.join(counts.where("salts > 1"), ["t", "key"], "left")
-    index = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("salts", F.lit(1))).cast("int"))
-    cells = max(1, -(-usable * tables // rows_per_cell))
-    slot = F.xxhash64("t", "key", "salt")
-    cell = F.pmod("slot", F.lit(cells)).cast("int")
-    index = index.select("vec_id", "v", slot.alias("slot")).withColumn("cell", cell)
-    queries = hashed.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-
-    def nearest(visits: DataFrame, asking: DataFrame) -> DataFrame:
-        """visits (query_id, t, key, salts): the k nearest of each query over the rows of its buckets."""
-        asked = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("query_id", slot.alias("slot")).withColumn("cell", cell)
-        asked = asked.groupBy("query_id", "cell").agg(F.collect_list("slot").alias("slots")).join(asking, "query_id")
-        parts = index.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(answer, "query_id long, vec_id long, score double")
-        return parts.distinct()
-
-    def answer(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, scores, of = [], [], []
-        if len(rows) and len(asked):
-            rows = rows.sort_by("slot")
-            slots, vec = rows["slot"].to_numpy(), rows["vec_id"].to_numpy()
-            x, _ = matrix(rows["v"], dim)
-            q, _ = matrix(asked["q"], dim)
-            for i, (me, visit) in enumerate(zip(asked["query_id"].to_pylist(), asked["slots"].to_pylist(), strict=True)):
-                visit = np.array(visit, np.int64)
-                lo, hi = np.searchsorted(slots, visit, "left"), np.searchsorted(slots, visit, "right")
-                size = hi - lo
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo, size)
-                at = at[vec[at] != me]
-                d = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-                own, first = np.unique(vec[at], return_index=True)  # once, though several tables found it
-                d = d[first]
-                if len(d) > k:
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    own, d = own[near], d[near]
-                order = np.lexsort((own, d))[:k]
-                ids.append(own[order])
-                scores.append(d[order])
-                of.append(np.full(len(order), me))
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table({"query_id": pa.array(join(of, np.int64), pa.int64()), "vec_id": pa.array(join(ids, np.int64), pa.int64()), "score": pa.array(join(scores, float), pa.float64())})
-
-    visits = queries.select("query_id", F.explode(probes("q")).alias("p")).select("query_id", "p.*").join(counts, ["t", "key"])
-    found = written(nearest(visits, queries))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    held = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("reach"))
-    held = queries.join(held, "query_id", "left")
-    short = F.coalesce("n", F.lit(0)) < min(k, usable - 1)
-    # A query that is short has no distance to go by; it is exact.
-    held = held.where(short | (F.col("reach") > radius)).select("query_id", "q", F.when(short, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
-    most = max((r.n for r in counts.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()), default=0)
-    again = written(held.mapInArrow(wider, "query_id long, p array<struct<t:int,key:bigint>>"))
-    every = again.where("p IS NULL").select("query_id", F.lit(0).alias("t")).join(counts, "t")
-    more = again.select("query_id", F.explode("p").alias("p")).select("query_id", "p.*").join(counts, ["t", "key"])
-    found = found.unionByName(nearest(more.unionByName(every, allowMissingColumns=True).select(*more.columns), queries)).distinct()
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    home = np.floor(slots[part, t])
+                    far = reach_of(spread[part])
+                    logs = log_chances(slots[part, t] - home, spread[part], far)
+
+                    def best(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+                        off = np.clip(np.maximum(low[None] - home[:, None], 0) + np.minimum(high[None] - home[:, None], 0), -far, far).astype(np.int64) + far  # noqa: B023
+                        return sum(np.take_along_axis(logs[:, j], off[:, :, j], 1) for j in range(hashing.projections))  # noqa: B023
+
+                    limits[part, t] = cuts(slots[part, t] - home, spread[part], logs, each)
+                    held += (best(share[:, t], share[:, t]) >= limits[part, t][:, None]).mean(1) if len(share) else 1.0
+                    goes[part, t * cells : t * cells + len(boxes[t][0])] = best(*boxes[t]) >= limits[part, t][:, None]
+                every = (held >= 1) | ~(reach[part] <= FAR_SPREAD * radius)
+                limits[part][every] = -np.inf
+                goes[part][every] = np.arange(tables * cells) < len(boxes[0][0])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(goes.sum(1))], pa.int32()), pa.array(np.nonzero(goes)[1], pa.int32()))
+            limits = pa.ListArray.from_arrays(pa.array(np.arange(0, limits.size + 1, tables), pa.int32()), pa.array(limits.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "reach")), lists, limits], ["id", "v", "reach", "cells", "limits"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a cell (kind 0) come before its queries."""
+        ids, parts, cell = [], [], None
+        for batch in batches:
+            kind, t = batch.column("kind").to_numpy(), batch.column("cell")[0].as_py() // cells
+            own, v = batch.column("id").to_numpy(), native(batch.column("v"), dim)
+            if (kind == 0).any():
+                if cell is not None or (np.diff(kind) < 0).any():
+                    raise ValueError("rows of a cell must come before its queries")
+                ids.append(own[kind == 0])
+                parts.append(v[kind == 0])
+            if (kind == 1).any() and ids:
+                if cell is None:
+                    cell = Cell(np.concatenate(ids), np.concatenate(parts), hashing, max(t, 0), k)
+                    parts.clear()
+                reach, cut = (batch.column(c).to_numpy(zero_copy_only=False)[kind == 1] for c in ("reach", "cut"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cell.answer(own[kind == 1], v[kind == 1], reach, cut, spreads(reach))], ["query_id", "vec_id", "score"])
+
+    def nearest(index: DataFrame, asked: DataFrame) -> DataFrame:
+        """index (id, v, cell), asked (id, v, cell, reach, cut): the k nearest of each query in each cell."""
+        index = index.select("cell", F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("reach"), F.lit(0.0).alias("cut"))
+        both = index.unionByName(asked.select("cell", F.lit(1).alias("kind"), "id", "v", "reach", "cut"))
+        return both.repartition("cell").sortWithinPartitions("cell", "kind").groupBy("cell").applyInArrow(scored, FOUND)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        """Once, though several tables found it."""
+        found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+
+    queries = base.where("asks").where(ours).select(F.col("vec_id").alias("id"), "v")
+    part = max(1, min(FIRST_SHARE, rows // (16 * k)))
+    pieces = max(1, min(16, rows // part // BLOCK), -(-rows // part // largest))
+    first = base.where(F.pmod(F.xxhash64("vec_id", F.lit(part)), F.lit(part)) == 0).where(ours)
+    first = first.select(F.col("vec_id").alias("id"), "v", F.pmod(F.hash("vec_id"), F.lit(pieces)).alias("cell"))
+    everyone = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("cell"), F.lit(float("inf")).alias("reach"), F.lit(float("-inf")).alias("cut"))
+    found = written(ranked(nearest(first, everyone)).select("query_id", "vec_id", "score"))
+    held = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("reach")).where(F.col("n") >= k)
+    # A query with fewer has no distance to go by; it is exact.
+    held = queries.join(held, queries.id == held.query_id, "left").select("id", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    asked = held.mapInArrow(probes, f"id long, v {kind}, reach double, cells array<int>, limits array<double>")
+    asked = asked.select("id", "v", "reach", F.explode("cells").alias("cell"), "limits")
+    asked = asked.withColumn("cut", F.element_at("limits", (F.floor(F.col("cell") / cells) + 1).cast("int")))
+    index = base.select(F.col("vec_id").alias("id"), "v", F.explode(cells_of("vec_id", "v")).alias("cell"))
+    return ranked(nearest(index, asked).unionByName(found)).select("query_id", "rank", "vec_id", "score")

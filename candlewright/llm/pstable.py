@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
-from math import erf, sqrt
+from math import erf, erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +84,42 @@ def success(slot: np.ndarray, spread: float, least: float) -> tuple[np.ndarray,
             enough = int(np.searchsorted(np.cumsum(prob[order]), least)) + 1
             return cells[order[:enough]].astype(np.int64), prob[order[:enough]]
         floor /= 3
+
+
+#: Standard normal distribution function at multiples of 1 / GRID, from -9 to 9.
+GRID = 512
+NORMAL = np.array([0.5 * erfc(-z / GRID / sqrt(2)) for z in range(-9 * GRID, 9 * GRID + 1)])
+#: Neighbours drawn to find how improbable a bucket may be.
+DRAWS = 1024
+
+
+def reach_of(spread: np.ndarray) -> int:
+    """Cells on either side of the query's own that are told apart; all beyond count as the last."""
+    return int(np.ceil(5 * spread.max(initial=0))) + 1
+
+
+def log_chances(part: np.ndarray, spread: np.ndarray, reach: int) -> np.ndarray:
+    """Queries x projections x (2 reach + 1): log probability that a neighbour's projection lies in each cell around
+    the query's own. part: the query's place in its cell. A neighbour's projection is normal around the query's."""
+    z = (np.arange(-reach, reach + 2) - part[:, :, None]) / spread[:, None, None]
+    below = NORMAL[np.clip(np.rint(z * GRID), -9 * GRID, 9 * GRID).astype(np.int32) + 9 * GRID]
+    return np.log(np.maximum(np.diff(below, axis=2), 1e-30)).astype(np.float32)
+
+
+def cuts(part: np.ndarray, spread: np.ndarray, logs: np.ndarray, least: float) -> np.ndarray:
+    """The log probability of the last cell visited where cells are taken in falling order until their total
+    probability is at least `least`: a quantile over drawn neighbours of the probability of their cells."""
+    draws = _draws(part.shape[1])
+    reach = logs.shape[2] // 2
+    total = np.zeros((len(part), DRAWS), np.float32)
+    for j in range(part.shape[1]):
+        off = np.floor(part[:, j, None] + spread[:, None] * draws[:, j])
+        total += np.take_along_axis(logs[:, j], np.clip(off, -reach, reach).astype(np.int64) + reach, 1)
+    least = min(1.0, least + sqrt(least * (1 - least) / DRAWS))  # the quantile's own error
+    at = max(0, DRAWS - int(np.ceil(least * DRAWS)))
+    return np.partition(total, at, 1)[:, at] - 1e-4  # rounding of the sums
+
+
+@lru_cache(maxsize=8)
+def _draws(projections: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([23, projections])).standard_normal((DRAWS, projections))
