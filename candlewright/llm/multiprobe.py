@@ -19,8 +19,8 @@ that can hold a bucket it visits. A cell keeps its rows sorted by bucket, takes
 at a time and scores blocks of rows by one product in single precision, whose margin lets no
 neighbour through the sieve; what passes is scored exactly. So a task holds one cell and one batch,
 and hands on at most k rows per query and cell. More than k + 1 equal vectors of a cell count as k + 1.
-A query left with fewer than k candidates in the first round, or whose buckets are estimated to
-hold as many rows as the table, visits every bucket of the first table and is exact.
+A query left with fewer than k candidates in the first round, or whose buckets bring as many rows as
+the table has, by an estimate from the sample, visits every bucket of the first table and is exact.
 
 Cases: vectors that are null, zero, of a length other than the table's commonest, or with null or non-finite
 components take no part, neither as query nor as candidate. Rows that repeat a vec_id are one vector
@@ -47,11 +47,13 @@ from candlewright.llm.pstable import PStable, cuts, log_chances, matrix, reach_o
 #: Sampled vectors whose k-th neighbour is measured.
 RADIUS_ROWS = 128
 #: A query's own distance comes from one row in so many.
-FIRST_SHARE = 64
-#: A query is exact where its neighbours spread over more widths.
-FAR_SPREAD = 4.0
-#: Bytes of the vectors of a cell, at most; rows scored by one product; blocks whose probabilities are summed at once.
-CELL_BYTES, BLOCK, BLOCKS = 64 << 20, 128, 512
+FIRST_SHARE = 32
+#: A query is exact where its neighbours spread over more widths, or its buckets over the tables hold this share of the
+#: rows: blocks of BLOCK rows bring along 1.6 to 1.8 times the rows of the buckets visited (simulated, 14.8 million rows).
+FAR_SPREAD, FAR_SHARE = 4.0, 0.5
+#: Bytes of the vectors of a cell, at most; queries answered at once, rows scored by one product, blocks whose
+#: probabilities are summed at once; rows that give a query without a bound its first.
+CELL_BYTES, BATCH, BLOCK, BLOCKS, SEED_ROWS = 32 << 20, 4096, 128, 512, 512
 #: Pairs scored exactly at a time, and pairs that wait until the bounds are tightened.
 PAIRS, WAIT = 1 << 14, 1 << 17
 #: Sampled vectors by which a query's share of the rows is estimated, and sampled rows per cell.
@@ -127,12 +129,12 @@ class Cell:
         same = np.concatenate([[False], *(((x[order[p]][1:] == x[order[p]][:-1]).all(1)) for p in (slice(lo, lo + (1 << 14) + 1) for lo in range(0, len(x), 1 << 14)))])[: len(x)]
         place = np.arange(len(x))
         order = order[place - np.maximum.accumulate(np.where(same, 0, place)) <= k]  # a query and k others of one vector are enough
+        del marks, same, place
         self.ids, self.x, coords = ids[order], x[order], coords[order]
         self.half = np.concatenate([(self.x[p].astype(float) ** 2).sum(1) / 2 for p in pieces])
         self.narrow = bool(np.abs(self.x).max() < BIG)
         self.starts = np.arange(0, len(order), BLOCK)
         self.lo, self.hi = np.minimum.reduceat(coords, self.starts, 0), np.maximum.reduceat(coords, self.starts, 0)
-        self.sieve = self.wide(0, len(order), np.float32) if self.narrow else None
 
     def wide(self, lo: int, hi: int, kind: type) -> np.ndarray:
         """Rows with two more columns, so that a product is at least 0 where a pair may be within the query's bound."""
@@ -159,10 +161,19 @@ class Cell:
         kind = np.float32 if self.narrow and np.abs(q).max() < BIG else np.float64
         bound, q, dim = bound.copy(), q.astype(float), self.x.shape[1]
         slack, tiny = margin(kind, dim), 1e-37 if kind == np.float32 else 0.0
-        own = (q * q).sum(1) * (1 - slack)
+        norm = (q * q).sum(1)
         probe = np.empty((len(q), dim + 2), kind)
         probe[:, :-2], probe[:, -2] = q, -1
-        limit = lambda: np.divide(bound * bound * (1 + 1e-6) - own, 2) + tiny
+        limit = lambda: np.divide(bound * bound * (1 + 1e-6) - norm * (1 - slack), 2) + tiny
+        free = np.isinf(bound)
+        if kind == np.float32 and len(self.ids) > self.k and free.any():
+            # The k + 1 nearest of some rows hold k others; their distances are known up to the margin.
+            probe[:, -1] = 0
+            some = np.unique(np.linspace(0, len(self.ids) - 1, max(SEED_ROWS, 8 * self.k)).astype(int))
+            near = probe[free] @ np.concatenate([self.wide(i, i + 1, kind) for i in some]).T
+            if len(some) > self.k + 1:
+                near = np.partition(near, len(some) - self.k - 1, 1)[:, -self.k - 1 :]
+            bound[free] = np.sqrt(np.maximum(norm[free] - 2.0 * near.min(1), 0) + slack * (norm[free] + 6 * self.half[some].max()) + 2 * tiny)
         with np.errstate(over="ignore", invalid="ignore"):
             probe[:, -1] = limit()
         held: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, row, distance
@@ -195,9 +206,9 @@ class Cell:
                 if not len(at):
                     continue
                 hi = min(lo + BLOCK, len(self.ids))
-                rows = self.sieve[lo:hi] if kind == np.float32 else self.wide(lo, hi, kind)
+                rows = self.wide(lo, hi, kind)
                 with np.errstate(over="ignore", invalid="ignore"):
-                    near = (probe[at] @ rows.T).ravel()
+                    near = ((probe if len(at) == len(q) else probe[at]) @ rows.T).ravel()
                     hit = np.flatnonzero(near >= 0 if kind == np.float32 else ~(near < 0))  # what overflows is scored
                 if len(hit):
                     waits.append((at[hit // (hi - lo)], lo + hit % (hi - lo)))
@@ -290,7 +301,7 @@ def search(
                     limits[part, t] = cuts(slots[part, t] - home, spread[part], logs, each)
                     held += (best(share[:, t], share[:, t]) >= limits[part, t][:, None]).mean(1) if len(share) else 1.0
                     goes[part, t * cells : t * cells + len(boxes[t][0])] = best(*boxes[t]) >= limits[part, t][:, None]
-                every = (held >= 1) | ~(reach[part] <= FAR_SPREAD * radius)
+                every = (held >= FAR_SHARE) | ~(reach[part] <= FAR_SPREAD * radius)
                 limits[part][every] = -np.inf
                 goes[part][every] = np.arange(tables * cells) < len(boxes[0][0])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(goes.sum(1))], pa.int32()), pa.array(np.nonzero(goes)[1], pa.int32()))
@@ -310,16 +321,19 @@ def search(
                 parts.append(v[kind == 0])
             if (kind == 1).any() and ids:
                 if cell is None:
-                    cell = Cell(np.concatenate(ids), np.concatenate(parts), hashing, max(t, 0), k)
+                    x = np.concatenate(parts)
                     parts.clear()
-                reach, cut = (batch.column(c).to_numpy(zero_copy_only=False)[kind == 1] for c in ("reach", "cut"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cell.answer(own[kind == 1], v[kind == 1], reach, cut, spreads(reach))], ["query_id", "vec_id", "score"])
+                    cell = Cell(np.concatenate(ids), x, hashing, t, k)
+                    del x
+                reach, cut = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("reach", "cut"))
+                for at in np.array_split(np.flatnonzero(kind == 1), -(-int(kind.sum()) // BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cell.answer(own[at], v[at], reach[at], cut[at], spreads(reach[at]))], ["query_id", "vec_id", "score"])
 
     def nearest(index: DataFrame, asked: DataFrame) -> DataFrame:
         """index (id, v, cell), asked (id, v, cell, reach, cut): the k nearest of each query in each cell."""
         index = index.select("cell", F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("reach"), F.lit(0.0).alias("cut"))
         both = index.unionByName(asked.select("cell", F.lit(1).alias("kind"), "id", "v", "reach", "cut"))
-        return both.repartition("cell").sortWithinPartitions("cell", "kind").groupBy("cell").applyInArrow(scored, FOUND)
+        return both.repartition("cell").sortWithinPartitions("cell", "kind", "cut").groupBy("cell").applyInArrow(scored, FOUND)
 
     def ranked(found: DataFrame) -> DataFrame:
         """Once, though several tables found it."""
