@@ -16,8 +16,8 @@ table, the probability of the last bucket it visits (`cuts`), and a bucket sees
 probability whether it is visited. Rows lie in cells of neighbouring buckets (ranges of the bucket
 coordinates; a bucket with too many rows is cut by a hash of the row), and a query goes to the cells
 that can hold a bucket it visits. A cell keeps its rows sorted by bucket, takes its queries a batch
-at a time and scores blocks of rows by one product in single precision, whose margin lets no
-neighbour through the sieve; what passes is scored exactly. So a task holds one cell and one batch,
+at a time and scores blocks of rows by one product in single precision, whose margin loses no
+neighbour; what passes is scored exactly. So a task holds one cell and one batch,
 and hands on at most k rows per query and cell. More than k + 1 equal vectors of a cell count as k + 1.
 A query left with fewer than k candidates in the first round, or whose buckets bring as many rows as
 the table has, by an estimate from the sample, visits every bucket of the first table and is exact.
